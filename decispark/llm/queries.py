@@ -1,21 +1,93 @@
-"""Queries opN_<name> of the corpus operators, and their SQL where SQL can express them."""
+"""Queries opN_<name> of the corpus operators, and their SQL where SQL can express them.
+
+Paths of vocabulary files come from the public_tokenizers package; they are parameters of the operators.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import bpe, fingerprints, html, mixing, quality, secrets
 from .common import table
-from .quality import quality_rules
+
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fingerprints.edited(table(spark, sf_dir, "documents"))
+    return d.select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.hex_of(F.col("fingerprint")).alias("fingerprint"),
+        fingerprints.hex_of(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
+        fingerprints.likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+    )
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = mixing.mix(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    return quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(RANKS)
+    ids = bpe.with_digest(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN))
+    return bpe.decode(ids, path).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return d.withColumn("n_chars", F.length("text").cast("long"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
+    "op2_mixing": op2_mixing,
     "op5_quality_rules": op5_quality_rules,
+    "op7_secrets": op7_secrets,
+    "op9_byte_bpe": op9_byte_bpe,
+    "op10_html_text": op10_html_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_mixing": f"""
+WITH sizes AS (
+  SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
+         ('0x' || substr(sha256(coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT AS h
+  FROM documents),
+per AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         ([1.0, 2.0, 3.0])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight
+  FROM sizes GROUP BY source),
+caps AS (SELECT *, (3 * source_size)::DOUBLE AS cap, (sum(source_size) OVER ())::DOUBLE AS total, sum(weight) OVER () AS all_weight FROM per),
+sums AS (
+  SELECT *, coalesce(sum(cap) OVER w, 0) AS full_before, all_weight - coalesce(sum(weight) OVER w, 0) AS open_weight
+  FROM caps WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+levels AS (SELECT *, max(CASE WHEN cap > weight * ((total - full_before) / open_weight) THEN (total - full_before) / open_weight END) OVER () AS level FROM sums),
+targets AS (SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, weight * level) END AS target FROM levels),
+plan AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM targets),
+p0 AS (
+  SELECT s.*, p.source_size, p.target, p.whole, floor(p.target - p.whole * p.source_size)::BIGINT AS budget
+  FROM sizes s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source),
+p1 AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h RANGE UNBOUNDED PRECEDING) <= budget AS c1 FROM p0),
+r1 AS (SELECT *, budget - coalesce(sum(size) FILTER (WHERE c1) OVER (PARTITION BY source), 0) AS rest1 FROM p1),
+p2 AS (SELECT *, NOT c1 AND size <= rest1 AND coalesce(sum(size) FILTER (WHERE NOT c1 AND size <= rest1) OVER (PARTITION BY source ORDER BY h RANGE UNBOUNDED PRECEDING), 0) <= rest1 AS c2 FROM r1),
+r2 AS (SELECT *, rest1 - coalesce(sum(size) FILTER (WHERE c2) OVER (PARTITION BY source), 0) AS rest2 FROM p2),
+p3 AS (SELECT *, NOT c1 AND NOT c2 AND size <= rest2 AND coalesce(sum(size) FILTER (WHERE NOT c1 AND NOT c2 AND size <= rest2) OVER (PARTITION BY source ORDER BY h RANGE UNBOUNDED PRECEDING), 0) <= rest2 AS c3 FROM r2)
+SELECT doc_id, size, source_size, target, size * (whole + (c1 OR c2 OR c3)::BIGINT) AS taken FROM p3""",
+}
