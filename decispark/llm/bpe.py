@@ -72,16 +72,19 @@ def encoder(path: str, pattern: str) -> SegmentCache:
 
     ranks = read_ranks(path)
     model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(ranks))
-    by_piece = np.array([0, *sorted(ranks.values())], "<u4")
-    chars, pre_tokens = byte_characters(), regex.compile(pattern)
+    by_piece = [0, *sorted(ranks.values())]
+    chars, split, to_ids = byte_characters(), regex.compile(pattern).findall, model.EncodeAsIds
 
     def encode(segment: str) -> bytes:
-        out = []
-        for token in pre_tokens.findall(segment):
+        out: list[int] = []
+        for token in split(segment):
             raw = token.encode()
             rank = ranks.get(raw)
-            out.append(struct.pack("<I", rank) if rank is not None else by_piece[model.encode("".join([chars[b] for b in raw]))].tobytes())
-        return b"".join(out)
+            if rank is None:
+                out += [by_piece[i] for i in to_ids("".join([chars[b] for b in raw]))]
+            else:
+                out.append(rank)
+        return struct.pack(f"<{len(out)}I", *out)
 
     return SegmentCache(encode, pattern)
 

@@ -26,10 +26,12 @@ class SegmentCache(dict):
         self.exact: dict[str, bytes] = {}
 
     def __missing__(self, segment: str) -> bytes | None:
-        body = segment.removeprefix("\n")
         found = None
-        if body and not body[0].isspace() and not body[-1].isspace():
-            found = self.encode_piece(segment if body is not segment and segment[0] == "\n" else " " + segment)
+        if segment[:1] == "\n":
+            if len(segment) > 1 and not segment[1].isspace() and not segment[-1].isspace():
+                found = self.encode_piece(segment)
+        elif segment and not segment[0].isspace() and not segment[-1].isspace():
+            found = self.encode_piece(" " + segment)
         if len(self) >= self.most:
             self.clear()
         self[segment] = found
