@@ -11,10 +11,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, html, mixing, quality, secrets
-from .common import table
+from . import bpe, fingerprints, html, licences, mixing, neardup, pii, quality, secrets, token_store
+from .common import shared_path, table
 
-RANKS = "byte_bpe_multi_50k.tiktoken"
+RANKS, VOCABULARY = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,14 +33,33 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = licences.scan(table(spark, sf_dir, "documents"))
+    return d.select("doc_id", F.array_join("licences", ",").alias("licences"), F.array_join("sentence_ids", ",").alias("sentence_ids"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "tokens")
+    token_store.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    return token_store.read(spark, folder)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(RANKS)
     ids = bpe.with_digest(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN))
@@ -55,8 +74,12 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_mixing": op2_mixing,
+    "op3_pii": op3_pii,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_quality_rules": op5_quality_rules,
+    "op6_licences": op6_licences,
     "op7_secrets": op7_secrets,
+    "op8_token_store": op8_token_store,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_html_text": op10_html_text,
 }
