@@ -1,26 +1,72 @@
-"""The corpus pipeline: quality rules, near-dedup, secret scan, source mixing, token ids."""
+"""The corpus pipeline: quality rules, near-dedup, secret scan, source mixing, token ids.
+
+Each stage takes what the one before kept and returns the columns of documents; the last
+returns doc_id, source and the token ids. Ids of documents that go are broadcast where they
+are few and joined otherwise, so the texts that stay are not shuffled for them. Every stage
+handles null, empty and repeated rows as its operator does; rows of one id share their fate.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from decispark.llm.common import shared_path, table
-from decispark.llm.quality import quality_rules
+from decispark.llm import bpe, mixing, neardup, quality, secrets
+from decispark.llm.common import cut, shared_path, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: At most so many ids are broadcast.
+BROADCAST_IDS = 500_000
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the ids of gone; a null id stays."""
+    ids = cut(gone.select("doc_id").distinct(), "gone")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    kept = quality_rules(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    return _without(docs, quality.quality_rules(docs).where("not kept"))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of least id of each group of near-duplicates, at a similarity of 0.8."""
+    return _without(docs, neardup.near_duplicates(docs, percent=80).where("not kept"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a mark and n_chars counted anew."""
+    clean = secrets.redact(docs)
+    return clean.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))).select(docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    mixed = mixing.mix(docs).where("copies > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens and ids of every document."""
+    ids = bpe.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return ids.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("secrets", secrets_stage),
+    ("mixing", mixing_stage),
+    ("byte_bpe", token_stage),
+]
 
-#: No SQL: the robust outliers of the first stage are an iterative estimate.
+#: No SQL: robust estimates, Markov models and byte pair merges are beyond it; tests/llm has a brute-force version.
 ORACLE_SQL: str | None = None
 
 

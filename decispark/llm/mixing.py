@@ -70,34 +70,40 @@ def _threshold(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return whole.join(fine, "k", "full_outer").select("k", F.coalesce("fine_h", last).alias("cut_h"), F.coalesce("fine_upto", "upto").alias("taken_sum"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, passes: int = 3) -> DataFrame:
-    """doc_id, source, size, source_size, target and copies, the times that the mix takes the document."""
-    rows = cut(sized(docs), "sizes")
-    key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
-    targets = cut(source_targets(rows, weights, most).withColumn("k", key), "targets")
+def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, passes: int = 3) -> DataFrame:
+    """One row per source: k (its key), source_size, target, whole, and the nested thresholds (cuts with the sizes that fits admits)."""
+    items = cut(sized(docs), "sizes")
+    rows = items.withColumn("k", source_key())
+    targets = source_targets(items, weights, most).withColumn("k", source_key())
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    plan = targets.withColumn("whole", whole).withColumn("budget", F.floor(F.col("target") - F.col("whole") * F.col("source_size")))
-    cuts = None
-    items = rows.withColumn("k", key)
+    budget = F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("bigint")
+    none = F.array().cast("array<bigint>")
+    plan = cut(targets.withColumn("whole", whole).withColumn("rest", budget).select("k", "source_size", "target", "whole", "rest", none.alias("cuts"), none.alias("fits")), "plan")
     for _ in range(passes):
-        if cuts is None:
-            rest, open_rows = plan.select("k", "budget"), items
-        else:
-            rest = plan.join(cuts, "k", "left").select("k", (F.col("budget") - F.coalesce("sum_all", F.lit(0))).alias("budget"))
-            open_rows = _chosen(items, plan, cuts).where("not chosen").join(rest, "k").where("size <= budget").drop("budget")
-        found = _threshold(open_rows, rest)
-        if cuts is None:
-            cuts = cut(found.select("k", F.array("cut_h").alias("cuts"), F.array(F.col("taken_sum") * 0 + F.lit(2**62)).alias("fits"), F.col("taken_sum").alias("sum_all")), "cuts")
-        else:
-            joined = rest.join(cuts, "k", "left").join(found, "k", "left")
-            none = F.slice(F.array(F.lit(0).cast("bigint")), 1, 0)
-            cuts = cut(joined.select("k", F.concat(F.coalesce("cuts", none), F.array(F.coalesce("cut_h", F.lit(-1).cast("bigint")))).alias("cuts"), F.concat(F.coalesce("fits", none), F.array(F.col("budget").cast("bigint"))).alias("fits"), (F.coalesce("sum_all", F.lit(0)) + F.coalesce("taken_sum", F.lit(0))).alias("sum_all")), "cuts")
-    out = _chosen(items, plan, cuts)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("chosen").cast("long")).alias("copies"))
-
-
-def _chosen(items: DataFrame, plan: DataFrame, cuts: DataFrame) -> DataFrame:
-    """items with their source's plan and whether one of the nested thresholds takes them once more."""
-    passed = F.exists(F.arrays_zip("cuts", "fits"), lambda x: (F.col("h") <= x["cuts"]) & (F.col("size") <= x["fits"]))
-    d = items.join(plan.select("k", "source_size", "target", "whole").join(cuts.select("k", "cuts", "fits"), "k", "left"), "k")
-    return d.select(*items.columns, "source_size", "target", "whole", F.coalesce(passed, F.lit(False)).alias("chosen"))
+        left = rows.join(plan.select("k", "rest", "cuts", "fits"), "k").where(~passed() & (F.col("size") <= F.col("rest"))).select("k", "h", "size")
+        found = _threshold(left, plan.select("k", F.col("rest").alias("budget")))
+        d = plan.join(found, "k", "left")
+        plan = cut(d.select("k", "source_size", "target", "whole", (F.col("rest") - F.coalesce("taken_sum", F.lit(0))).alias("rest"), F.array_append("cuts", F.coalesce("cut_h", F.lit(-1).cast("bigint"))).alias("cuts"), F.array_append("fits", F.col("rest")).alias("fits")), "plan")
+    return plan.drop("rest")
+
+
+def source_key() -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
+
+
+def passed() -> Column:
+    """Whether one of the thresholds takes a row once more: its hash is low enough and it was small enough to fit."""
+    return F.exists(F.arrays_zip("cuts", "fits"), lambda x: (F.col("h") <= x["cuts"]) & (F.col("size") <= x["fits"]))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, passes: int = 3, sources_broadcast: int = 10_000) -> DataFrame:
+    """The columns of docs with size, source_size, target and copies, the times that the mix takes the document.
+
+    The plan has one row per source and is broadcast up to sources_broadcast of them, so docs are
+    filtered where they are read; beyond, they are joined by source.
+    """
+    plan = plan_mix(docs, weights, most, passes)
+    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
+    rows = docs.select(F.struct(*own).alias("row"), F.size(words_of(text_of())).cast("long").alias("size"), hash_of(F.col("doc_id")).alias("h"), source_key().alias("k"))
+    d = rows.join(F.broadcast(plan) if plan.count() <= sources_broadcast else plan, "k")
+    return d.select("row.*", "size", "source_size", "target", (F.col("whole") + passed().cast("long")).alias("copies"))

@@ -29,7 +29,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = mixing.mix(table(spark, sf_dir, "documents"))
+    d = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return d.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
