@@ -4,9 +4,9 @@ Each text's distinct five-word shingles give a sketch of exponentially spaced mi
 with equal sets are one class. Bands of registers gather classes into buckets; in every bucket
 each class meets the least class, estimates by joint likelihood choose its best partner, and
 full sets confirm. What is then linked counts as one. Only buckets that still hold more than
-one group are looked at again, and there all pairs between different groups are estimated and,
-where near the threshold, confirmed. So no link between candidates is lost, and no bucket
-emits its pairs. A link is missed only where no band agrees: at most 5 in a million at the threshold.
+one group are looked at again: there all pairs between different groups are estimated and,
+where near the threshold, confirmed on full sets. So no link between candidates is lost, and
+no bucket emits more links than it has members. A link is missed only where no band agrees: at most 5 in a million at the threshold.
 
 Sets below 1 / (1 - threshold) shingles link with nothing but equal sets and are not banded.
 Large buckets of the second step are split into blocks that meet two by two.
@@ -97,23 +97,12 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b whose full shingle sets have 100 * intersection >= percent * union."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [s.tobytes() for s in shingles.sets_of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "items"])
-
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            keep = []
-            for x, y in zip(f["x"], f["y"], strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
+            keep = [alike(x, y, percent) for x, y in zip(f["x"], f["y"], strict=True)]
             yield f.loc[np.array(keep, bool), ["a", "b"]]
 
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(_if_small(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    found = texts.mapInArrow(sets, "id bigint, items binary")
+    found = shingle_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     left = pairs.join(found.withColumnRenamed("items", "y"), F.col("b") == F.col("id")).drop("id")
     return left.join(found.withColumnRenamed("items", "x"), F.col("a") == F.col("id")).drop("id").mapInPandas(check, "a bigint, b bigint")
 
@@ -141,8 +130,75 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("id"), F.col("u").alias("component")).unionByName(roots)
 
 
-def cross_pairs(members: DataFrame, classes: DataFrame, threshold: float, slack: float) -> DataFrame:
-    """Pairs of different groups in a bucket whose estimate comes within slack of the threshold.
+def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and items, the sorted shingle hashes, of the documents in ids (column doc_id)."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [s.tobytes() for s in shingles.sets_of(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["id", "items"])
+
+    wanted = cut(ids.distinct(), "wanted")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(_if_small(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return texts.mapInArrow(sets, "id bigint, items binary")
+
+
+def alike(x: bytes, y: bytes, percent: int) -> bool:
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+class _Groups:
+    """Which groups of a bucket have been joined so far."""
+
+    def __init__(self) -> None:
+        self.root: dict[int, int] = {}
+
+    def find(self, g: int) -> int:
+        while (up := self.root.get(g, g)) != g:
+            g = up
+        return g
+
+    def join(self, a: int, b: int) -> None:
+        self.root[self.find(b)] = self.find(a)
+
+
+def _bucket_links(f: pd.DataFrame, rows: int, percent: int, slack: float) -> list[tuple[int, int]]:
+    """Confirmed links between different groups of one bucket (or of two of its blocks), at most one less than its members.
+
+    Every pair of classes is looked at in its first common band only, so in one bucket.
+    """
+    threshold = percent / 100
+    f = f.sort_values(["n_shingles", "id"])
+    registers, n = _registers(f["sketch"].tolist()), f["n_shingles"].to_numpy(float)
+    ids, group, own, items = f["id"].tolist(), f["grp"].tolist(), f["own"].to_numpy(), f["items"].tolist()
+    inner = f["lo"].iloc[0] == f["hi"].iloc[0]
+    band = int(np.flatnonzero(shingles.band_keys(registers[:1], rows)[0] == f["key"].iloc[0])[0])
+    known, out = _Groups(), []
+    for i in range(len(f) - 1):
+        j = np.arange(i + 1, int(np.searchsorted(n, n[i] / threshold, "right")))
+        here = known.find(group[i])
+        j = np.array([k for k in j if known.find(group[k]) != here and (inner or own[k] != own[i])], np.int64)
+        if not len(j):
+            continue
+        same = registers[j] == registers[i]
+        near = same.sum(1) >= (threshold - 1.5 * slack) * shingles.REGISTERS
+        if band:
+            near &= ~same[:, : band * rows].reshape(len(j), band, rows).all(2).any(1)
+        j = j[near]
+        if not len(j):
+            continue
+        estimate = shingles.likelihood_estimate((registers[j] > registers[i]).sum(1), (registers[j] < registers[i]).sum(1), n[j], np.full(len(j), n[i]))
+        for k in j[np.argsort(-estimate, kind="stable")][: int((estimate >= threshold - slack).sum())].tolist():
+            if known.find(group[k]) != known.find(group[i]) and alike(items[i], items[k], percent):
+                known.join(group[i], group[k])
+                out.append((min(ids[i], ids[k]), max(ids[i], ids[k])))
+    return out
+
+
+def cross_links(docs: DataFrame, members: DataFrame, classes: DataFrame, rows: int, percent: int, slack: float) -> DataFrame:
+    """Links a, b between different groups that share a bucket, confirmed on full sets.
 
     members: key, id, grp and size (of the bucket). A bucket above BLOCK members is cut into
     blocks by id; every two blocks meet in a task of their own, so all its pairs are looked at.
@@ -151,28 +207,24 @@ def cross_pairs(members: DataFrame, classes: DataFrame, threshold: float, slack:
     d = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     d = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     d = d.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "grp")
-    d = d.join(classes.select("id", "n_shingles", "sketch"), "id")
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("n_shingles", kind="stable")
-        registers, n = _registers(f["sketch"].tolist()), f["n_shingles"].to_numpy(float)
-        group, ids, own = f["grp"].to_numpy(), f["id"].to_numpy(), f["own"].to_numpy()
-        inner = f["lo"].iloc[0] == f["hi"].iloc[0]
-        out = []
-        for i in range(len(f) - 1):
-            end = int(np.searchsorted(n, n[i] / threshold, "right"))
-            j = np.arange(i + 1, end)
-            j = j[(group[j] != group[i]) & (inner | (own[j] != own[i]))]
-            if not len(j):
-                continue
-            same = (registers[j] == registers[i]).sum(1)
-            j = j[same >= (threshold - 1.5 * slack) * shingles.REGISTERS]
-            if len(j):
-                near = shingles.likelihood_estimate((registers[j] > registers[i]).sum(1), (registers[j] < registers[i]).sum(1), n[j], np.full(len(j), n[i]))
-                out += [(min(ids[i], ids[k]), max(ids[i], ids[k])) for k in j[near >= threshold - slack]]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return d.groupBy("key", "lo", "hi").applyInPandas(run, "a bigint, b bigint").distinct()
+    sets = shingle_sets(docs, members.select(F.col("id").alias("doc_id")))
+    d = d.join(classes.select("id", "n_shingles", "sketch").join(sets, "id"), "id")
+    bucket = ["key", "lo", "hi"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for f in frames:
+            held = f if held is None else pd.concat([held, f], ignore_index=True)
+            names = held[bucket].to_numpy()
+            starts = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1).tolist()]
+            links = [x for a, b in zip(starts, starts[1:], strict=False) for x in _bucket_links(held.iloc[a:b], rows, percent, slack)]
+            held = held.iloc[starts[-1] :]
+            yield pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+        if held is not None and len(held):
+            yield pd.DataFrame(_bucket_links(held, rows, percent, slack), columns=["a", "b"]).astype("int64")
+
+    dealt = d.repartition(*bucket).sortWithinPartitions(*bucket)
+    return dealt.mapInPandas(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -199,9 +251,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     grouped = shared.join(first, "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("grp"))
     grouped = cut(grouped, "grouped")
     mixed = grouped.groupBy("key").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1")).where("g0 <> g1").select("key")
-    members = grouped.join(mixed, "key", "left_semi")
-    rest = cut(cross_pairs(members, classes, threshold, slack), "rest")
-    more = confirmed(docs, rest, percent)
+    members = cut(grouped.join(mixed, "key", "left_semi"), "members")
+    more = cross_links(docs, members, classes, rows_per_band(threshold), percent, slack)
     final = components(links.unionByName(more))
 
     out = feats.select("doc_id", "n_shingles", "signature").join(ids, "signature", "left")
