@@ -120,3 +120,16 @@ def bag_minus(a: Column, b: Column) -> Column:
     count = lambda arr, v: F.size(F.filter(arr, lambda x: x == v))
     extra = F.flatten(F.transform(F.array_sort(F.array_distinct(a)), lambda v: F.array_repeat(v, F.greatest(count(a, v) - count(b, v), F.lit(0)))))
     return F.array_join(extra, ",")
+
+
+def chained(rows: DataFrame, hops: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
+    """rows through a chain of look-ups, each (table, key of what is there, key of the table, column to take); with the first hop that finds nothing.
+
+    A table is looked up by its own distinct key; Spark broadcasts the small ones itself.
+    """
+    d = rows.withColumn("unmatched", F.lit(None).cast("string"))
+    for table, key, table_key, take in hops:
+        t = table.select(F.col(table_key).alias("__k"), F.col(take).alias(take), F.lit(True).alias("__there"))
+        d = d.join(t, F.col(key) == F.col("__k"), "left")
+        d = d.withColumn("unmatched", F.coalesce("unmatched", F.when(F.col("__there").isNull(), F.lit(take)))).drop("__k", "__there")
+    return d

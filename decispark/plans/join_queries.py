@@ -228,3 +228,18 @@ def v04(spark, sf_dir):
         F.collect_set(F.col("l_partkey").cast("string")).alias("legal"),
     )
     return validation.broken(d, ["l_orderkey"], validation.edge_rules("edges", "legal"))
+
+
+@query("j04_chained_lookups", """SELECT s_suppkey, r_name, CASE WHEN n_nationkey IS NULL THEN 'n_regionkey' WHEN r_regionkey IS NULL THEN 'r_name' END AS unmatched FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 6 <> 0) n ON s_nationkey = n_nationkey LEFT JOIN (SELECT * FROM region WHERE r_regionkey <> 2) r ON n_regionkey = r_regionkey""")
+def j04(spark, sf_dir):
+    nation = load(spark, sf_dir, "nation").where("n_nationkey % 6 <> 0")
+    region = load(spark, sf_dir, "region").where("r_regionkey <> 2")
+    d = joins.chained(load(spark, sf_dir, "supplier"), [(nation, "s_nationkey", "n_nationkey", "n_regionkey"), (region, "n_regionkey", "r_regionkey", "r_name")])
+    return d.select("s_suppkey", "r_name", "unmatched")
+
+
+@query("f06_loadable_routes", """WITH r AS (SELECT o_custkey, count(*) AS n, count(DISTINCT o_orderkey) AS d, bool_and(o_totalprice > 0) AS paid, bool_or(o_orderstatus = 'P') AS open FROM orders GROUP BY 1)
+SELECT o_custkey, rule FROM (SELECT o_custkey, unnest(['unique', 'paid', 'closed', 'long']) AS rule, unnest([n = d, paid, NOT open, n >= 3]) AS ok FROM r) WHERE NOT ok""")
+def f06(spark, sf_dir):
+    r_ = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("d"), F.every(F.col("o_totalprice") > 0).alias("paid"), F.some(F.col("o_orderstatus") == "P").alias("open"))
+    return validation.broken(r_, ["o_custkey"], {"unique": F.col("n") == F.col("d"), "paid": F.col("paid"), "closed": ~F.col("open"), "long": F.col("n") >= 3})

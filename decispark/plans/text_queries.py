@@ -218,3 +218,33 @@ def k01(spark, sf_dir):
     from pyspark.sql import Window as W
 
     return load(spark, sf_dir, "supplier").select("s_suppkey", F.row_number().over(W.orderBy("s_nationkey", F.col("s_acctbal").desc_nulls_last(), "s_suppkey")).alias("place"))
+
+
+@query("x26_iso_time", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad((extract('millisecond' FROM ts)::INT % 1000)::VARCHAR, 3, '0') || 'Z' AS at FROM events")
+def x26(spark, sf_dir):
+    return load(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("at"))
+
+
+@query("x30_k08_suggested_scores", """WITH s AS (SELECT user_id, event_type, avg((value > 20)::INT) AS win, avg(value) AS hp, count(*) AS visits FROM events GROUP BY ALL)
+SELECT user_id, event_type, round(win, 6) AS win, round(hp, 6) AS hp, visits FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY visits DESC, win DESC, hp DESC, event_type) = 1""")
+def x30(spark, sf_dir):
+    from decispark.sources.files import first_per_key
+
+    s = load(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.avg((F.col("value") > 20).cast("int")).alias("win"), F.avg("value").alias("hp"), F.count(F.lit(1)).alias("visits"))
+    d = first_per_key(s, ["user_id"], [F.desc("visits"), F.desc("win"), F.desc("hp"), "event_type"])
+    return d.select("user_id", "event_type", r("win"), r("hp"), "visits")
+
+
+@query("t12_t19_parsed_states", "SELECT event_id, (props::JSON ->> 'k')::INT AS k, (props::JSON ->> 'missing') IS NULL AS no_extra FROM events")
+def t12(spark, sf_dir):
+    parsed = F.from_json("props", "k int, missing string")
+    return load(spark, sf_dir, "events").select("event_id", parsed.alias("p")).select("event_id", "p.k", F.col("p.missing").isNull().alias("no_extra"))
+
+
+@query("r12_t18_event_rows", "SELECT o_custkey, position, kind, CASE WHEN kind = 'reward' THEN o_totalprice END AS amount FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS position, CASE WHEN o_orderstatus = 'F' THEN 'reward' ELSE 'combat' END AS kind, o_totalprice FROM orders)")
+def r12(spark, sf_dir):
+    from pyspark.sql import Window as W
+
+    kind = F.when(F.col("o_orderstatus") == "F", "reward").otherwise("combat")
+    d = load(spark, sf_dir, "orders").select("o_custkey", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).alias("position"), kind.alias("kind"), "o_totalprice")
+    return d.select("o_custkey", "position", "kind", F.when(F.col("kind") == "reward", F.col("o_totalprice")).alias("amount"))
