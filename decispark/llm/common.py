@@ -47,6 +47,24 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Rows and bytes in an Arrow batch of texts: what a Python worker and its executor hold at a time.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4_000_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after lowering the session's Arrow batches to BATCH_ROWS and BATCH_BYTES where they are larger.
+
+    The defaults are made for narrow rows; texts would fill an executor's memory beside its heap.
+    """
+    conf = df.sparkSession.conf
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, BATCH_ROWS)
+    if not 0 < int(conf.get(size).rstrip("b")) <= BATCH_BYTES:
+        conf.set(size, f"{BATCH_BYTES}b")
+    return df
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

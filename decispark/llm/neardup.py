@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import cut
+from .common import cut, small_batches
 
 #: At most so many rows are broadcast; beyond, the join shuffles both sides.
 BROADCAST_ROWS = 500_000
@@ -53,7 +53,7 @@ def features(docs: DataFrame, least: int = 6) -> DataFrame:
                     sketch[i] = row.tobytes()
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([shingles.signature(s) for s in sets], pa.binary()), pa.array(sketch, pa.binary())], names=["doc_id", "n_shingles", "signature", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, signature binary, sketch binary")
+    return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, signature binary, sketch binary")
 
 
 def bands(classes: DataFrame, rows: int) -> DataFrame:

@@ -22,6 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 #: Every match of ASSIGN holds one of these in lower case.
@@ -140,7 +142,7 @@ def _run(docs: DataFrame, text: str, threshold: float, sample: int, seed: int, r
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], last], names=[*rest, text if redacted else "spans"])
 
     last = T.StructField(text, T.StringType()) if redacted else T.StructField("spans", T.ArrayType(SPAN))
-    return docs.select(F.col(text).cast("string").alias(text), *rest).mapInArrow(run, T.StructType([*[docs.schema[c] for c in rest], last]))
+    return small_batches(docs).select(F.col(text).cast("string").alias(text), *rest).mapInArrow(run, T.StructType([*[docs.schema[c] for c in rest], last]))
 
 
 def joined(spans: Column) -> Column:

@@ -13,7 +13,7 @@ U = np.uint64
 #: Registers of a sketch, and the base of their exponential spacing.
 REGISTERS, BASE = 252, 1.02
 #: Bytes of text handled at a time; a longer text is handled alone.
-SLICE = 2_000_000
+SLICE = 500_000
 _GOLD, _M1, _M2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 
 
