@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .pieces import SegmentCache, encode_batches, list_array
+from .common import small_batches
+from .pieces import Encoder, encode_batches, list_array, pre_tokens
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -66,7 +67,7 @@ def model_bytes(ranks: dict[bytes, int]) -> bytes:
 
 
 @cache
-def encoder(path: str, pattern: str) -> SegmentCache:
+def encoder(path: str, pattern: str) -> Encoder:
     """One per Python worker."""
     import sentencepiece
 
@@ -75,18 +76,18 @@ def encoder(path: str, pattern: str) -> SegmentCache:
     by_piece = [0, *sorted(ranks.values())]
     chars, split, to_ids = byte_characters(), regex.compile(pattern).findall, model.EncodeAsIds
 
-    def encode(segment: str) -> bytes:
+    def encode(segment: str) -> list[int]:
         out: list[int] = []
-        for token in split(segment):
+        for token in pre_tokens(segment, split):
             raw = token.encode()
             rank = ranks.get(raw)
             if rank is None:
                 out += [by_piece[i] for i in to_ids("".join([chars[b] for b in raw]))]
             else:
                 out.append(rank)
-        return struct.pack(f"<{len(out)}I", *out)
+        return out
 
-    return SegmentCache(encode, pattern)
+    return Encoder(encode, pattern)
 
 
 @cache
@@ -113,11 +114,11 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     rest = [c for c in docs.columns if c not in (text, ids)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, values, counts in encode_batches(batches, encoder(path, pattern).encode, 0):
+        for batch, values, counts in encode_batches(batches, encoder(path, pattern), 0):
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], list_array(values, counts)], names=[*rest, ids])
 
     schema = T.StructType([*[docs.schema[c] for c in rest], T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return docs.select(F.col(text).cast("string").alias(text), *rest).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(text).cast("string").alias(text), *rest).mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:

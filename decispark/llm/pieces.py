@@ -1,68 +1,164 @@
-"""Encoding of whole texts by cached segments, shared by the two tokenizer operators.
+"""Encoding of whole columns of texts by distinct segments, shared by the two tokenizer operators.
 
 A text is cut before every space or newline that stands between two other characters: both
 tokenizers' split patterns always end a match there, so a segment encodes alike wherever it
-stands. Texts in which white space meets white space are split by the whole pattern instead.
+stands. Of a batch, every distinct segment is looked up once, and the tokenizer sees only new
+ones. Texts in which white space meets white space are split by the whole pattern instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
+#: Bytes of text handled at a time.
+SLICE = 4_000_000
+MARKS = frozenset(".,;:!?")
 
-class SegmentCache(dict):
-    """segment -> its ids as little-endian uint32 bytes; None where white space meets white space.
 
-    At most ``most`` segments are held; then the cache starts anew, which changes no result.
+def pre_tokens(segment: str, findall: Callable[[str], list[str]]) -> list[str]:
+    """The matches of the split pattern; a space and letters are one."""
+    return [segment] if segment[0] == " " and segment[1:].isalpha() else findall(segment)
+
+
+class Encoder:
+    """Encodes texts by a function from a piece of text to its ids.
+
+    Beyond ``most`` segments only those of the last texts stay, which changes no result.
     """
 
-    def __init__(self, encode: Callable[[str], bytes], pattern: str, most: int = 200_000):
-        super().__init__()
+    def __init__(self, encode: Callable[[str], list[int]], pattern: str, most: int = 120_000):
         self.encode_piece, self.pattern, self.most = encode, regex.compile(pattern), most
-        self.exact: dict[str, bytes] = {}
-
-    def __missing__(self, segment: str) -> bytes | None:
-        found = None
-        if segment[:1] == "\n":
-            if len(segment) > 1 and not segment[1].isspace() and not segment[-1].isspace():
-                found = self.encode_piece(segment)
-        elif segment and not segment[0].isspace() and not segment[-1].isspace():
-            found = self.encode_piece(" " + segment)
-        if len(self) >= self.most:
-            self.clear()
-        self[segment] = found
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.exact: dict[str, list[int]] = {}
+        self.marks = {m: self.encode_piece(m) for m in MARKS}
+        self.fresh: list[list[int]] = []
+        self.n, self.used = 1, 0  # entry 0 is empty
+        self.ids = np.zeros(1 << 20, np.uint32)
+        self.start, self.length = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
+
+    def _add(self, ids: list[int]) -> int:
+        self.fresh.append(ids)
+        return self.n + len(self.fresh) - 1
+
+    def _flush(self) -> None:
+        """Move the new entries into the arrays."""
+        sizes = np.fromiter(map(len, self.fresh), np.int32, len(self.fresh))
+        total = int(sizes.sum())
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.n + len(sizes) > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(self.fresh), np.uint32, total)
+        new = slice(self.n, self.n + len(sizes))
+        self.length[new], self.start[new] = sizes, self.used + np.cumsum(sizes) - sizes
+        self.n, self.used, self.fresh = self.n + len(sizes), self.used + total, []
+
+    def _keep(self, names: list[str], table: np.ndarray) -> None:
+        """Drop all entries but those of the names."""
+        entries = np.maximum(table, 0)
+        sizes = self.length[entries]
+        ends = np.cumsum(sizes, dtype=np.int32)
+        kept = self.ids[np.repeat(self.start[entries] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
+        self.ids[: len(kept)], self.used = kept, len(kept)
+        self.start[1 : len(ends) + 1], self.length[1 : len(ends) + 1], self.n = ends - sizes, sizes, len(ends) + 1
+        self.known = {s: i if old >= 0 else -1 for i, (s, old) in enumerate(zip(names, table.tolist(), strict=True), 1)}
+
+    def _of(self, entry: int) -> list[int]:
+        if entry >= self.n:
+            return self.fresh[entry - self.n]
+        return self.ids[self.start[entry] : self.start[entry] + self.length[entry]].tolist()
+
+    def _entry(self, segment: str) -> int:
+        """Entry of what follows a space; -1 where white space meets white space.
+
+        A mark after a letter is a piece of its own.
+        """
+        if not segment or segment[-1].isspace():
+            found = -1
+        elif segment[0] == "\n":
+            found = -1 if segment[1].isspace() else self._add(self.encode_piece(segment))
+        elif segment[0].isspace():
+            found = -1
+        elif segment[-1] in MARKS and segment[-2:-1].isalpha():
+            bare = self.known.get(segment[:-1], -1)
+            ids = self._of(bare) if bare >= 0 else self.encode_piece(" " + segment[:-1])
+            found = self._add(ids + self.marks[segment[-1]])
+        else:
+            found = self._add(self.encode_piece(" " + segment))
+        self.known[segment] = found
         return found
 
-    def piecewise(self, text: str) -> bytes:
-        out, known = [], self.exact
+    def _head(self, segment: str) -> int:
+        """Entry of a text's first segment, which no space precedes."""
+        if not segment:
+            return 0
+        return -1 if segment[-1].isspace() else self._add(self.encode_piece(segment))
+
+    def piecewise(self, text: str) -> list[int]:
+        out: list[int] = []
         for piece in self.pattern.findall(text):
-            ids = known.get(piece)
+            ids = self.exact.get(piece)
             if ids is None:
-                if len(known) >= self.most:
-                    known.clear()
-                ids = known[piece] = self.encode_piece(piece)
-            out.append(ids)
-        return b"".join(out)
-
-    def encode(self, text: str) -> bytes:
-        head, *rest = text.replace("\n", " \n").split(" ")
-        if not head or not head[-1].isspace():
-            try:
-                return (self.encode_piece(head) if head else b"") + b"".join(map(self.__getitem__, rest))
-            except TypeError:  # a segment is None
-                pass
-        return self.piecewise(text)
-
-
-def encode_batches(batches: Iterator[pa.RecordBatch], encode: Callable[[str], bytes], text_at: int, end: bytes = b"") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Each batch with the ids of all its texts in one array and the number of ids of each text."""
-    for batch in batches:
-        found = [encode(t or "") + end for t in batch.column(text_at).to_pylist()]
-        yield batch, np.frombuffer(b"".join(found), "<u4"), np.fromiter((len(x) // 4 for x in found), np.int64, len(found))
+                ids = self.exact[piece] = self.encode_piece(piece)
+            out += ids
+        return out
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in one array, and the number of ids of each."""
+        if len(self.exact) > self.most:
+            self._clear()
+        texts = texts.cast(pa.large_string()).fill_null("")
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        firsts = ends[:-1] - ends[0]
+        distinct = lists.flatten().dictionary_encode()
+        codes = distinct.indices.to_numpy()
+        names = distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
+        known, entry = self.known, self._entry
+        table = np.fromiter((x if (x := known.get(s)) is not None else entry(s) for s in names), np.int32, len(names))
+        at = table[codes]
+        at[firsts] = [self._head(names[c]) for c in codes[firsts].tolist()]
+        bad = np.flatnonzero(np.minimum.reduceat(at, firsts) < 0) if len(firsts) else []
+        if len(bad):
+            last = np.append(firsts, len(at))
+            for i in bad.tolist():
+                at[last[i] : last[i + 1]] = 0
+                at[last[i]] = self._add(self.piecewise(texts[i].as_py()))
+        self._flush()
+        sizes = self.length[at]
+        upto = np.cumsum(sizes, dtype=np.int32)
+        place = np.repeat(self.start[at] - (upto - sizes), sizes)
+        place += np.arange(len(place), dtype=np.int32)
+        counts = np.add.reduceat(sizes, firsts, dtype=np.int64) if len(firsts) else np.zeros(0, np.int64)
+        out = self.ids[place]
+        if self.n > self.most:
+            self._keep(names, table)
+        return out, counts
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_column(pa.array([text]))[0].tolist()
+
+
+def encode_batches(batches: Iterator[pa.RecordBatch], encoder: Encoder, text_at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches with all their ids in one array and the number of ids of each text."""
+    for whole in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(whole.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < whole.num_rows:
+            base = sizes[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(sizes, base + SLICE, "right")))
+            batch = whole.slice(at, end - at)
+            yield batch, *encoder.encode_column(batch.column(text_at))
+            at = end
 
 
 def list_array(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:

@@ -19,55 +19,68 @@ from __future__ import annotations
 
 import hashlib
 import os
-import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWEST, range_of, range_starts
-from .pieces import SegmentCache, encode_batches
+from .common import LOWEST, range_of, range_starts, small_batches
+from .bpe import byte_characters
+from .pieces import Encoder, encode_batches, pre_tokens
 from .shingles import mix
 
 U = np.uint64
-#: A chunk ends where MASK bits of the rolling hash are zero, after LEAST ids, or after MOST.
-WINDOW_STEPS, MASK, LEAST, MOST = 4, U(127), 32, 1024
+#: A chunk ends where the top MASK_BITS of the rolling hash are zero, after LEAST ids, or after MOST.
+WINDOW_STEPS, MASK_BITS, LEAST, MOST = 4, 7, 32, 1024
+#: Segments that a Python worker remembers, at about 200 bytes each.
+SEGMENTS = 800_000
 #: Id that ends each document; bytes of a stored id.
 END_ID, WIDTH = 2, 2
 
 
 @cache
-def encoder(path: str, pattern: str) -> SegmentCache:
+def encoder(path: str, pattern: str, segments: int) -> Encoder:
     """One per Python worker; threads of its own would compete with Spark's tasks."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenize, split = tokenizer.model.tokenize, regex.compile(pattern).findall
+    printable = dict(enumerate(byte_characters()))
 
-    def encode(segment: str) -> bytes:
-        ids = tokenizer.encode(segment, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def encode(segment: str) -> list[int]:
+        """The library's merges for each pre-token, its bytes written as the library's pre-tokenizer writes them."""
+        if segment.isascii() and segment[0] == " " and segment[1:].isalpha():
+            return [t.id for t in tokenize(printable[32] + segment[1:])]
+        return [t.id for piece in pre_tokens(segment, split) for t in tokenize(piece.encode().decode("latin-1").translate(printable))]
 
-    return SegmentCache(encode, pattern)
+    return Encoder(encode, pattern, segments)
+
+
+@cache
+def _id_values() -> np.ndarray:
+    """A random 32-bit value for each id that WIDTH bytes can hold."""
+    with np.errstate(over="ignore"):
+        return (mix(np.arange(1, 256**WIDTH + 1, dtype=U) * U(0x9E3779B97F4A7C15)) >> U(32)).astype(np.uint32)
 
 
 def cut_points(ids: np.ndarray, counts: np.ndarray) -> Iterator[list[int]]:
     """For each document the ends of its chunks, as places in ids."""
     with np.errstate(over="ignore"):
-        h = mix(ids.astype(U) + U(0x9E3779B97F4A7C15))
-        factor = U(0xD6E8FEB86659FD93)
+        h = _id_values()[ids]
+        factor = np.uint32(0x9E3779B1)
         for step in range(WINDOW_STEPS):
-            shifted = np.zeros_like(h)
-            shifted[1 << step :] = h[: -(1 << step)]
-            h = h + factor * shifted
+            shifted = h[: -(1 << step)] * factor
+            h = h.copy()
+            h[1 << step :] += shifted
             factor = factor * factor
-        at = np.flatnonzero((mix(h) & MASK) == 0) + 1
+        at = np.flatnonzero(h >> np.uint32(32 - MASK_BITS) == 0) + 1
     ends = np.cumsum(counts)
     bounds = np.searchsorted(at, np.concatenate([[0], ends]), "right").tolist()
     places = at.tolist()
@@ -99,9 +112,8 @@ def parts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Rows of two kinds: chunk (key: digest, data) and recipe (key: id and root, doc_id, digests, lengths)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end = struct.pack("<I", END_ID)
-        small = (b for whole in batches for b in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)))
-        for batch, ids, counts in encode_batches(small, encoder(path, pattern).encode, 1, end):
+        for batch, ids, counts in encode_batches(batches, encoder(path, pattern, SEGMENTS), 1):
+            ids, counts = np.insert(ids, np.cumsum(counts), END_ID), counts + 1
             raw = ids.astype(f"<u{WIDTH}").tobytes()
             chunks: dict[bytes, bytes] = {}
             digests, lengths = [], []
@@ -132,7 +144,7 @@ def parts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 names=["kind", "key", "data", "doc_id", "digests", "lengths"],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "kind string, key binary, data binary, doc_id bigint, digests array<binary>, lengths array<int>")
+    return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "kind string, key binary, data binary, doc_id bigint, digests array<binary>, lengths array<int>")
 
 
 def root_of(digests: Column) -> Column:

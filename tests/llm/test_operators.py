@@ -338,8 +338,22 @@ def test_bpe_at_every_kind_of_white_space():
     letters = [*" \n\t\r\x0b\x0c\xa0 abzAB19.,'!?éßñ漢字😀\x1c\x85_-$%", "  ", "\n\n", "'s", "<|endoftext|>", "½"]
     for _ in range(3000):
         text = "".join(r.choice(letters) for _ in range(r.randint(0, 25)))
-        raw = own.encode(text)
-        assert [int.from_bytes(raw[i : i + 4], "little") for i in range(0, len(raw), 4)] == library.encode_ordinary(text)
+        assert own.encode(text) == library.encode_ordinary(text)
+
+
+def test_store_encoder_equals_the_library_at_every_kind_of_text():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    own, r = token_store.encoder(path, public_tokenizers.PATTERN, 1000), random.Random(4)
+    letters = [*" \n\t\r\xa0 abzAB19.,'!?éßñ漢字😀_-$%", "  ", "\n\n", "'s", "<|endoftext|>", "½", " word", "word, "]
+    for _ in range(3000):
+        text = "".join(r.choice(letters) for _ in range(r.randint(0, 25)))
+        assert own.encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 # pages
@@ -348,7 +362,8 @@ def test_bpe_at_every_kind_of_white_space():
 def test_pages(spark):
     page = '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/x">Menu</a></li></ul></nav><!-- ad --><div class="ad">Buy, now. Really.</div><article><h1>The  title &amp; more</h1><p><b>First bold.<br><p>Second &copy;\n para,  with <i>inline</i> text.</p><p>Yes.</p><div class="comments"><p>Reader says, hello.</p></div></article><aside>Side.</aside><footer>&copy; site</footer></body></html>'
     plain = "<html><body><div id='main-menu'><a>Home</a> <a>About</a></div><div><p>Long text, with stops. And more of it, here.</p><p>Short one.</p></div><form><p>Name, please.</p></form><div class='cookie-notice'>We use cookies, ok.</div>"
-    cases = {1: (page, "The title & more\nFirst bold.\nSecond © para, with inline text.\nYes."), 2: (plain, "Long text, with stops. And more of it, here.\nShort one."), 3: (None, ""), 4: ("", ""), 5: ("<nav>only</nav>", ""), 6: ("<article><p>cut off <b>here</article", "cut off here")}
+    listed = "<article><p>" + "A long paragraph, with many stops. " * 40 + "</p><ul><li>One</li><li>Two</li></ul><h2>End</h2><table><tr><td>a</td><td>b</td></tr></table></article>"
+    cases = {7: (listed, " ".join(["A long paragraph, with many stops."] * 40) + "\nOne\nTwo\nEnd\na\nb"), 8: ("<div class='side-bar'><p>Not, this.</p></div><p>But, this.</p>", "But, this."), 1: (page, "The title & more\nFirst bold.\nSecond © para, with inline text.\nYes."), 2: (plain, "Long text, with stops. And more of it, here.\nShort one."), 3: (None, ""), 4: ("", ""), 5: ("<nav>only</nav>", ""), 6: ("<article><p>cut off <b>here</article", "cut off here")}
     got = rows(html.extract(spark.createDataFrame([(k, h) for k, (h, _) in cases.items()], "page_id long, html string")))
     assert {k: r["text"] for k, r in got.items()} == {k: t for k, (_, t) in cases.items()}
 
