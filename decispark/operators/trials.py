@@ -23,6 +23,14 @@ def trials_of(events: DataFrame, sample: str, action: str, order: list[str], win
     )
 
 
+def from_records(records: DataFrame) -> DataFrame:
+    """A trial table from continuation records (schema "trials"); what HP does not price is compared as resources."""
+    return records.select(
+        F.col("sample_id").alias("sample"), F.col("root_action").alias("action"), "trial", "outcome", F.col("ending_hp").cast("double").alias("hp"),
+        F.to_json(F.struct("max_hp", "relic_counters")).alias("resources"), "decisions", "search_calls",
+    )
+
+
 def finished() -> Column:
     return F.col("outcome").isin(VICTORY, DEFEAT)
 

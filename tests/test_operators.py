@@ -44,6 +44,15 @@ def test_carried_hp_and_aborted_trials(spark):
     assert accepted_of(spark, aborted, "0.8", 10, 3.0) == []
 
 
+def test_records_become_trials(spark):
+    from decispark.sources import schemas
+
+    rows = [("s", t, a, "victory", 40 + t, 80, [("r", 1 if a == "A" else t)], 5, 9, 0.1) for t in range(3) for a in "AB"]
+    t = trials.from_records(spark.createDataFrame(rows, schemas.schema("trials")))
+    r = trials.paired(t).first()
+    assert (r["paired_trials"], r["mean_difference"], r["conflicts"]) == (3, 0.0, 2)
+
+
 def test_required_wins_are_decimal(spark):
     got = spark.range(1).select(trials.required_wins("0.29", 100).alias("a"), trials.required_wins("0.989", 32).alias("b")).first()
     assert (got["a"], got["b"]) == (29, 31)
