@@ -57,14 +57,14 @@ def j08(spark, sf_dir):
 
 @query("a26_choice_distribution", """WITH o AS (SELECT p_brand, p_type AS choice, max(p_size) / 50.0 AS rate FROM part GROUP BY p_brand, p_type QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_type) <= 4),
 s AS (SELECT p_brand, sum(rate) AS total FROM o GROUP BY 1)
-SELECT p_brand, choice, round(CASE WHEN total <= 0.98 THEN rate ELSE 0.98 * rate / total END, 6) AS probability FROM o JOIN s USING (p_brand)
-UNION ALL SELECT p_brand, 'SKIP', round(CASE WHEN total <= 0.98 THEN 1 - total ELSE 0.02 END, 6) FROM s""")
+SELECT p_brand, choice, round(CASE WHEN total <= 0.98 THEN rate ELSE 0.98 * rate / total END, 9) AS probability FROM o JOIN s USING (p_brand)
+UNION ALL SELECT p_brand, 'SKIP', round(CASE WHEN total <= 0.98 THEN 1 - total ELSE 0.02 END, 9) FROM s""")
 def a26(spark, sf_dir):
     from pyspark.sql import Window as W
 
     o = load(spark, sf_dir, "part").groupBy("p_brand", F.col("p_type").alias("choice")).agg((F.max("p_size") / 50.0).alias("rate"))
     o = o.withColumn("n", F.row_number().over(W.partitionBy("p_brand").orderBy("choice"))).where("n <= 4")
-    return rewards.choice_distribution(o, "p_brand", "choice", "rate", 0.02).select("p_brand", "choice", r("probability"))
+    return rewards.choice_distribution(o, "p_brand", "choice", "rate", 0.02).select("p_brand", "choice", r("probability", 9))
 
 
 @query("w07_r07_inverse_cdf", """WITH c AS (SELECT p_type, p_partkey, sum(p_size) OVER (PARTITION BY p_type ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) / sum(p_size) OVER (PARTITION BY p_type) AS cum,
