@@ -35,13 +35,6 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(df: DataFrame) -> None:
-    """Delete the files behind a table made by cut() that nothing will read again."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, however often body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
