@@ -1,9 +1,9 @@
 """Licence scan: sentences to known identifiers, identifier sequences to licence rules (op6).
 
-Texts are cut into lines and, once more without line breaks, into sentences. A sentence in
-lower case with only letters and digits is looked up among the known licence sentences; what
-is found gives a sequence of identifiers in text order, and ordered rules over that sequence
-name the licences. A rule higher in the list hides those that it implies.
+Texts in lower case keep only letters and digits, and marks where a line or sentence may start
+or end. A known licence sentence counts from one mark to another, whatever marks lie between, so
+it may be wrapped, commented or hold "v." or a colon; what is found gives a sequence of identifiers
+in text order, and ordered rules over that sequence name the licences. A rule higher in the list hides those that it implies.
 
 Edge cases: a null text counts as empty; empty texts and tables give no licence; repeated rows
 are scanned alike; further columns are ignored. Only DataFrame functions.
@@ -62,6 +62,19 @@ SENTENCES = {
     "licensed under cc by 4 0": "ccby-notice",
     "this work is licensed under a creative commons attribution sharealike 4 0 international license": "ccbysa-notice",
     "licensed under cc by sa 4 0": "ccbysa-notice",
+    "licensed under cc by nc 4 0": "ccbync-notice",
+    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "ccbync-notice",
+    "this work is licensed under the creative commons attribution noncommercial 4 0 international license": "ccbync-notice",
+    "licensed under cc by nd 4 0": "ccbynd-notice",
+    "this work is licensed under a creative commons attribution noderivatives 4 0 international license": "ccbynd-notice",
+    "this work is licensed under the creative commons attribution noderivatives 4 0 international license": "ccbynd-notice",
+    "licensed under cc by nc sa 4 0": "ccbyncsa-notice",
+    "this work is licensed under a creative commons attribution noncommercial sharealike 4 0 international license": "ccbyncsa-notice",
+    "this work is licensed under the creative commons attribution noncommercial sharealike 4 0 international license": "ccbyncsa-notice",
+    "licensed under cc by nc nd 4 0": "ccbyncnd-notice",
+    "this work is licensed under a creative commons attribution noncommercial noderivatives 4 0 international license": "ccbyncnd-notice",
+    "this work is licensed under the creative commons attribution noncommercial noderivatives 4 0 international license": "ccbyncnd-notice",
+    "this work is licensed under the creative commons attribution sharealike 4 0 international license": "ccbysa-notice",
     "licensed under cc0 1 0": "cc0-notice",
     "this work is dedicated to the public domain": "public-domain",
     "this is free and unencumbered software released into the public domain": "unlicense-grant",
@@ -75,6 +88,13 @@ SENTENCES = {
     "spdx license identifier bsd 3 clause": "bsd3-notice",
     "spdx license identifier bsd 2 clause": "bsd2-notice",
     "spdx license identifier mpl 2 0": "mpl-notice",
+    "spdx license identifier gpl 2 0 or later": "gpl2-later",
+    "spdx license identifier cc by 4 0": "ccby-notice",
+    "spdx license identifier cc by sa 4 0": "ccbysa-notice",
+    "spdx license identifier cc by nc 4 0": "ccbync-notice",
+    "spdx license identifier cc by nd 4 0": "ccbynd-notice",
+    "spdx license identifier cc by nc sa 4 0": "ccbyncsa-notice",
+    "spdx license identifier cc by nc nd 4 0": "ccbyncnd-notice",
     "spdx license identifier isc": "isc-grant",
 }
 #: Ordered rules: a licence where its pattern occurs in the identifiers, written with a space before and after each; with the licences that it then hides.
@@ -92,6 +112,10 @@ RULES = (
     ("BSD-2-Clause", " (?:bsd2-notice|bsd-grant bsd-source bsd-binary) ", ("BSD",)),
     ("BSD", " (?:bsd-notice|bsd-grant) ", ()),
     ("MPL-2.0", " mpl-notice ", ()),
+    ("CC-BY-NC-ND-4.0", " ccbyncnd-notice ", ()),
+    ("CC-BY-NC-SA-4.0", " ccbyncsa-notice ", ()),
+    ("CC-BY-ND-4.0", " ccbynd-notice ", ()),
+    ("CC-BY-NC-4.0", " ccbync-notice ", ()),
     ("CC-BY-SA-4.0", " ccbysa-notice ", ()),
     ("CC-BY-4.0", " ccby-notice ", ()),
     ("CC0-1.0", " cc0-notice ", ()),
@@ -103,24 +127,31 @@ RULES = (
 HINTS = ("licen", "public domain", "permi", "warrant", "redistribut", "compliance", "version", "apache", "rights", "neither the name", "free software", "notice")
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(sentence, "[^a-z0-9]+", " "))
+#: A known sentence from one boundary to another, longest first; its words may lie on both sides of a boundary ("v. 2.0", "software: you", a wrapped line).
+KNOWN = r"(?<=\|)(?:" + "|".join(x.replace(" ", "[ |]") for x in sorted(SENTENCES, key=len, reverse=True)) + r")(?=\|)"
 
 
-def identifiers(text: Column) -> Column:
-    """Identifiers of the known sentences among the lines and sentences of a text in lower case, in order."""
-    known = F.create_map(*[F.lit(x) for kv in SENTENCES.items() for x in kv])
-    longest = max(map(len, SENTENCES)) + 40
-    lines = F.split(text, r"\n+|(?<=[.!?])[\x20\t]+", -1)
-    paragraphs = F.regexp_replace(text, r"\n[\x20\t]*(?:\n[\x20\t]*)+", ". ")
-    joined = F.split(F.regexp_replace(paragraphs, r"[\x20\t]*\n[\x20\t]*(?:[#*/;-]+[\x20\t]*)?", " "), r"(?<=[.!?:;])\s+(?:[(]?[a-z0-9][.)]\s+)?", -1)
+def bounded(text: Column) -> Column:
+    """Only letters and digits: a bar where a line or sentence may start or end, a space between other words."""
+    mark = "\x01"
+    steps = (
+        (r"[^\S\n]+", " "),
+        (r"\n|[.!?:;](?=\s|$)", mark),
+        (mark + r"[\x20\x01]*", mark),
+        (mark + r"[#*/;>-]*\x20?[(]?[a-z0-9][)]\x20", mark),
+        (r"[^a-z0-9\x01]+", " "),
+        (r"\x20?\x01[\x20\x01]*", "|"),
+    )
+    out = F.concat(F.lit(mark), F.translate(text, mark, " "), F.lit(mark))
+    for pattern, into in steps:
+        out = F.regexp_replace(out, pattern, into)
+    return out
 
-    def look_up(parts: Column) -> Column:
-        ids = F.transform(F.filter(parts, lambda x: F.length(x).between(5, longest * 2)), lambda x: F.try_element_at(known, normalised(x)))
-        return F.filter(ids, lambda x: x.isNotNull())
 
-    by_line, by_sentence = look_up(lines), look_up(joined)
-    return F.get(F.transform(F.array(F.struct(by_line.alias("a"), by_sentence.alias("b"))), lambda x: F.concat(x["a"], F.filter(x["b"], lambda i: ~F.array_contains(x["a"], i)))), F.lit(0))
+def identifiers(text: Column) -> Column:
+    """Identifiers of the known sentences of a text in lower case, in text order."""
+    known = F.create_map(*[F.lit(x) for kv in SENTENCES.items() for x in kv])
+    return F.transform(F.regexp_extract_all(bounded(text), F.lit(KNOWN), F.lit(0)), lambda x: F.try_element_at(known, F.translate(x, "|", " ")))
 
 
 def licences_of(ids: Column) -> Column:

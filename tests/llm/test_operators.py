@@ -244,6 +244,42 @@ def test_licence_lines_of_the_table(documents, texts):
         assert bool(got[name]["licences"]) <= ("icense" in text)
 
 
+def test_every_licence_line_of_documents_has_its_licence(documents, texts):
+    names = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0"}
+    lines = {(i, x) for i, t in texts.items() for x in t.split("\n") if "license" in x.lower() and len(x) < 100}
+    assert {x for _, x in lines} <= set(names)
+    got = rows(licences.scan(documents))
+    assert all(names[x] in got[i]["licences"] for i, x in lines)
+    assert all(set(got[i]["licences"]) == {names[x] for j, x in lines if i == j} for i in texts)
+
+
+def test_every_known_sentence_wrapped_in_a_comment(spark):
+    import textwrap
+
+    wrapped = {k: "Some file.\n" + "\n".join(" * " + x for x in textwrap.wrap(s, 60)) + ".\n * More text" for k, s in enumerate(licences.SENTENCES)}
+    got = rows(licences.scan(spark.createDataFrame(list(wrapped.items()), "doc_id long, text string")))
+    assert {k: r["sentence_ids"] for k, r in got.items()} == {k: [i] for k, i in enumerate(licences.SENTENCES.values())}
+
+
+def test_licence_notices_in_their_original_text(spark):
+    gpl = "{c}This program is free software{p} you can redistribute it and/or modify\n{c}it under the terms of the GNU General Public License as published by\n{c}the Free Software Foundation{q} either version {v} of the License, or\n{c}(at your option) any later version.\n{c}\n{c}This program is distributed in the hope that it will be useful."
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */"
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n{0} Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n{1} Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution."
+    cases = {
+        1: (gpl.format(c="", p=":", q=",", v=3), "GPL-3.0-or-later"),
+        2: ("Title\n#\n" + gpl.format(c="# ", p=";", q=";", v=2), "GPL-2.0-or-later"),
+        3: ("/* " + mpl, "MPL-2.0"),
+        4: ("Text\n" + mpl.replace("\n * ", " "), "MPL-2.0"),
+        5: (bsd.format("1.", "2."), "BSD-2-Clause"),
+        6: (bsd.format("(a)", "(b)"), "BSD-2-Clause"),
+        7: ("Appendix V. Released under the MIT License.", "MIT"),
+        8: ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0\nInternational License.", "CC-BY-NC-SA-4.0"),
+        9: ("Nothing is released under the MIT License here", ""),
+    }
+    got = rows(licences.scan(spark.createDataFrame([(k, t) for k, (t, _) in cases.items()], "doc_id long, text string")))
+    assert {k: ",".join(r["licences"]) for k, r in got.items()} == {k: v for k, (_, v) in cases.items()}
+
+
 # secrets
 
 
