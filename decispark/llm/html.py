@@ -1,12 +1,16 @@
 """Main text of web pages by tag-path ratios (op10).
 
-Every text node has a root-to-leaf path of tags. Per page and path, text length and
-punctuation are averaged over the nodes; both are smoothed with the mean of the path's root
-(the article or main element, else the nearest container that is no list or table), fused by a
-product, and paths above a share of the best root's score are content. So short blocks of an
-article stay, and containers of short, unpunctuated text go.
-Elements that never hold an article's text (navigation, forms, scripts, adverts and the like,
-by tag, role, or a word of class or id) are left out before any ratio is taken.
+Every text node has a root-to-leaf path of tags, with their class and id. Per page and path, text
+length and punctuation are averaged over the nodes; both are smoothed with the mean of the path's
+root (the article or main element, else the nearest container that is no list or table), fused by
+a product, and paths above a share of the best root's score are content. So short blocks of an
+article stay, and containers of short, unpunctuated text go. A block most of which is links is
+scored by itself, its linked text at a tenth, and unsmoothed are paths most of whose text is
+links: so link lists, tag clouds and "read more" go from an article too, with the headings that
+stand over nothing else.
+Elements that never hold an article's text (navigation, scripts, adverts and the like by tag) are
+left out before any ratio is taken. Forms, page headers and elements with a word of furniture in
+class, id or role are so too, unless they hold the article or most of the page's text.
 
 Edge cases: null or empty html and pages without text give an empty text; unclosed and
 truncated markup closes at the end of its container; repeated rows and empty tables work;
@@ -36,15 +40,22 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 #: Where an open paragraph or item cannot be closed from within.
 CONTAINERS = frozenset("article aside blockquote body div dl fieldset figure footer form header html main nav ol section table td th tr ul".split())
 ROOTS = frozenset("article aside body div footer form header html main nav section".split())
-FURNITURE_TAGS = frozenset("aside button dialog footer form head menu nav select datalist input option".split())
+#: Elements that may stand in a head; any other one, or text, ends a head that is still open.
+HEAD_TAGS = frozenset("head html base basefont bgsound link meta noscript script style template title".split())
+FURNITURE_TAGS = frozenset("aside button dialog footer head menu nav select datalist input option".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FURNITURE_NAMES = frozenset("ad ads advert adverts advertisement alert alerts banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus footer form header masthead menu nav navbar navigation newsletter notice notices popup promo promoted related replies share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 PUNCTUATION = frozenset(".,;:!?…。，、；：！？")
 CLOSES_P = BLOCKS - {"body", "html", "head"}
 
 
-def is_furniture(tag: str, attributes: str, inside: bool) -> bool:
-    """inside: within an article or main element, whose own header holds the title."""
-    if tag in FURNITURE_TAGS or tag == "header" and not inside:
+#: A block of which more than so much is linked counts a tenth of its linked characters only, without smoothing.
+MOSTLY, LINKED_WEIGHT = 0.5, 0.1
+
+
+def is_suspect(tag: str, attributes: str, inside: bool) -> bool:
+    """Furniture unless it wraps the page's text; inside: within an article or main element, whose own header holds the title."""
+    if tag == "form" or tag == "header" and not inside:
         return True
     if tag in ("html", "body", "article", "main") or "=" not in attributes:
         return False
@@ -56,31 +67,74 @@ def is_furniture(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def text_blocks(html: str) -> list[tuple[str, str, str]]:
-    """(path, root's path, text) of each block outside page furniture, in page order."""
-    out: list[tuple[str, str, str]] = []
-    stack: list[tuple[str, bool]] = []
-    parts: list[str] = []
-    leaf: tuple[str, str] | None = None
+class Tree:
+    """Elements of a page in page order, each after its parent; element 0 is the page."""
+
+    def __init__(self) -> None:
+        self.parent, self.suspect, self.chars, self.holds = [0], [False], [0], [set()]
+        self.articles = 0
+
+    def add(self, parent: int, tag: str, suspect: bool) -> int:
+        self.parent.append(parent)
+        self.suspect.append(suspect)
+        self.chars.append(0)
+        self.holds.append({tag} if tag in ("article", "main", "h1") else set())
+        self.articles += tag == "article"
+        return len(self.parent) - 1
+
+    def hidden(self) -> list[bool]:
+        """Suspects and what is in them, but for those that hold the article or most of the page's text."""
+        for i in range(len(self.parent) - 1, 0, -1):
+            self.chars[self.parent[i]] += self.chars[i]
+            self.holds[self.parent[i]] |= self.holds[i]
+        out = [False]
+        for i in range(1, len(self.parent)):
+            wraps = False
+            if self.suspect[i]:
+                share, held = self.chars[i] / (self.chars[0] or 1), self.holds[i]
+                wraps = "main" in held or "article" in held and ("h1" in held or self.articles == 1 or share > 0.5) or "h1" in held and share > 0.5 or share > 0.75
+            out.append(out[self.parent[i]] or self.suspect[i] and not wraps)
+        return out
+
+
+def text_blocks(html: str) -> list[tuple[str, str, str, str, float]]:
+    """(path, path with class and id, root's path, text, share of it in links) of each block outside page furniture, in page order."""
+    found: list[tuple[tuple[str, str, str], list[tuple[str, int, bool]]]] = []
+    tree = Tree()
+    # tag, its attributes, whether it is furniture for certain, its element, whether it is in a link
+    stack: list[tuple[str, str, bool, int, bool]] = []
+    parts: list[tuple[str, int, bool]] = []
+    leaf: tuple[str, str, str] | None = None
 
     def flush() -> None:
-        nonlocal leaf
+        nonlocal leaf, parts
         if parts:
-            text = " ".join("".join(parts).split())
-            if text and leaf:
-                out.append((*leaf, text))
-            parts.clear()
+            if leaf:
+                found.append((leaf, parts))
+            parts = []
         leaf = None
 
+    def end_head() -> None:
+        for i, x in enumerate(stack[:3]):
+            if x[0] == "head":
+                close(i)
+                break
+
     def add(raw: str) -> None:
         nonlocal leaf
-        if stack and stack[-1][1]:
+        space = raw.isspace()
+        if not space and stack and stack[-1][0] == "head":
+            end_head()
+        if stack and stack[-1][2]:
             return
-        if leaf is None and not raw.isspace():
-            blocks = [t for t, _ in stack if t in BLOCKS]
-            root = next((i for i, t in enumerate(blocks) if t in ("article", "main")), max((i for i, t in enumerate(blocks) if t in ROOTS), default=-1))
-            leaf = "/".join(blocks), "/".join(blocks[: root + 1])
-        parts.append(unescape(raw))
+        if leaf is None and not space:
+            blocks = [x for x in stack if x[0] in BLOCKS]
+            tags = [x[0] for x in blocks]
+            root = next((i for i, t in enumerate(tags) if t in ("article", "main")), max((i for i, t in enumerate(tags) if t in ROOTS), default=-1))
+            leaf = "/".join(tags), "/".join(f"{x[0]} {x[1]}" for x in blocks), "/".join(tags[: root + 1])
+        at = stack[-1][3] if stack else 0
+        tree.chars[at] += 0 if space else len(raw)
+        parts.append((unescape(raw), at, bool(stack) and stack[-1][4]))
 
     def close(at: int) -> None:
         del stack[at:]
@@ -96,7 +150,7 @@ def text_blocks(html: str) -> list[tuple[str, str, str]]:
         if m[2]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
-                    if any(t in BLOCKS for t, _ in stack[i:]):
+                    if any(x[0] in BLOCKS for x in stack[i:]):
                         flush()
                     close(i)
                     break
@@ -105,9 +159,11 @@ def text_blocks(html: str) -> list[tuple[str, str, str]]:
             if tag in BLOCKS:
                 flush()
             continue
+        if tag not in HEAD_TAGS:
+            end_head()
         if tag in ("br", "wbr"):
             if tag == "br" and parts:
-                parts.append(" ")
+                parts.append((" ", parts[-1][1], False))
             continue
         if tag in BLOCKS:
             flush()
@@ -121,40 +177,60 @@ def text_blocks(html: str) -> list[tuple[str, str, str]]:
                     break
         if tag in VOID or m[4].endswith("/"):
             continue
-        hidden = bool(stack) and stack[-1][1]
-        inside = any(t in ("article", "main") for t, _ in stack)
-        stack.append((tag, hidden or is_furniture(tag, m[4], inside)))
+        _, _, sure, parent, linked = stack[-1] if stack else ("", "", False, 0, False)
+        inside = any(x[0] in ("article", "main") for x in stack)
+        names = " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(m[4])) if "=" in m[4] and tag in BLOCKS else ""
+        stack.append((tag, names, sure or tag in FURNITURE_TAGS, tree.add(parent, tag, is_suspect(tag, m[4], inside)), linked or tag == "a"))
     if at < len(html):
         add(html[at:])
     flush()
+    hidden, out = tree.hidden(), []
+    for leaf_, parts_ in found:
+        seen = [x for x in parts_ if not hidden[x[1]]]
+        text = " ".join("".join(x[0] for x in seen).split())
+        if text:
+            chars = sum(len(x[0].strip()) for x in seen)
+            out.append((*leaf_, text, sum(len(x[0].strip()) for x in seen if x[2]) / (chars or 1)))
     return out
 
 
 def main_text(html: str, smoothing: float = 0.5, share: float = 0.1) -> str:
     blocks = text_blocks(html)
-    if any("article" in p.split("/") or "main" in p.split("/") for p, _, _ in blocks):
+    if any("article" in b[0].split("/") or "main" in b[0].split("/") for b in blocks):
         blocks = [b for b in blocks if "article" in b[0].split("/") or "main" in b[0].split("/")]
     nodes: dict[str, list[float]] = {}
     roots: dict[str, list[float]] = {}
-    for path, root, text in blocks:
-        marks = sum(c in PUNCTUATION for c in text)
+    sizes = []
+    for _, path, root, text, linked in blocks:
+        size = len(text) * (1 - (1 - LINKED_WEIGHT) * linked if linked > MOSTLY else 1), sum(c in PUNCTUATION for c in text)
+        sizes.append(size)
         for sums, key in ((nodes, path), (roots, root)):
-            x = sums.setdefault(key, [0.0, 0.0, 0.0])
-            x[0] += 1
-            x[1] += len(text)
-            x[2] += marks
-    root_of = {path: root for path, root, _ in blocks}
-
-    def fused(path: str, root: str, weight: float) -> float:
-        n, chars, marks = nodes.get(path, roots[root])
-        m, all_chars, all_marks = roots[root]
-        length = (1 - weight) * chars / n + weight * all_chars / m
-        stops = (1 - weight) * marks / n + weight * all_marks / m
-        return length * (1 + stops)
-
-    least = share * max((fused("", root, 1.0) for root in roots), default=0.0)
-    kept = {path for path in nodes if fused(path, root_of[path], smoothing) >= least}
-    return "\n".join(text for path, _, text in blocks if path in kept)
+            x = sums.setdefault(key, [0.0, 0.0, 0.0, 0.0, 0.0])
+            for i, v in enumerate((1, *size, len(text), linked * len(text))):
+                x[i] += v
+    whole = {root: n and chars / n * (1 + marks / n) for root, (n, chars, marks, _, _) in roots.items()}
+    least = share * max(whole.values(), default=0.0)
+
+    def content(path: str, root: str, linked: float, size: tuple[float, int]) -> bool:
+        n, chars, marks, all_text, all_linked = nodes[path]
+        if linked > MOSTLY:
+            return size[0] * (1 + size[1]) >= least
+        weight = 0.0 if all_linked > MOSTLY * all_text else smoothing
+        m, root_chars, root_marks, _, _ = roots[root]
+        return ((1 - weight) * chars / n + weight * root_chars / m) * (1 + (1 - weight) * marks / n + weight * root_marks / m) >= least
+
+    kept = [content(path, root, linked, size) for (_, path, root, _, linked), size in zip(blocks, sizes, strict=True)]
+    # A heading goes with the blocks up to the next heading; a page's title, and one with no block after it, stays where its root does.
+    section: list[bool] = []
+    for i in range(len(blocks) - 1, -1, -1):
+        plain, _, root, _, _ = blocks[i]
+        tag = plain.rpartition("/")[2]
+        if tag not in HEADINGS:
+            section.append(kept[i])
+            continue
+        kept[i] = whole[root] >= least and (tag == "h1" or not section or any(section))
+        section = []
+    return "\n".join(b[3] for b, keep in zip(blocks, kept, strict=True) if keep)
 
 
 def extract(pages: DataFrame, html: str = "html", into: str = "text", smoothing: float = 0.5, share: float = 0.1) -> DataFrame:

@@ -404,6 +404,22 @@ def test_pages(spark):
     assert {k: r["text"] for k, r in got.items()} == {k: t for k, (_, t) in cases.items()}
 
 
+PROSE = ["A paragraph, with many stops. " * 8, "Another one; it says more, and more. " * 6]
+BODY = "".join(f"<p>{x}</p>" for x in PROSE)
+
+
+def test_links_go_from_an_article_and_its_short_blocks_stay():
+    kept = "<h1><a href='/'>Title</a></h1>" + BODY + "<h2>Facts</h2><ul><li>One</li><li>See <a>it</a> there</li></ul><table><tr><td>a</td></tr></table><h2>End</h2><p>By <a href='/x'>Ann Other</a> in the year 2020.</p>"
+    links = "".join(f"<li><a href='/{k}'>Some other story {k}</a></li>" for k in range(5))
+    more = f"<p><a href='/more'>Read more</a></p><div class='more-stories'><h3>More</h3><ul class='plain'>{links}<li>|</li></ul></div><div class='cloud'><a>x</a> <a>yy</a> <a>zzz</a></div>"
+    expected = html.main_text(f"<article>{kept}</article>")
+    assert expected.split("\n") == ["Title", *(x.strip() for x in PROSE), "Facts", "One", "See it there", "a", "End", "By Ann Other in the year 2020."]
+    assert html.main_text(f"<article>{kept}{more}</article>") == expected
+    long_link = f"<p><a href='/y'>{PROSE[0]}</a></p>"
+    assert html.main_text(f"<article>{BODY}{long_link}</article>").count(PROSE[0].strip()) == 2
+    assert html.main_text(f"<article><ul>{links}</ul></article>").count("story") == 5
+
+
 def test_articles_of_the_table(spark):
     from html import unescape
 
