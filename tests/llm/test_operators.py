@@ -420,6 +420,13 @@ def test_links_go_from_an_article_and_its_short_blocks_stay():
     assert html.main_text(f"<article><ul>{links}</ul></article>").count("story") == 5
 
 
+@pytest.mark.parametrize("start", ["<div class='has-sidebar'>", "<div class='no-comments'>", "<div class='page-header-layout'>", "<section id='social-science'>", "<form action='/'>", "<head><title>T</title><body>", "<head><meta charset=x><div>", "<head><title>T</title>"])
+@pytest.mark.parametrize("around", [("<article>", "</article>"), ("<main>", "</main>"), ("<div>", "</div>"), ("", "")])
+def test_no_wrapper_hides_the_article(start, around):
+    page = f"<html>{start}<nav><a>Menu</a></nav>{around[0]}{BODY}<div class='comments'><p>Reader says, hello.</p></div>{around[1]}<footer>End.</footer>"
+    assert html.main_text(page).split("\n") == [x.strip() for x in PROSE]
+
+
 def test_articles_of_the_table(spark):
     from html import unescape
 
