@@ -211,6 +211,34 @@ def test_outliers_are_rejected_and_the_rest_is_kept(spark):
     assert all(got[i]["kept"] for i, *_ in good) and not any(got[i]["kept"] for i, *_ in bad)
 
 
+def test_groups_of_nearly_half_junk_lose_all_of_it(spark):
+    rows_ = []
+    for share in (5, 30, 40, 45):
+        for i in range(600):
+            bad = i % 100 < share
+            words = [f"word{(i * 37 + j * 7) % 997}" + ("$#%" if bad and (i + j) % 5 else "") for j in range(50 + i % 200)]
+            rows_.append((share * 1000 + i, " ".join(words), "en", f"symbols {share}", bad))
+    for share in (5, 40):
+        for i in range(600):
+            bad = i % 100 < share
+            lines = ["a few words"] * 20 if bad else [" ".join(f"w{(i * 31 + j * 7 + k) % 991}" for k in range(3)) for j in range(0, 20 * 3, 3)]
+            rows_.append((100_000 + share * 1000 + i, "\n".join(lines), "en", f"lines {share}", bad))
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, bad boolean")
+    got = rows(quality.quality_rules(docs))
+    assert {i: r["kept"] for i, r in got.items()} == {r[0]: not r[4] for r in rows_}
+
+
+@pytest.mark.parametrize("share", [0.05, 0.3, 0.4, 0.45])
+@pytest.mark.parametrize("name, value", [("symbol_share", 0.9), ("log_word_length", 4.5)])
+def test_a_statistic_alone_reaches_the_cut(spark, name, value, share):
+    n = 1000
+    plain = {"log_words": F.lit(5.0) + F.randn(1) * 0.8, "log_word_length": F.lit(1.6) + F.randn(2) * 0.08, "symbol_share": F.abs(F.randn(3)) * 0.02, "dup_line_share": F.lit(0.0), "repeat_share": F.lit(0.0)}
+    bad = F.col("id") < int(n * share)
+    stats = spark.range(n).select("id", F.lit("g").alias("g"), *[(F.when(bad, F.lit(value)).otherwise(c) if k == name else c).alias(k) for k, c in plain.items()])
+    got = {r["id"]: r["d2"] > quality.CHI2_CUT for r in quality.robust_outliers(stats).collect()}
+    assert got == {i: i < int(n * share) for i in range(n)}
+
+
 # licences
 
 
