@@ -1,9 +1,11 @@
 """Secret scan: fixed patterns, and long tokens that look random to two Markov models (op7).
 
 Two first-order character models, of random strings and of ordinary identifiers, are trained
-from labelled samples; a long token with letters and digits is a secret where the mean
-log-likelihood ratio per character exceeds a threshold. Pattern spans always stay; a token
-that overlaps one is not reported again.
+from labelled samples; a long token with letters, and digits or both cases, is a secret where the
+mean log-likelihood ratio per character exceeds a threshold. Of a longer run, such as a path that
+ends in a key, the sub-runs are where the summed ratio rises far enough, widened to the parts between
+"/", "=", "_" and "-" that they mostly cover. Pattern spans always stay; a token that overlaps one
+is not reported again.
 
 Edge cases: a null text counts as empty; empty texts and tables give no spans; repeated rows
 are scanned alike; further columns pass through. Letters match in ASCII only.
@@ -88,6 +90,47 @@ def score(token: str, ratios: dict[str, float]) -> float:
     return sum(ratios[a + b] for a, b in zip("^" + token, token, strict=False)) / len(token)
 
 
+#: Characters of a random string at least, and of the core by which one in a longer run is found; the fall of the summed ratio that ends a core; the sum that it needs.
+LEAST, CORE, FALL, EVIDENCE = 20, 12, 12.0, 6.0
+PART = re.compile(r"[^/=_-]+")
+
+
+def mixed(token: str) -> bool:
+    """Letters, and digits or both cases: a long word of one case is a word."""
+    return any(c.isalpha() for c in token) and (any(c.isdigit() for c in token) or token.lower() != token != token.upper())
+
+
+def random_runs(token: str, ratios: dict[str, float], threshold: float) -> list[tuple[int, int]]:
+    """(start, end) of the whole token where it looks random, else of its random sub-runs, each widened to the parts it mostly covers."""
+    if len(token) < LEAST or not mixed(token):
+        return []
+    if score(token, ratios) > threshold:
+        return [(0, len(token))]
+    over = [ratios[a + b] - threshold for a, b in zip("^" + token, token, strict=False)]
+    out, i, n = [], 0, len(token)
+    while i < n:
+        total, best, end, j = 0.0, 0.0, i, i
+        while j < n:
+            total += over[j]
+            j += 1
+            if total > best:
+                best, end = total, j
+            elif total <= 0 or total < best - FALL:
+                break
+        if end - i >= CORE and best > EVIDENCE and mixed(token[i:end]):
+            out.append((i, end))
+        i = max(end, i + 1)
+    parts = [m.span() for m in PART.finditer(token)] if out else []
+    wide: list[tuple[int, int]] = []
+    for a, b in out:
+        own = [(x, y) for x, y in parts if 2 * (min(b, y) - max(a, x)) >= y - x]
+        a, b = min([a, *[x for x, _ in own]]), max([b, *[y for _, y in own]])
+        if wide and a <= wide[-1][1]:
+            a, b = wide[-1][0], max(b, wide.pop()[1])
+        wide.append((a, b))
+    return [(a, b) for a, b in wide if b - a >= LEAST]
+
+
 def find(text: str, ratios: dict[str, float], threshold: float) -> list[tuple[int, int, str]]:
     """(start, index of kind, end), sorted."""
     out = []
@@ -99,8 +142,11 @@ def find(text: str, ratios: dict[str, float], threshold: float) -> list[tuple[in
         token, at = m[0], m.start()
         own = [(at + x.start(), k, at + x.end()) for k, p in ((1, ACCESS), (2, HEX)) for x in p.finditer(token)]
         out += own
-        if not own and any(c.isdigit() for c in token) and any(c.isalpha() for c in token) and score(token, ratios) > threshold:
-            more.append((at, 3, m.end()))
+        # What lies beside a pattern's match is judged by itself.
+        last = 0
+        for a, b in [*sorted((a - at, b - at) for a, _, b in own), (len(token), len(token))]:
+            more += [(at + last + x, 3, at + last + y) for x, y in random_runs(token[last:a], ratios, threshold)]
+            last = max(last, b)
     taken = sorted(out)
     out += [x for x in more if not any(a < x[2] and x[0] < b for a, _, b in taken)]
     return sorted(out)

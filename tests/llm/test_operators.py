@@ -332,6 +332,23 @@ def test_markov_models_on_held_out_samples():
     assert right / len(held_out) > 0.97
 
 
+def test_keys_are_found_in_paths_and_without_digits():
+    import random
+
+    r, ratios = random.Random(5), secrets.model()
+    letters, ordinary, found = secrets.ALPHABET[:62], [t for t, y in secrets.labelled_samples(1000, seed=98) if not y], 0
+    for k in range(400):
+        key = "".join(r.choice(letters) for _ in range(24))
+        before, after = ["static/content/storage/document/export/", "https-cdn/user_profile/image=", "configuration-file-server_"][k % 3], ["", "/original/document", "_backup"][k % 3]
+        text = f"see {before}{key}{after} here"
+        at = 4 + len(before)
+        found += any(a <= at and at + 24 <= b for a, _, b in secrets.find(text, ratios, 0.5))
+    assert found >= 380
+    assert secrets.find("x QwZkLvBnXcRtYpHsJgFdMqWzKx y", ratios, 0.5) == [(2, 3, 28)]
+    paths = ["/".join(ordinary[k : k + 3]) for k in range(0, 999, 3)]
+    assert sum(bool(secrets.find(p, ratios, 0.5)) for p in paths) <= 0.01 * len(paths)
+
+
 def test_redaction(documents, texts):
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(documents).collect()}
     assert secrets.redact(documents).columns == documents.columns
