@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from decispark.functions import scalar
 from decispark.operators import episodes, sampling
+from decispark.sources import shared
 from decispark.streaming import logs
 
 from .registry import load, query
@@ -208,9 +207,8 @@ def _stream(spark, sf_dir, name):
 
 
 def _finish(spark, stream, mode="append"):
-    """Run a stream over what is there, into the session's shared folder or a temporary one."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    folder = f"{base.rstrip('/')}/stream-{next(tempfile._get_candidate_names())}"
+    """Run a stream over what is there, into the session's shared folder."""
+    folder = shared.shared_path(spark, "stream")
     logs.run_once(stream, f"{folder}/state", f"{folder}/out", mode)
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from decispark.sources import files
+from decispark.sources import files, shared
 
 from .registry import load, query
 
 
 def _folder(spark) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+    return shared.shared_path(spark, "files")
 
 
 @query("s01_s08_json_lines", "SELECT doc_id, lang, source, n_chars FROM documents")
