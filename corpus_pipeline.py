@@ -1,9 +1,10 @@
 """The corpus pipeline: quality rules, near-dedup, secret scan, source mixing, token ids.
 
 Each stage takes what the one before kept and returns the columns of documents; the last
-returns doc_id, source and the token ids. Ids of documents that go are broadcast where they
-are few and joined otherwise, so the texts that stay are not shuffled for them. Every stage
-handles null, empty and repeated rows as its operator does; rows of one id share their fate.
+returns doc_id, source and the token ids. A row's fate depends on its own id, text, language and
+source, so rows of one id are told apart. Keys of rows that go are broadcast where they are few
+and joined otherwise, so the texts that stay are not shuffled for them. Every stage handles null,
+empty and repeated rows as its operator does, and further columns whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from decispark.llm import bpe, mixing, neardup, quality, secrets
-from decispark.llm.common import cut, shared_path, table
+from decispark.llm.common import table
+from decispark.sources.shared import cut, remove, remove_at_end, shared_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -24,20 +26,39 @@ BROADCAST_IDS = 500_000
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the ids of gone; a null id stays."""
-    ids = cut(gone.select("doc_id").distinct(), "gone")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(docs.columns)
+#: Tells rows of one id apart.
+KEY = "__row_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(KEY, F.xxhash64("text", "lang", "source"))
+
+
+def _joined(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of docs (with KEY) that are (left_semi) or are not (left_anti) among the written keys; null ids match."""
+    keys = keys.select(F.col("doc_id").alias("__id"), F.col(KEY).alias("__key"))
+    few = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+    return docs.join(few, docs["doc_id"].eqNullSafe(few["__id"]) & (docs[KEY] == few["__key"]), how)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    return _without(docs, quality.quality_rules(docs).where("not kept"))
+    keyed = _keyed(docs)
+    gone = cut(quality.quality_rules(keyed, carry=(KEY,)).where("not kept").select("doc_id", KEY).distinct(), "gone")
+    return _joined(keyed, gone, "left_anti").select(docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of near-duplicates, at a similarity of 0.8."""
-    return _without(docs, neardup.near_duplicates(docs, percent=80).where("not kept"))
+    """One document of each group of near-duplicates at a similarity of 0.8, of least id; a row that repeats it goes too."""
+    keyed = _keyed(docs)
+    found = neardup.near_duplicates(keyed, percent=80, carry=(KEY,))
+    verdicts = cut(found.groupBy("doc_id", KEY).agg(F.every("representative").alias("stays"), F.count(F.lit(1)).alias("n")), "verdicts")
+    left = _joined(keyed, verdicts.where("not stays"), "left_anti")
+    twice = verdicts.where("stays and n > 1 and doc_id is not null")
+    if twice.isEmpty():
+        return left.select(docs.columns)
+    once = _joined(left, twice, "left_anti")
+    return once.unionByName(_joined(left, twice, "left_semi").dropDuplicates(["doc_id", KEY])).select(docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +69,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    mixed = mixing.mix(docs).where("copies > 0")
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    mixed = mixing.mix(docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("document"))).where("copies > 0")
+    return mixed.select("document", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("document.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,10 +92,14 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages over documents, each written to the shared folder and read again; a stage's table goes once the next one is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = shared_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
+    remove_at_end(spark, path)
     return docs
