@@ -87,7 +87,12 @@ def encoder(path: str, pattern: str) -> Encoder:
                 out.append(rank)
         return out
 
-    return Encoder(encode, pattern)
+    def word(letters: str) -> list[int]:
+        raw = b" " + letters.encode()
+        rank = ranks.get(raw)
+        return [rank] if rank is not None else [by_piece[i] for i in to_ids("".join([chars[b] for b in raw]))]
+
+    return Encoder(encode, pattern, word=word)
 
 
 @cache

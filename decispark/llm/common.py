@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+from collections import defaultdict
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from decispark.sources.shared import cut, remove, shared_dir, shared_path  # noqa: F401
+
 #: A word is a run of characters outside this class.
 SPACES = r"[\x20\x09-\x0D]+"
 #: Sorts before every other id; stands for a null id.
@@ -18,21 +20,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; /tmp/checkpoints where the session names none (tests)."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", "") or "/tmp/checkpoints"
+class Tables:
+    """Tables that an operator writes to the shared folder on its way, to be dropped after their last use.
 
+    What a returned DataFrame still reads stays until the application ends.
+    """
 
-def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, tag: str) -> None:
+        self.spark, self.folder, self.paths, self.n = spark, shared_path(spark, tag), defaultdict(list), 0
 
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        """Write df and read it back: the lineage ends there and survives lost executors."""
+        self.n += 1
+        path = f"{self.folder}/{name}-{self.n}"
+        self.paths[name].append(path)
+        return cut(df, name, path)
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    def drop(self, *names: str) -> None:
+        for name in names:
+            for path in self.paths.pop(name, []):
+                remove(self.spark, path)
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:

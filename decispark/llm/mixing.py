@@ -3,7 +3,7 @@
 A source's target exceeds its size by a ratio r of at most ``most``. Every document is taken
 floor(r) times; the rest of the budget goes to documents whose hash lies below a threshold.
 The threshold comes from sizes summed by source and hash bucket: the bucket in which the
-budget ends is refined by its own hashes, all others are never looked at again. Documents
+budget ends is refined by its own hashes, twice; all others are never looked at again. Documents
 that still fit into what is left are taken by a second and third, nested threshold of the
 same kind. Nothing is sorted but one row per source and bucket; reruns agree, for the hash
 depends on the id alone.
@@ -19,10 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, text_of, words_of
+from .common import Tables, text_of, words_of
 
-#: Hash bits, and those of them that number the buckets of the first histogram.
-HASH_BITS, BUCKET_BITS = 48, 16
+#: Hash bits, and how many of them each histogram tells apart within the boundary bucket of the one before.
+HASH_BITS, LEVELS = 48, (8, 10, 30)
 
 
 def hash_of(key: Column) -> Column:
@@ -55,35 +55,45 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return per.select("source", "source_size", target.alias("target"))
 
 
-def _threshold(rows: DataFrame, budgets: DataFrame) -> DataFrame:
-    """k, cut_h, taken_sum: the largest hash up to which the sizes of rows fit into the budget; no row where none fits."""
-    shift = HASH_BITS - BUCKET_BITS
-    upto = lambda c: W.partitionBy("k").orderBy(c).rowsBetween(W.unboundedPreceding, 0)
-    coarse = rows.groupBy("k", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("size"))
-    coarse = coarse.withColumn("upto", F.sum("size").over(upto("bucket"))).join(budgets, "k")
-    whole = coarse.where("upto <= budget").groupBy("k").agg(F.max("bucket").alias("bucket"), F.max("upto").alias("upto"))
-    edge = coarse.where("upto > budget").groupBy("k").agg(F.min("bucket").alias("bucket"), F.min(F.col("upto") - F.col("size")).alias("before"))
-    inner = rows.withColumn("bucket", F.shiftright("h", shift)).join(edge, ["k", "bucket"]).groupBy("k", "h").agg(F.sum("size").alias("size"), F.first("before").alias("before"))
-    inner = inner.withColumn("upto", F.col("before") + F.sum("size").over(upto("h"))).join(budgets, "k").where("upto <= budget")
-    fine = inner.groupBy("k").agg(F.max("h").alias("fine_h"), F.max("upto").alias("fine_upto"))
-    last = F.shiftleft(F.col("bucket") + 1, shift) - 1
-    return whole.join(fine, "k", "full_outer").select("k", F.coalesce("fine_h", last).alias("cut_h"), F.coalesce("fine_upto", "upto").alias("taken_sum"))
+def _threshold(rows: DataFrame, budgets: DataFrame, tables: Tables) -> DataFrame:
+    """k, cut_h, taken_sum: the largest hash up to which the sizes of rows fit into the budget; no row where none fits.
+
+    Each histogram has at most 256 buckets a source, 1,024 in its boundary bucket, and then single
+    hashes, so no source's sums grow with its documents. Only boundary buckets are read again.
+    """
+    shift = HASH_BITS
+    state = budgets.select("k", "budget", F.lit(0).cast("bigint").alias("taken_sum"), F.lit(-1).cast("bigint").alias("cut_h"))
+    upto = F.col("taken_sum") + F.sum("size").over(W.partitionBy("k").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))
+    for bits in LEVELS:
+        shift -= bits
+        sums = rows.groupBy("k", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("size")).join(state, "k").withColumn("upto", upto)
+        fits = F.col("upto") <= F.col("budget")
+        found = sums.groupBy("k").agg(F.max(F.when(fits, F.col("bucket"))).alias("last"), F.max(F.when(fits, F.col("upto"))).alias("upto"), F.min(F.when(~fits, F.col("bucket"))).alias("edge"))
+        last = F.shiftleft(F.col("last") + 1, shift) - 1
+        state = tables.cut(state.join(found, "k", "left").select("k", "budget", F.coalesce("upto", "taken_sum").alias("taken_sum"), F.coalesce(last, "cut_h").alias("cut_h"), "edge"), "state")
+        if shift:
+            edges = state.where("edge is not null").select("k", "edge")
+            rows = tables.cut(rows.join(edges, "k").where(F.shiftright("h", shift) == F.col("edge")).select("k", "h", "size"), "boundary")
+        state = state.drop("edge")
+    return state.where("cut_h >= 0").select("k", "cut_h", "taken_sum")
 
 
 def plan_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, passes: int = 3) -> DataFrame:
     """One row per source: k (its key), source_size, target, whole, and the nested thresholds (cuts with the sizes that fits admits)."""
-    items = cut(sized(docs), "sizes")
+    tables = Tables(docs.sparkSession, "mixing")
+    items = tables.cut(sized(docs), "sizes")
     rows = items.withColumn("k", source_key())
     targets = source_targets(items, weights, most).withColumn("k", source_key())
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     budget = F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("bigint")
     none = F.array().cast("array<bigint>")
-    plan = cut(targets.withColumn("whole", whole).withColumn("rest", budget).select("k", "source_size", "target", "whole", "rest", none.alias("cuts"), none.alias("fits")), "plan")
+    plan = tables.cut(targets.withColumn("whole", whole).withColumn("rest", budget).select("k", "source_size", "target", "whole", "rest", none.alias("cuts"), none.alias("fits")), "plan")
     for _ in range(passes):
         left = rows.join(plan.select("k", "rest", "cuts", "fits"), "k").where(~passed() & (F.col("size") <= F.col("rest"))).select("k", "h", "size")
-        found = _threshold(left, plan.select("k", F.col("rest").alias("budget")))
+        found = _threshold(left, plan.select("k", F.col("rest").alias("budget")), tables)
         d = plan.join(found, "k", "left")
-        plan = cut(d.select("k", "source_size", "target", "whole", (F.col("rest") - F.coalesce("taken_sum", F.lit(0))).alias("rest"), F.array_append("cuts", F.coalesce("cut_h", F.lit(-1).cast("bigint"))).alias("cuts"), F.array_append("fits", F.col("rest")).alias("fits")), "plan")
+        plan = tables.cut(d.select("k", "source_size", "target", "whole", (F.col("rest") - F.coalesce("taken_sum", F.lit(0))).alias("rest"), F.array_append("cuts", F.coalesce("cut_h", F.lit(-1).cast("bigint"))).alias("cuts"), F.array_append("fits", F.col("rest")).alias("fits")), "plan")
+    tables.drop("sizes", "state", "boundary")
     return plan.drop("rest")
 
 
@@ -106,4 +116,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, pa
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
     rows = docs.select(F.struct(*own).alias("row"), F.size(words_of(text_of())).cast("long").alias("size"), hash_of(F.col("doc_id")).alias("h"), source_key().alias("k"))
     d = rows.join(F.broadcast(plan) if plan.count() <= sources_broadcast else plan, "k")
-    return d.select("row.*", "size", "source_size", "target", (F.col("whole") + passed().cast("long")).alias("copies"))
+    return d.select("row.*", "size", "source_size", "target", F.least(F.col("whole") + passed().cast("long"), F.lit(most)).cast("long").alias("copies"))

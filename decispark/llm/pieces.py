@@ -18,7 +18,8 @@ import regex
 
 #: Bytes of text handled at a time.
 SLICE = 4_000_000
-MARKS = frozenset(".,;:!?")
+#: Characters that are neither letters, digits nor white space and start no contraction: a run of them that ends a segment is a piece of its own.
+MARKS = ".,;:!?*$%&#|()[]{}<>=+-/\\\"_~^@"
 
 
 def pre_tokens(segment: str, findall: Callable[[str], list[str]]) -> list[str]:
@@ -29,17 +30,22 @@ def pre_tokens(segment: str, findall: Callable[[str], list[str]]) -> list[str]:
 class Encoder:
     """Encodes texts by a function from a piece of text to its ids.
 
-    Beyond ``most`` segments only those of the last texts stay, which changes no result.
+    word does the same for letters alone that follow a space, and whole for a text that holds one of
+    the special strings, which the split pattern does not cover. Beyond ``most`` segments only those
+    of the last texts stay, which changes no result.
     """
 
-    def __init__(self, encode: Callable[[str], list[int]], pattern: str, most: int = 120_000):
+    def __init__(
+        self, encode: Callable[[str], list[int]], pattern: str, most: int = 120_000, word: Callable[[str], list[int]] | None = None, special: tuple[str, ...] = (), whole: Callable[[str], list[int]] | None = None
+    ):
         self.encode_piece, self.pattern, self.most = encode, regex.compile(pattern), most
+        self.encode_word, self.special, self.encode_whole = word or (lambda w: encode(" " + w)), special, whole
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
         self.exact: dict[str, list[int]] = {}
-        self.marks = {m: self.encode_piece(m) for m in MARKS}
+        self.marks: dict[str, int] = {}
         self.fresh: list[list[int]] = []
         self.n, self.used = 1, 0  # entry 0 is empty
         self.ids = np.zeros(1 << 20, np.uint32)
@@ -70,33 +76,40 @@ class Encoder:
         kept = self.ids[np.repeat(self.start[entries] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
         self.ids[: len(kept)], self.used = kept, len(kept)
         self.start[1 : len(ends) + 1], self.length[1 : len(ends) + 1], self.n = ends - sizes, sizes, len(ends) + 1
+        self.marks = {}
         self.known = {s: i if old >= 0 else -1 for i, (s, old) in enumerate(zip(names, table.tolist(), strict=True), 1)}
 
-    def _of(self, entry: int) -> list[int]:
-        if entry >= self.n:
-            return self.fresh[entry - self.n]
-        return self.ids[self.start[entry] : self.start[entry] + self.length[entry]].tolist()
-
     def _entry(self, segment: str) -> int:
-        """Entry of what follows a space; -1 where white space meets white space.
-
-        A mark after a letter is a piece of its own.
-        """
-        if not segment or segment[-1].isspace():
+        """Entry of what follows a space; -1 where white space meets white space."""
+        if segment.isalpha():
+            found = self._add(self.encode_word(segment))
+        elif not segment or segment[-1].isspace():
             found = -1
         elif segment[0] == "\n":
             found = -1 if segment[1].isspace() else self._add(self.encode_piece(segment))
         elif segment[0].isspace():
             found = -1
-        elif segment[-1] in MARKS and segment[-2:-1].isalpha():
-            bare = self.known.get(segment[:-1], -1)
-            ids = self._of(bare) if bare >= 0 else self.encode_piece(" " + segment[:-1])
-            found = self._add(ids + self.marks[segment[-1]])
         else:
             found = self._add(self.encode_piece(" " + segment))
         self.known[segment] = found
         return found
 
+    def _marks(self, run: str) -> int:
+        entry = self.marks.get(run)
+        if entry is None:
+            entry = self.marks[run] = self._add(self.encode_piece(run))
+        return entry
+
+    def _without_marks(self, names: list[str], array: pa.Array) -> tuple[list[str], list[int]]:
+        """The names, those of letters and a run of MARKS without it, and the entries of these runs (0: none)."""
+        bare = pc.utf8_rtrim(array, MARKS)
+        shorter = np.flatnonzero(pc.binary_length(array).to_numpy(zero_copy_only=False) > pc.binary_length(bare).to_numpy(zero_copy_only=False))
+        words, runs = names.copy(), [0] * len(names)
+        for i, word in zip(shorter.tolist(), bare.take(pa.array(shorter)).to_pylist(), strict=True):
+            if word.isalpha():
+                words[i], runs[i] = word, self._marks(names[i][len(word) :])
+        return words, runs
+
     def _head(self, segment: str) -> int:
         """Entry of a text's first segment, which no space precedes."""
         if not segment:
@@ -112,6 +125,12 @@ class Encoder:
             out += ids
         return out
 
+    def _with_special(self, texts: pa.Array) -> np.ndarray:
+        found = np.zeros(len(texts), bool)
+        for name in self.special:
+            found |= pc.match_substring(texts, name).to_numpy(zero_copy_only=False)
+        return found
+
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array, and the number of ids of each."""
         if len(self.exact) > self.most:
@@ -123,17 +142,25 @@ class Encoder:
         distinct = lists.flatten().dictionary_encode()
         codes = distinct.indices.to_numpy()
         names = distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
-        known, entry = self.known, self._entry
-        table = np.fromiter((x if (x := known.get(s)) is not None else entry(s) for s in names), np.int32, len(names))
-        at = table[codes]
+        words, runs = self._without_marks(names, distinct.dictionary)
+        entries = list(map(self.known.get, words))
+        for i in [i for i, x in enumerate(entries) if x is None]:
+            entries[i] = self.known[words[i]] if words[i] in self.known else self._entry(words[i])
+        table = np.array(entries, np.int32)
+        at, run = table[codes], np.array(runs, np.int32)[codes]
         at[firsts] = [self._head(names[c]) for c in codes[firsts].tolist()]
-        bad = np.flatnonzero(np.minimum.reduceat(at, firsts) < 0) if len(firsts) else []
+        run[firsts] = 0
+        special = self._with_special(texts)
+        bad = np.flatnonzero((np.minimum.reduceat(at, firsts) < 0) | special) if len(firsts) else []
         if len(bad):
             last = np.append(firsts, len(at))
             for i in bad.tolist():
-                at[last[i] : last[i + 1]] = 0
-                at[last[i]] = self._add(self.piecewise(texts[i].as_py()))
+                at[last[i] : last[i + 1]] = run[last[i] : last[i + 1]] = 0
+                at[last[i]] = self._add((self.encode_whole if special[i] else self.piecewise)(texts[i].as_py()))
         self._flush()
+        ended = np.flatnonzero(run)
+        at = np.insert(at, ended + 1, run[ended])
+        firsts = firsts + np.searchsorted(ended, firsts)
         sizes = self.length[at]
         upto = np.cumsum(sizes, dtype=np.int32)
         place = np.repeat(self.start[at] - (upto - sizes), sizes)
@@ -141,7 +168,8 @@ class Encoder:
         counts = np.add.reduceat(sizes, firsts, dtype=np.int64) if len(firsts) else np.zeros(0, np.int64)
         out = self.ids[place]
         if self.n > self.most:
-            self._keep(names, table)
+            kept = dict(zip(words, entries, strict=True))
+            self._keep(list(kept), np.array(list(kept.values()), np.int32))
         return out, counts
 
     def encode(self, text: str) -> list[int]:

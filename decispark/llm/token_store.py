@@ -1,18 +1,21 @@
 """Token ids in a content-addressed store with Merkle manifests (op8).
 
-Files under one folder: ``chunks`` (digest, data: the ids as little-endian unsigned integers of
-``width`` bytes), each distinct chunk once; ``recipes``, in ascending doc_id order (doc_id,
-start, n_tokens, digests, lengths, root); ``manifest`` (one row for each range of documents,
-and one for all). A rolling hash over the last 16 ids ends a chunk, so equal passages give
-equal chunks wherever they stand. A document's root is the SHA-256 of its chunk digests, a
-range's that of its documents' roots, and the store's that of the ranges' roots.
+Tables under one folder: ``objects``, each distinct one once under its key: chunks (kind chunk;
+key: their digest, data: the ids as little-endian unsigned integers of ``WIDTH`` bytes) and the
+documents' lists of chunks (kind recipe); ``recipes``, in ascending doc_id order (doc_id, start,
+n_tokens, digests, lengths, root); ``manifest``, the Merkle tree over the recipes (level, node,
+start, n_docs, n_tokens, root). A rolling hash over the last 16 ids ends a chunk, so equal passages
+give equal chunks wherever they stand. A document's root is the SHA-256 of its chunk digests; a
+range's comes from its documents' roots, FANOUT at a time and level by level, and the store's
+likewise from those of the ranges.
 
 Reading back checks every chunk against its digest and every recipe against its root. CRCs of
 chunks are shifted and combined, so no document's ids are gathered anew.
 
 Edge cases: a null or empty text gives the end id alone; equal rows are recipes of their own
 with shared chunks; a null doc_id comes first; an empty table gives an empty store; further
-columns are ignored. Texts that name a special token are ordinary text.
+columns are ignored. A text that names an added token of the vocabulary gets its id, as from the
+library.
 """
 
 from __future__ import annotations
@@ -51,16 +54,23 @@ def encoder(path: str, pattern: str, segments: int) -> Encoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    # What is met again is remembered here; the model's own memory would hold it twice.
+    tokenizer.model._resize_cache(0)
     tokenize, split = tokenizer.model.tokenize, regex.compile(pattern).findall
     printable = dict(enumerate(byte_characters()))
+    space = printable[32]
 
     def encode(segment: str) -> list[int]:
         """The library's merges for each pre-token, its bytes written as the library's pre-tokenizer writes them."""
-        if segment.isascii() and segment[0] == " " and segment[1:].isalpha():
-            return [t.id for t in tokenize(printable[32] + segment[1:])]
         return [t.id for piece in pre_tokens(segment, split) for t in tokenize(piece.encode().decode("latin-1").translate(printable))]
 
-    return Encoder(encode, pattern, segments)
+    def word(letters: str) -> list[int]:
+        return [t.id for t in tokenize(space + (letters if letters.isascii() else letters.encode().decode("latin-1").translate(printable)))]
+
+    def whole(text: str) -> list[int]:
+        return tokenizer.encode(text, add_special_tokens=False).ids
+
+    return Encoder(encode, pattern, segments, word, tuple(t.content for t in tokenizer.get_added_tokens_decoder().values()), whole)
 
 
 @cache
@@ -100,8 +110,12 @@ def cut_points(ids: np.ndarray, counts: np.ndarray) -> Iterator[list[int]]:
         yield out
 
 
-CHUNKS = "key binary, data binary, doc_id bigint, digests array<binary>, lengths array<int>, copies bigint, kind string"
+OBJECTS = "key binary, kind string, data binary, doc_id bigint, digests array<binary>, lengths array<int>, copies bigint"
 RECIPES = "doc_id bigint, start bigint, n_tokens bigint, digests array<binary>, lengths array<int>, root string, r int"
+#: Children of a node of the Merkle tree at most.
+FANOUT = 256
+#: Digests of chunks that a task remembers having sent.
+SENT = 200_000
 
 
 def digest_of(data: bytes) -> bytes:
@@ -109,9 +123,13 @@ def digest_of(data: bytes) -> bytes:
 
 
 def parts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Rows of two kinds: chunk (key: digest, data) and recipe (key: id and root, doc_id, digests, lengths)."""
+    """Rows of two kinds: chunk (key: digest, data) and recipe (key: id and root, doc_id, digests, lengths).
+
+    A task sends a chunk once, or again after SENT others, so copies within it are not shuffled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()
         for batch, ids, counts in encode_batches(batches, encoder(path, pattern, SEGMENTS), 1):
             ids, counts = np.insert(ids, np.cumsum(counts), END_ID), counts + 1
             raw = ids.astype(f"<u{WIDTH}").tobytes()
@@ -123,28 +141,30 @@ def parts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 for p in ends:
                     data = raw[last * WIDTH : p * WIDTH]
                     d = digest_of(data)
-                    chunks[d] = data
+                    if d not in sent:
+                        chunks[d] = data
                     own.append(d)
                     sizes.append(p - last)
                     last = p
                 digests.append(own)
                 lengths.append(sizes)
+            sent = (sent if len(sent) < SENT else set()) | chunks.keys()
             names = batch.column(0).to_pylist()
             keys = [repr(i).encode() + b":" + hashlib.sha256(b"".join(d)).digest() for i, d in zip(names, digests, strict=True)]
             n, m = len(chunks), len(names)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(["chunk"] * n + ["recipe"] * m),
                     pa.array([*chunks, *keys], pa.binary()),
+                    pa.array(["chunk"] * n + ["recipe"] * m),
                     pa.array([*chunks.values(), *[None] * m], pa.binary()),
                     pa.array([None] * n + names, pa.int64()),
                     pa.array([None] * n + digests, pa.list_(pa.binary())),
                     pa.array([None] * n + lengths, pa.list_(pa.int32())),
                 ],
-                names=["kind", "key", "data", "doc_id", "digests", "lengths"],
+                names=["key", "kind", "data", "doc_id", "digests", "lengths"],
             )
 
-    return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "kind string, key binary, data binary, doc_id bigint, digests array<binary>, lengths array<int>")
+    return small_batches(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "key binary, kind string, data binary, doc_id bigint, digests array<binary>, lengths array<int>")
 
 
 def root_of(digests: Column) -> Column:
@@ -154,9 +174,10 @@ def root_of(digests: Column) -> Column:
 def write(docs: DataFrame, folder: str, path: str, pattern: str) -> None:
     """Encode docs and write the store to folder, in any file system that Spark reaches."""
     spark = docs.sparkSession
-    found = parts(docs, path, pattern).groupBy("kind", "key").agg(F.first("data").alias("data"), F.first("doc_id").alias("doc_id"), F.first("digests").alias("digests"), F.first("lengths").alias("lengths"), F.count(F.lit(1)).alias("copies"))
-    found.write.option("compression", "zstd").partitionBy("kind").parquet(f"{folder}/chunks")
-    rows = spark.read.schema(CHUNKS).parquet(f"{folder}/chunks").where("kind = 'recipe'").select(F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"), "doc_id", "digests", "lengths")
+    # One sort by key, after the exchange; the tasks before it have dropped their own copies.
+    found = parts(docs, path, pattern).repartition("key").groupBy("key").agg(*[F.first(c).alias(c) for c in ("kind", "data", "doc_id", "digests", "lengths")], F.count(F.lit(1)).alias("copies"))
+    found.write.option("compression", "zstd").parquet(f"{folder}/objects")
+    rows = spark.read.schema(OBJECTS).parquet(f"{folder}/objects").where("kind = 'recipe'").select(F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"), "doc_id", "digests", "lengths")
     n = F.aggregate("lengths", F.lit(0).cast("bigint"), lambda s, x: s + x)
     k = F.coalesce(F.col("doc_id"), F.lit(LOWEST))
     starts, _ = range_starts(rows, "doc_id")
@@ -166,10 +187,31 @@ def write(docs: DataFrame, folder: str, path: str, pattern: str) -> None:
     inside = W.partitionBy("r").orderBy(F.col("doc_id").asc_nulls_first(), "root", "copy").rowsBetween(W.unboundedPreceding, 0)
     placed = rows.withColumn("own", F.sum("n_tokens").over(inside) - F.col("n_tokens")).join(before, "r").select("doc_id", (F.col("before") + F.col("own")).alias("start"), "n_tokens", "digests", "lengths", "root", "r")
     placed.repartitionByRange("r", "start").sortWithinPartitions("start").write.parquet(f"{folder}/recipes")
+    write_manifest(spark, folder)
+
+
+def write_manifest(spark: SparkSession, folder: str) -> None:
+    """The Merkle tree over the recipes: each node is the digest of the roots of at most FANOUT nodes that follow each other.
+
+    Level 0 groups documents by their place within their range; the last level has one node, node 0.
+    """
     recipes = spark.read.schema(RECIPES).parquet(f"{folder}/recipes")
-    ranges = recipes.groupBy("r").agg(F.min("start").alias("start"), F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "root"))), lambda x: x["root"]), ""), 256).alias("root"))
-    whole = ranges.agg(F.lit(-1).alias("r"), F.lit(0).cast("bigint").alias("start"), F.coalesce(F.sum("n_docs"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n_tokens"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "root"))), lambda x: x["root"]), ""), 256).alias("root"))
-    ranges.unionByName(whole).write.parquet(f"{folder}/manifest")
+    place = F.row_number().over(W.partitionBy("r").orderBy("start")) - 1
+    per_range = recipes.groupBy("r").agg(F.count(F.lit(1)).alias("n"))
+    first = per_range.select("r", (F.sum(F.ceil(F.col("n") / FANOUT)).over(W.orderBy("r")) - F.ceil(F.col("n") / FANOUT)).alias("first"))
+    nodes = recipes.select("r", "start", "n_tokens", "root", place.alias("place")).join(first, "r")
+    nodes = nodes.select((F.col("first") + F.floor(F.col("place") / FANOUT)).cast("bigint").alias("node"), "start", F.lit(1).cast("bigint").alias("n_docs"), "n_tokens", "root")
+    level = 0
+    while True:
+        roots = F.transform(F.array_sort(F.collect_list(F.struct("start", "root"))), lambda x: x["root"])
+        nodes = nodes.groupBy("node").agg(F.min("start").alias("start"), F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.array_join(roots, ""), 256).alias("root"))
+        path = f"{folder}/manifest/level={level}"
+        nodes.write.parquet(path)
+        nodes = spark.read.schema(nodes.schema).parquet(path)
+        if nodes.count() <= 1:
+            break
+        nodes = nodes.withColumn("node", F.floor(F.col("node") / FANOUT).cast("bigint"))
+        level += 1
 
 
 @cache
@@ -222,7 +264,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
             moved = shift_crc(batch.column(1).to_numpy(), batch.column(2).to_numpy() * 4)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(moved.astype(np.int64)), batch.column(3)], names=["start", "moved", "length"])
 
-    chunks = spark.read.schema(CHUNKS).parquet(f"{folder}/chunks").where("kind = 'chunk'").select(F.col("key").alias("digest"), "data").mapInArrow(check, "digest binary, crc bigint, length int")
+    chunks = spark.read.schema(OBJECTS).parquet(f"{folder}/objects").where("kind = 'chunk'").select(F.col("key").alias("digest"), "data").mapInArrow(check, "digest binary, crc bigint, length int")
     recipes = spark.read.schema(RECIPES).parquet(f"{folder}/recipes")
     wrong = F.raise_error(F.concat(F.lit("recipe does not match its root: "), F.col("doc_id").cast("string")))
     recipes = recipes.withColumn("n_tokens", F.when(root_of(F.col("digests")) == F.col("root"), F.col("n_tokens")).otherwise(wrong.cast("bigint")))

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from decispark.llm import bpe, fingerprints, html, licences, mixing, neardup, pii, quality, secrets, token_store
+from decispark.llm.common import Tables
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -87,7 +88,7 @@ def test_mix_comes_near_its_targets(documents, texts):
     target |= {s: weight[s] * level for s in open_}
     taken = Counter()
     for i, r in got.items():
-        assert r["target"] == pytest.approx(target[sources[i]]) and r["copies"] <= 3 or size[i] == 0
+        assert r["target"] == pytest.approx(target[sources[i]]) and r["copies"] <= 3
         taken[sources[i]] += r["copies"] * r["size"]
     for s in order:
         most = max(size[i] for i in size if sources[i] == s)
@@ -176,7 +177,7 @@ def test_components_equal_brute_force(spark, documents, texts, percent):
 
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (700, 700)], "a long, b long")
-    got = {r["id"]: r["component"] for r in neardup.components(links.repartition(5)).collect()}
+    got = {r["id"]: r["component"] for r in neardup.components(links.repartition(5), Tables(spark, "test")).collect()}
     assert got == {i: 0 for i in range(201)} | {500: 500, 501: 500}
 
 
@@ -189,6 +190,23 @@ def test_large_buckets_meet_block_by_block(spark, monkeypatch):
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == components_of(texts, 85)
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows_ = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (3, b + " end"), (4, a), (None, a), (5, None), (5, "")]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"], r["representative"]) for r in neardup.near_duplicates(docs, 85).collect()), key=str)
+    assert got == sorted([(1, 56, 1, True, True), (1, 56, 1, True, True), (2, 57, 1, False, False), (3, 57, 1, False, False), (3, 57, 1, False, False), (4, 56, 1, False, False), (None, 56, None, True, True), (5, 0, 5, True, True), (5, 0, 5, True, True)], key=str)
+
+
+def test_hot_classes_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(neardup, "HOT_COPIES", 20)
+    texts = {k: "same words in each of these texts here" if k % 3 else f"own {k} " + "words of it " * 5 for k in range(100)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = rows(neardup.near_duplicates(docs, 85))
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == components_of(texts, 85)
+
+
 # quality rules
 
 
@@ -364,7 +382,6 @@ def test_token_store_equals_the_library(spark, documents, texts, tmp_path):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     docs = documents.unionByName(documents.where("doc_id in (10004, 10001)"))
     token_store.write(docs, str(tmp_path / "store"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_store.read(spark, str(tmp_path / "store")).collect())
@@ -374,17 +391,34 @@ def test_token_store_equals_the_library(spark, documents, texts, tmp_path):
         expected.append((start, name, len(ids), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))))
         start += len(ids)
     assert got == expected
-    chunks = spark.read.parquet(str(tmp_path / "store/chunks")).where("kind = 'chunk'")
+    chunks = spark.read.parquet(str(tmp_path / "store/objects")).where("kind = 'chunk'")
     assert chunks.count() == chunks.select("key").distinct().count()
-    top = spark.read.parquet(str(tmp_path / "store/manifest")).where("r = -1").first()
-    assert (top["n_docs"], top["n_tokens"]) == (len(expected), start)
+    levels = spark.read.parquet(str(tmp_path / "store/manifest"))
+    top = levels.orderBy(F.desc("level")).first()
+    assert levels.where(F.col("level") == top["level"]).count() == 1
+    assert (top["n_docs"], top["n_tokens"], top["node"]) == (len(expected), start, 0)
+
+
+def test_manifest_is_a_tree_of_fixed_width(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "FANOUT", 3)
+    folder = str(tmp_path / "m")
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(25)], "doc_id long, text string")
+    token_store.write(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    nodes = [(r["root"],) for r in spark.read.parquet(f"{folder}/recipes").orderBy("start").collect()]
+    found = spark.read.parquet(f"{folder}/manifest")
+    level = 0
+    while len(nodes) > 1:
+        nodes = [(hashlib.sha256("".join(x[0] for x in nodes[k : k + 3]).encode()).hexdigest(),) for k in range(0, len(nodes), 3)]
+        assert [(r["root"],) for r in found.where(F.col("level") == level).orderBy("node").collect()] == nodes
+        level += 1
+    assert found.select("level").distinct().count() == level == 3
 
 
 def test_shared_passages_share_chunks(spark, tmp_path):
     passage = " ".join(f"thing{i * 31 % 997}" for i in range(3000))
     docs = spark.createDataFrame([(i, f"start {i} here " + passage) for i in range(20)], "doc_id long, text string")
     token_store.write(docs, str(tmp_path / "s"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
-    stored = spark.read.parquet(str(tmp_path / "s/chunks")).where("kind = 'chunk'").agg(F.sum(F.length("data"))).first()[0]
+    stored = spark.read.parquet(str(tmp_path / "s/objects")).where("kind = 'chunk'").agg(F.sum(F.length("data"))).first()[0]
     n = spark.read.parquet(str(tmp_path / "s/recipes")).agg(F.sum("n_tokens")).first()[0]
     assert stored < 2 * n / 8
 
@@ -392,8 +426,8 @@ def test_shared_passages_share_chunks(spark, tmp_path):
 def test_damage_is_found(spark, documents, tmp_path):
     folder = str(tmp_path / "d")
     token_store.write(documents.where("doc_id > 10000"), folder, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
-    bad = spark.read.parquet(f"{folder}/chunks").where("kind = 'chunk'").limit(3)
-    bad.withColumn("data", F.concat("data", F.lit(b"xx"))).write.mode("append").partitionBy("kind").parquet(f"{folder}/chunks")
+    bad = spark.read.parquet(f"{folder}/objects").where("kind = 'chunk'").limit(3)
+    bad.withColumn("data", F.concat("data", F.lit(b"xx"))).write.mode("append").parquet(f"{folder}/objects")
     with pytest.raises(Exception, match="does not match its digest"):
         token_store.read(spark, folder).collect()
 
@@ -429,9 +463,8 @@ def test_store_encoder_equals_the_library_at_every_kind_of_text():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     own, r = token_store.encoder(path, public_tokenizers.PATTERN, 1000), random.Random(4)
-    letters = [*" \n\t\r\xa0 abzAB19.,'!?éßñ漢字😀_-$%", "  ", "\n\n", "'s", "<|endoftext|>", "½", " word", "word, "]
+    letters = [*" \n\t\r\xa0 abzAB19.,'!?éßñ漢字😀_-$%*&#|()[]<>/\\\"", "  ", "\n\n", "'s", "<|endoftext|>", "½", " word", "word, ", "***", " über"]
     for _ in range(3000):
         text = "".join(r.choice(letters) for _ in range(r.randint(0, 25)))
         assert own.encode(text) == tokenizer.encode(text, add_special_tokens=False).ids

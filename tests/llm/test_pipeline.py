@@ -12,7 +12,7 @@ from .test_operators import WORD, components_of
 
 
 def test_stages_take_effect(spark, documents, tmp_path):
-    docs = documents.drop("size", "ids")
+    docs = documents.withColumns({"target": F.lit("own"), "copies": F.lit(-1), "copy": F.lit("c"), "kept": F.lit(2)})
     seen = [docs]
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, seen[-1], "").write.parquet(str(tmp_path / name))
@@ -33,6 +33,7 @@ def test_stages_take_effect(spark, documents, tmp_path):
     assert seen[3].where(F.col("n_chars") != F.length("text")).count() == 0
 
     copies = {r["doc_id"]: r["n"] for r in seen[4].groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert seen[4].select("size", "ids", "target", "copies", "copy", "kept").distinct().collect() == [("x", 1, "own", -1, "c", 2)]
     assert max(copies.values()) <= 3 and all(texts[4][i] == texts[3][i] for i in copies)
     words = lambda d: sum(len(WORD.findall(r["text"] or "")) for r in d.collect())
     assert abs(words(seen[4]) / words(seen[3]) - 1) < 0.1
@@ -43,8 +44,18 @@ def test_stages_take_effect(spark, documents, tmp_path):
     assert seen[5].count() == seen[4].count()
 
 
+def test_rows_without_id_and_rows_of_one_id(spark):
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    rows = [(None, "too short"), (None, words("n", 80)), (1, words("a", 80)), (1, "short too"), (1, words("b", 80)), (2, words("a", 80) + " end"), (3, words("c", 80)), (3, words("c", 80)), (None, words("c", 80))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    key = lambda d: sorted((str(r["doc_id"]), r["text"]) for r in d.collect())
+    first = corpus_pipeline.quality_stage(spark, docs, "")
+    assert key(first) == sorted((str(i), t) for i, t in rows if "short" not in t)
+    assert key(corpus_pipeline.near_dedup_stage(spark, first, "")) == sorted([("None", words("n", 80)), ("1", words("a", 80)), ("1", words("b", 80)), ("3", words("c", 80)), ("None", words("c", 80))])
+
+
 def test_pipeline_on_nothing(spark, empty):
-    docs = empty.drop("size", "ids")
+    docs = empty
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
