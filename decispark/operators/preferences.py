@@ -55,11 +55,15 @@ def arms(edges: DataFrame, coarse_gap: float, cap: float) -> DataFrame:
     return d.join(F.broadcast(states), "arm").select("arm", "sample", "chosen", "rejected", "gap", (F.col("factor") / F.col("total")).alias("weight"), (F.col("local") / F.col("normalizer")).alias("loss_weight"))
 
 
-def arm_statistics(edges: DataFrame, family: Column, coarse_gap: float) -> DataFrame:
-    """Per arm and family: states, pairs, most pairs in a state, loss weights, share of the mass in small gaps."""
-    d = edges.withColumn("family", family)
-    states = d.groupBy("arm", "family", "sample").agg(F.count(F.lit(1)).alias("n"), F.first("loss_weight").alias("w"), F.sum(F.when(F.col("gap") <= coarse_gap, F.col("weight") * F.col("loss_weight")).otherwise(0.0)).alias("small"))
-    return states.groupBy("arm", "family").agg(F.count(F.lit(1)).alias("states"), F.sum("n").alias("pairs"), F.max("n").alias("most_pairs"), F.min("w").alias("least_weight"), F.max("w").alias("most_weight"), F.sum("w").alias("weight_sum"), F.expr("try_divide(sum(small), sum(w))").alias("small_gap_share"))
+def arm_statistics(edges: DataFrame, family: Column, coarse_gap: float, route: Column, ends: Column) -> DataFrame:
+    """Per arm, and per arm and family: states, pairs, distinct routes, most pairs in a state, loss weights, shares of the mass in small gaps and in rejected ends of a turn."""
+    mass = F.col("weight") * F.col("loss_weight")
+    d = edges.withColumns({"family": family, "route": route, "small": F.when(F.col("gap") <= coarse_gap, mass).otherwise(0.0), "end": F.when(ends, mass).otherwise(0.0)})
+    states = d.groupBy("arm", "family", "route", "sample").agg(F.count(F.lit(1)).alias("n"), F.first("loss_weight").alias("w"), F.sum("small").alias("small"), F.sum("end").alias("end"))
+    return states.groupingSets([["arm"], ["arm", "family"]], "arm", "family").agg(
+        F.count(F.lit(1)).alias("states"), F.sum("n").alias("pairs"), F.countDistinct("route").alias("routes"), F.max("n").alias("most_pairs"), F.min("w").alias("least_weight"), F.max("w").alias("most_weight"), F.sum("w").alias("weight_sum"),
+        F.expr("try_divide(sum(small), sum(w))").alias("small_gap_share"), F.expr("try_divide(sum(end), sum(w))").alias("rejected_end_share"),
+    )
 
 
 def candidate_weights(accepted: DataFrame, heavy: Column, factor: float = 1.5) -> DataFrame:

@@ -114,6 +114,34 @@ def opening_choice(distribution: DataFrame, group: str, choice: str, probability
     return d.withColumn("place", F.row_number().over(w)).where("place = 1").select(group, choice, "history", "score")
 
 
+def opening_weighted(distribution: DataFrame, group: str, choice: str, probability: str, attack: Column, multiplier: float) -> DataFrame:
+    """Per group and choice its probability, raised for attacks, as score, and whether it is selected: the highest score, then the lowest name."""
+    if multiplier <= 0:
+        raise ValueError("the multiplier must be positive")
+    d = distribution.withColumn("score", F.col(probability) * F.when(attack, F.lit(multiplier)).otherwise(F.lit(1.0)))
+    place = F.row_number().over(W.partitionBy(group).orderBy(F.desc("score"), choice))
+    return d.select(group, choice, F.round("score", 8).alias("score"), (place == 1).alias("selected"))
+
+
+def search_classes(stats: DataFrame, classes: DataFrame, state: str, action: str, class_id: str) -> DataFrame:
+    """Statistics of a search's root actions summed per class, with means, and whether the class is the suggested one.
+
+    stats: state, action, visits, evaluation_sum, evaluation_square_sum, terminal_wins, terminal_losses,
+    ending_hp_sum, victory_ending_hp_sum. classes: state, action, class_id. problem names a class that
+    the search did not reach and an action without a class. Suggested is the highest win rate, then
+    mean HP of victories, visits, mean evaluation, and the lowest id.
+    """
+    counts = ["visits", "evaluation_sum", "evaluation_square_sum", "terminal_wins", "terminal_losses", "ending_hp_sum", "victory_ending_hp_sum"]
+    d = classes.select(state, action, class_id).join(stats.select(state, action, *counts), [state, action], "full")
+    per = d.groupBy(state, class_id).agg(F.count("visits").alias("members"), *[F.sum(c).alias(c) for c in counts])
+    ratio = lambda a, b: F.try_divide(F.col(a), F.col(b))
+    per = per.withColumns({"mean_evaluation": ratio("evaluation_sum", "visits"), "win_rate": ratio("terminal_wins", "visits"), "ending_hp_mean": ratio("ending_hp_sum", "visits"), "victory_ending_hp_mean": ratio("victory_ending_hp_sum", "terminal_wins")})
+    per = per.withColumn("problem", F.when(F.col(class_id).isNull(), "action without class").when(F.col("members") == 0, "class not reached"))
+    falling = [F.desc(F.coalesce("win_rate", F.lit(-1.0))), F.desc(F.coalesce("victory_ending_hp_mean", F.lit(-1.0))), F.desc("visits"), F.col("mean_evaluation").desc_nulls_last(), F.col(class_id)]
+    place = F.row_number().over(W.partitionBy(state).orderBy(F.col("problem").isNotNull(), *falling))
+    return per.withColumn("suggested", (place == 1) & F.col("problem").isNull())
+
+
 def pivot_rates(long: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """One row per key with a column per metric, and the least of their sample sizes."""
     aggs = [F.max(F.when(F.col("metric") == m, F.col("rate"))).alias(m) for m in metrics]

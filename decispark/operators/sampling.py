@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from decispark.functions.scalar import hash_uniform
+from decispark.sources.shared import cut
 
-#: Channel weights of the mixture sampler.
-CHANNELS = {"turn_start": 0.25, "event": 0.25, "random": 0.5}
+# Channel weights of the mixture sampler.
+CHANNELS = {"turn_start": 0.4, "event": 0.3, "random": 0.3}
 
 
 def keyed(seed: int, *parts: Column) -> Column:
@@ -27,11 +24,28 @@ def hash_bernoulli(rows: DataFrame, key: Column, seed: int, p: float) -> DataFra
 
 
 def hash_sample(rows: DataFrame, group: list[str], key: str, seed: int, n: int) -> DataFrame:
-    """n rows of each group without replacement, by hash order; with the chance of inclusion."""
-    w = W.partitionBy(*group)
-    place = F.row_number().over(w.orderBy(F.sha2(keyed(seed, F.col(key)), 256), key))
-    d = rows.withColumn("place", place).withColumn("inclusion", F.least(F.lit(1.0), F.lit(n) / F.count(F.lit(1)).over(w)))
-    return d.where(F.col("place") <= n)
+    """n rows of each group without replacement, by hash order; with the chance of inclusion.
+
+    The rank alone decides, so every task keeps n rows of a group before the shuffle.
+    """
+    first = rows.withColumn("place", F.row_number().over(W.partitionBy(*group).orderBy(F.sha2(keyed(seed, F.col(key)), 256), key))).where(F.col("place") <= n)
+    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("group_rows"))
+    same = [F.col(f"f.{g}").eqNullSafe(F.col(f"s.{g}")) for g in group]
+    d = first.alias("f").join(sizes.alias("s"), same).select("f.*", "s.group_rows")
+    return d.withColumn("inclusion", F.least(F.lit(1.0), F.lit(n) / F.col("group_rows"))).drop("group_rows")
+
+
+def ordered_places(rows: DataFrame, order: list[Column | str], into: str = "place") -> DataFrame:
+    """rows with their place, from 0, in one order over all of them.
+
+    Spark deals rows out by ranges of the order and sorts each range; a place is one's number within
+    its range and the rows of the ranges before. So no task sees all rows. order should be total.
+    """
+    d = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "places")
+    part, inside = F.shiftright("__at", 33), F.col("__at").bitwiseAND((1 << 33) - 1)
+    sizes = d.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("__part", (F.sum("n").over(W.orderBy("__part")) - F.col("n")).alias("__before"))
+    return d.withColumn("__part", part).join(F.broadcast(before), "__part").withColumn(into, F.col("__before") + inside).select(*rows.columns, into)
 
 
 def smoke_rows(rows: DataFrame, key: str, length: str, seed: int, n: int) -> DataFrame:
@@ -44,8 +58,10 @@ def smoke_rows(rows: DataFrame, key: str, length: str, seed: int, n: int) -> Dat
 
 def epoch_order(rows: DataFrame, key: str, epochs: int, seed: int) -> DataFrame:
     """rows once per epoch with their place in it, in a new hash order each time."""
-    d = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    return d.withColumn("place", F.row_number().over(W.partitionBy("epoch").orderBy(F.sha2(keyed(seed, F.col("epoch"), F.col(key)), 256), key)) - 1)
+    d = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).withColumn("__h", F.sha2(keyed(seed, F.col("epoch"), F.col(key)), 256))
+    placed = ordered_places(d, ["epoch", "__h", key]).drop("__h")
+    first = placed.groupBy("epoch").agg(F.min("place").alias("__first"))
+    return placed.join(F.broadcast(first), "epoch").withColumn("place", F.col("place") - F.col("__first")).select(*rows.columns, "epoch", "place")
 
 
 def bag_draws(items: DataFrame, group: str, item: str, draws: int, seed: int) -> DataFrame:
@@ -78,48 +94,60 @@ def derived_seeds(keys: DataFrame, key: str, worlds: int, base: int) -> DataFram
     return d.withColumn("seed", seed_for(keyed(base, F.col(key), F.col("world"))))
 
 
-def _draw(seed: int, *parts: object) -> float:
-    return int.from_bytes(hashlib.sha256("|".join(map(str, (seed, *parts))).encode()).digest()[:8], "big") / 2**64
+def _channel_orders(rows: DataFrame, group: str, count: int, seed: int) -> DataFrame:
+    """The first `count` rows of each group, channel and bucket in a hash order of their own.
+
+    A channel's next draw is the first row in its order that no channel has taken, which is as good
+    as a uniform draw; count - 1 rows are taken before the last one, so no more rows are needed.
+    """
+    channel = F.explode(F.array_compact(F.array(F.lit("random"), F.when(F.col("turn_start"), F.lit("turn_start")), F.when(F.col("bucket").isNotNull(), F.lit("event")))))
+    d = rows.withColumn("channel", channel).withColumn("of", F.when(F.col("channel") == "event", F.col("bucket")).otherwise(F.lit("")))
+    d = d.withColumn("order", F.xxhash64(F.lit(seed), F.col("channel"), F.col(group), F.col("key")))
+    return d.withColumn("rank", F.row_number().over(W.partitionBy(group, "channel", "of").orderBy("order", "key"))).where(F.col("rank") <= count)
 
 
 def mixture_sample(rows: DataFrame, group: str, key: str, count: int, seed: int, weights: dict[str, float] | None = None) -> DataFrame:
-    """count rows of each group without replacement through three channels: turn starts, an event bucket, or any row.
+    """count rows of each group without replacement: draw_index, channel and the draw's conditional probability.
 
-    rows need group, key (text), turn_start (boolean) and bucket (text or null). An empty channel's
-    weight goes to the random one. Each draw changes the next one's chances, so a group is drawn in
-    one function; only its keys and flags go there.
+    rows need group, key (unique in its group), turn_start (boolean) and bucket (text or null). A
+    draw takes a turn start, a row of one of the group's buckets, or any row; a channel that is
+    empty leaves its weight to the last. Counts are aggregated and orders cut to `count` rows before
+    anything of a group meets; the draws are a fold over these few rows.
     """
     w = {**CHANNELS, **(weights or {})}
     if abs(sum(w.values()) - 1) > 1e-9 or w["random"] <= 0:
         raise ValueError("weights must sum to one with a positive random part")
-
-    def draw(frame: pd.DataFrame) -> pd.DataFrame:
-        name = frame[group].iloc[0]
-        rest = {k: (bool(t), b if isinstance(b, str) else None) for k, t, b in zip(frame[key], frame["turn_start"], frame["bucket"], strict=True)}
-        out = []
-        for i in range(min(count, len(rest))):
-            starts = sorted(k for k, (t, _) in rest.items() if t)
-            buckets: dict[str, list[str]] = {}
-            for k in sorted(rest):
-                if rest[k][1] is not None:
-                    buckets.setdefault(rest[k][1], []).append(k)
-            share = {"turn_start": w["turn_start"] if starts else 0.0, "event": w["event"] if buckets else 0.0}
-            share["random"] = 1 - share["turn_start"] - share["event"]
-            u = _draw(seed, name, i, "channel")
-            channel = "turn_start" if u < share["turn_start"] else "event" if u < share["turn_start"] + share["event"] else "random"
-            pool = starts if channel == "turn_start" else sorted(rest)
-            if channel == "event":
-                names = sorted(buckets)
-                pool = buckets[names[int(_draw(seed, name, i, "bucket") * len(names))]]
-            chosen = pool[int(_draw(seed, name, i, "row") * len(pool))]
-            turn, bucket = rest[chosen]
-            chance = share["random"] / len(rest) + (share["turn_start"] / len(starts) if turn else 0) + (share["event"] / len(buckets) / len(buckets[bucket]) if bucket is not None else 0)
-            out.append((name, chosen, i, channel, chance))
-            del rest[chosen]
-        return pd.DataFrame(out, columns=[group, key, "draw_index", "channel", "probability"])
-
-    schema = f"{group} {rows.schema[group].dataType.simpleString()}, {key} string, draw_index int, channel string, probability double"
-    return rows.select(group, F.col(key).cast("string").alias(key), "turn_start", "bucket").groupBy(group).applyInPandas(draw, schema)
+    d = rows.select(group, F.col(key).cast("string").alias("key"), F.coalesce("turn_start", F.lit(False)).alias("turn_start"), "bucket").where("key is not null")
+    by_bucket = d.groupBy(group, "bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("turn_start").alias("starts"))
+    sizes = by_bucket.groupBy(group).agg(
+        F.sum("n").alias("n"), F.sum("starts").alias("starts"), F.array_sort(F.collect_list(F.when(F.col("bucket").isNotNull(), F.struct("bucket", "n")))).alias("buckets")
+    )
+    firsts = _channel_orders(d, group, count, seed).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("channel", "of", "rank", "key", "turn_start", "bucket"))).alias("firsts"))
+    state = "array<struct<key:string,turn_start:boolean,bucket:string,channel:string,probability:double>>"
+
+    def draw(taken: Column, i: Column) -> Column:
+        left = lambda n, cond: n - F.size(F.filter(taken, cond))
+        rest = left(F.col("n"), lambda t: F.lit(True))
+        starts = left(F.col("starts"), lambda t: t["turn_start"])
+        open_buckets = F.filter(F.transform("buckets", lambda b: F.struct(b["bucket"].alias("bucket"), left(b["n"], lambda t: F.coalesce(t["bucket"] == b["bucket"], F.lit(False))).alias("n"))), lambda b: b["n"] > 0)
+        fields = F.struct(rest.alias("rest"), starts.alias("starts"), open_buckets.alias("buckets"))
+        return F.get(F.transform(F.array(fields), lambda s: _one_draw(taken, i, s)), F.lit(0))
+
+    def _one_draw(taken: Column, i: Column, s: Column) -> Column:
+        p_start = F.when(s["starts"] > 0, w["turn_start"]).otherwise(0.0)
+        p_event = F.when(F.size(s["buckets"]) > 0, w["event"]).otherwise(0.0)
+        at = lambda what: hash_uniform(keyed(seed, F.col(group), i, F.lit(what)))
+        channel = F.when(at("channel") < p_start, "turn_start").when(at("channel") < p_start + p_event, "event").otherwise("random")
+        named = F.get(s["buckets"], F.floor(at("bucket") * F.size(s["buckets"])).cast("int"))["bucket"]
+        pool = F.filter("firsts", lambda f: (f["channel"] == channel) & ((channel != "event") | (f["of"] == named)) & ~F.exists(taken, lambda t: t["key"] == f["key"]))
+        chosen = F.get(pool, F.lit(0))
+        of_bucket = F.get(F.filter(s["buckets"], lambda b: b["bucket"] == chosen["bucket"]), F.lit(0))["n"]
+        chance = (1 - p_start - p_event) / s["rest"] + F.when(chosen["turn_start"], F.try_divide(p_start, s["starts"])).otherwise(0.0) + F.coalesce(F.try_divide(F.try_divide(p_event, F.size(s["buckets"])), of_bucket), F.lit(0.0))
+        return F.array_append(taken, F.struct(chosen["key"].alias("key"), chosen["turn_start"].alias("turn_start"), chosen["bucket"].alias("bucket"), channel.alias("channel"), chance.alias("probability")))
+
+    steps = F.sequence(F.lit(0), (F.least(F.col("n"), F.lit(count)) - 1).cast("int"))
+    drawn = sizes.join(firsts, group).withColumn("drawn", F.aggregate(steps, F.array().cast(state), draw))
+    return drawn.select(group, F.posexplode("drawn").alias("draw_index", "x")).select(group, F.col("x.key").alias(key), "draw_index", "x.channel", "x.probability")
 
 
 def staged_steps(spark, stages: list[tuple[str, dict[str, int]]]) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from decispark.sources.shared import cut
+
 
 def valid_targets(monsters: Column) -> Column:
     """Places of the monsters that can be aimed at: there, not half dead, with HP left."""
@@ -41,6 +43,65 @@ def audit_rows(classes: DataFrame, state: str) -> DataFrame:
     return classes.select(state, "class_id", "representative", F.posexplode(F.split("members", ",")).alias("place", "member"))
 
 
+def root_records(classes: DataFrame, state: str, kind: str, card: str, target: str, semantics: list[str] | None = None) -> DataFrame:
+    """One record per class: id, card (the action's type where it plays none) and target; with semantics also the type and the card's public fields."""
+    d = classes.select(state, F.col("class_id").alias("id"), F.coalesce(F.col(card), F.col(kind)).alias("card"), F.col(target).alias("target"), F.col(kind).alias("action_type"), *([F.when(F.col(card).isNotNull(), F.struct(*semantics)).alias("card_semantics")] if semantics else []))
+    return d if semantics else d.drop("action_type")
+
+
+def decision_fields(states: DataFrame, dataset: str, version: str, state: str, observation: str, actions: str) -> DataFrame:
+    """What supervised and preference records share: identity, observation with its hash, and the actions (id, type, card, target) under public names."""
+    public = F.transform(actions, lambda a: F.struct(a["id"].alias("model_action_id"), a["action_type"], a["card"].alias("card_name"), a["target"]))
+    return states.select(
+        F.lit(dataset).alias("dataset_id"), F.col(state).alias("record_id"), F.lit("train").alias("split"), F.lit(version).alias("observation_version"),
+        F.col(observation).alias("observation"), F.sha2(observation, 256).alias("observation_sha256"), public.alias("model_actions"),
+    )
+
+
+#: Public fields of a card.
+CARD_FIELDS = ("card_id", "name", "card_type", "cost", "upgrades", "effect", "exhausts", "ethereal", "has_target")
+
+
+def card_semantics(card: Column) -> Column:
+    """A card's public fields alone: cards that a model cannot tell apart are equal."""
+    return F.struct(*[card[f].alias(f) for f in CARD_FIELDS])
+
+
+def action_rules(action: Column, hand: Column, monsters: Column) -> dict[str, Column]:
+    """Rules of an action (type, hand_index, card_uuid, card_name, target_index) against its state, for validation.broken."""
+    plays, ends = action["type"] == "play_card", action["type"] == "end_turn"
+    fits = action["hand_index"].between(0, F.size(hand) - 1)
+    card = F.get(hand, F.when(fits, action["hand_index"]))
+    aimed = F.get(monsters, F.when(action["target_index"] >= 0, action["target_index"]))
+    of_card = lambda rule: ~plays | ~F.coalesce(fits, F.lit(False)) | rule
+    alive = ~aimed["is_gone"] & ~aimed["half_dead"] & (aimed["hp"] > 0)
+    return {
+        "hand_index": ~plays | fits,
+        "card_uuid": of_card(action["card_uuid"].eqNullSafe(card["uuid"])),
+        "card_name": of_card(action["card_name"].eqNullSafe(card["name"])),
+        "playable": of_card(card["playable"]),
+        "no_target": of_card(card["has_target"] | action["target_index"].isNull()),
+        "target_index": of_card(~card["has_target"] | F.coalesce(action["target_index"].between(0, F.size(monsters) - 1), F.lit(False))),
+        "target": of_card(~card["has_target"] | aimed.isNull() | alive),
+        "end_turn": ~ends | F.forall(F.array(action["hand_index"].isNull(), action["card_uuid"].isNull(), action["card_name"].isNull(), action["target_index"].isNull()), lambda x: x),
+    }
+
+
+def demonstrations(decisions: DataFrame, classes: str, executed: str, selected: str, fallback: str) -> DataFrame:
+    """decisions with the record of one candidate that an executed action gives, and problem where it is no demonstration.
+
+    classes: array of (class_id, action_type, representative). The label is forced_end where ending the
+    turn was the only class. A problem: the executed action is no class's representative or not the
+    selected class, or a fallback chose it.
+    """
+    own = F.get(F.filter(classes, lambda c: c["representative"] == F.col(executed)), F.lit(0))
+    forced = (F.size(classes) == 1) & (own["action_type"] == "end_turn")
+    problem = F.when(own.isNull() | ~own["class_id"].eqNullSafe(F.col(selected)), "action differs").when(F.col(fallback), "fallback")
+    d = decisions.withColumn("problem", problem)
+    good = F.col("problem").isNull()
+    return d.withColumn("candidates", F.when(good, F.array(F.struct(own["class_id"].alias("action_id"), F.lit(1.0).alias("weight"))))).withColumn("supervision_source", F.when(good, F.when(forced, "forced_end").otherwise("teacher_strategy")))
+
+
 def numbered_lines(rows: DataFrame, group: str, order: list[str], line: Column, name: str = "text") -> DataFrame:
     """Per group its lines in order, joined by newlines."""
     items = F.array_sort(F.collect_list(F.struct(*order, line.alias("line"))))
@@ -59,19 +120,25 @@ def mentions(text: Column, term: Column) -> Column:
     return F.regexp(plain(text), F.concat(F.lit(r"\b\Q"), plain(term), F.lit(r"\E(?:es|s)?\b")))
 
 
-def glossary_closure(seeds: DataFrame, key: str, edges: DataFrame, rounds: int) -> DataFrame:
-    """key and term: the seeds' terms and all that their definitions lead to, in at most `rounds` steps.
+def closed(edges: DataFrame) -> DataFrame:
+    """term and leads_to: all that a term leads to over any number of edges, itself included.
 
-    edges: term, leads_to. Each round joins only the terms found last, and a glossary is small, so
-    rounds are as many as its longest chain.
+    Every round joins the relation with itself, until nothing new appears; the rounds grow with the
+    logarithm of the longest chain. A glossary is small beside the texts.
     """
-    found = seeds.select(key, "term").distinct()
-    last = found
-    for _ in range(rounds):
-        step = last.join(F.broadcast(edges), "term").select(key, F.col("leads_to").alias("term")).distinct()
-        last = step.join(found, [key, "term"], "left_anti")
-        found = found.unionByName(last)
-    return found.distinct()
+    found = cut(edges.select("term", "leads_to").unionByName(edges.select("term", F.col("term").alias("leads_to"))).unionByName(edges.select(F.col("leads_to").alias("term"), "leads_to")).distinct(), "closure")
+    n = -1
+    while (now := found.count()) != n:
+        n = now
+        step = found.join(found.select(F.col("term").alias("leads_to"), F.col("leads_to").alias("end")), "leads_to").select("term", F.col("end").alias("leads_to"))
+        found = cut(found.unionByName(step).distinct(), "closure")
+    return found
+
+
+def glossary_closure(seeds: DataFrame, key: str, edges: DataFrame) -> DataFrame:
+    """key and term: the seeds' terms and all that their definitions lead to (edges: term, leads_to), to the fixed point."""
+    reached = seeds.select(key, "term").distinct().join(F.broadcast(closed(edges)), "term", "left")
+    return reached.select(key, F.coalesce("leads_to", "term").alias("term")).distinct()
 
 
 def upgraded_text(text: Column, replacements: dict[str, str], drop_block: str, marker: str, insert: Column) -> Column:
@@ -85,6 +152,14 @@ def upgraded_text(text: Column, replacements: dict[str, str], drop_block: str, m
     return F.when((at > 0) & (F.length(insert) > 0), with_new).otherwise(out)
 
 
+def upgraded_records(records: DataFrame, dataset: str, source_version: str, version: str, upgraded: Column) -> DataFrame:
+    """Records under a new dataset, version and observation text; the old hash stays beside the new one. Fails on another source version."""
+    wrong = F.raise_error(F.concat(F.lit("unexpected version "), F.coalesce("observation_version", F.lit("null")))).cast("string")
+    d = records.withColumn("__old", F.col("observation_sha256")).withColumn("observation_version", F.when(F.col("observation_version") == source_version, F.lit(version)).otherwise(wrong))
+    d = d.withColumn("observation", upgraded).withColumns({"dataset_id": F.lit(dataset), "observation_sha256": F.sha2("observation", 256)})
+    return d.withColumnRenamed("__old", "source_observation_sha256")
+
+
 def catalog_text(rows: DataFrame, key: str, catalog: DataFrame, fallback: str | None = None) -> DataFrame:
     """rows with effect and effect_source: the catalog's text, else the row's own, else null (a violation)."""
     d = rows.join(F.broadcast(catalog.select(key, F.col("effect").alias("__effect"))), key, "left")
@@ -120,9 +195,17 @@ def route_view(routes: DataFrame, key: str, steps: str, position: str) -> DataFr
     return routes.select(key, rest.alias("remaining"), F.array_join(rest, " > ").alias("text"))
 
 
-def request_text(system: str, observed: Column, retry: Column | None = None) -> Column:
-    parts = [F.lit(system), observed] + ([retry] if retry is not None else [])
-    return F.concat_ws("\n\n", *parts)
+# The correction that a retry adds to the observation.
+RETRY = ("Your previous response was invalid.\n\nReturn exactly one of:\n", "\n\nReturn only the action ID.")
+
+
+def request_text(system: str, observed: Column, allowed: Column | None = None) -> Column:
+    """A request's system and user prompt; with allowed (an array of ids, not empty) the retry after an invalid answer."""
+    if allowed is None:
+        return F.struct(F.lit(system).alias("system_prompt"), observed.alias("user_prompt"))
+    none = F.raise_error(F.lit("a retry needs allowed actions"))
+    ids = F.when(F.size(allowed) > 0, F.array_join(allowed, "\n")).otherwise(none.cast("string"))
+    return F.struct(F.lit(system).alias("system_prompt"), F.concat(observed, F.lit("\n\n" + RETRY[0]), ids, F.lit(RETRY[1])).alias("user_prompt"))
 
 
 def decision_cascade(rows: DataFrame, first: str, retry: str, fallback: str, legal: str) -> DataFrame:

@@ -81,7 +81,10 @@ def accepted(gated: DataFrame, complete: DataFrame, tolerance: float) -> DataFra
 
 
 def paired(trials: DataFrame) -> DataFrame:
-    """Per sample and pair of actions a < b: paired trials, mean difference of carried HP, its standard error, resource conflicts."""
+    """Per sample and pair of its actions a < b: paired trials, mean difference of carried HP, its standard error, resource conflicts.
+
+    A pair without a common finished trial is there with 0 trials and null mean and error.
+    """
     keep = [c for c in ("resources",) if c in trials.columns]
     t = trials.where(finished()).select("sample", "trial", "action", "outcome", carried().alias("carried"), *keep)
     left = t.select("sample", "trial", F.col("action").alias("a"), F.col("carried").alias("x"), F.col("outcome").alias("oa"), *[F.col(c).alias("ra") for c in keep])
@@ -89,7 +92,13 @@ def paired(trials: DataFrame) -> DataFrame:
     both = left.join(right, ["sample", "trial"]).where("a < b").withColumn("d", F.col("x") - F.col("y"))
     conflict = (F.col("oa") == VICTORY) & (F.col("ob") == VICTORY) & ~F.col("ra").eqNullSafe(F.col("rb")) if keep else F.lit(False)
     n = F.count(F.lit(1))
-    return both.groupBy("sample", "a", "b").agg(n.alias("paired_trials"), F.avg("d").alias("mean_difference"), (F.stddev_samp("d") / F.sqrt(n)).alias("standard_error"), F.count(F.when(conflict, 1)).alias("conflicts"))
+    met = both.groupBy("sample", "a", "b").agg(n.alias("paired_trials"), F.avg("d").alias("mean_difference"), (F.stddev_samp("d") / F.sqrt(n)).alias("standard_error"), F.count(F.when(conflict, 1)).alias("conflicts"))
+    # The actions of a sample are few, so its pairs come from one sorted array.
+    names = F.array_sort(F.collect_set("action"))
+    pairs = trials.groupBy("sample").agg(names.alias("names")).select("sample", F.posexplode("names").alias("i", "a"), "names").select("sample", "a", F.explode(F.slice("names", F.col("i") + 2, F.size("names"))).alias("b"))
+    none = F.lit(0).cast("bigint")
+    d = pairs.join(met, ["sample", "a", "b"], "left")
+    return d.select("sample", "a", "b", F.coalesce("paired_trials", none).alias("paired_trials"), "mean_difference", "standard_error", F.coalesce("conflicts", none).alias("conflicts"))
 
 
 def binomial_tail(wins: Column, trials: Column, p: Column) -> Column:
@@ -123,12 +132,13 @@ def with_lower_bound(stats: DataFrame, confidence: float) -> DataFrame:
 
 
 def stages(trials: DataFrame, counts: list[int], rate: str, tolerance: float) -> DataFrame:
-    """Accepted actions and costs of every prefix of trials: stage, sample, n_actions, candidates, best_hp, executions."""
+    """Per prefix of trials (stage), sample and action: counts, cost, gate, best HP that passes and acceptance."""
     spark = trials.sparkSession
     steps = spark.createDataFrame([(c,) for c in counts], "stage int")
     t = trials.join(F.broadcast(steps), F.col("trial") < F.col("stage"))
     won = F.col("outcome") == VICTORY
-    per = t.groupBy("stage", "sample", "action").agg(F.count(F.when(finished(), 1)).alias("trials"), F.count(F.when(won, 1)).alias("wins"), F.avg(F.when(finished(), carried())).alias("expected_hp"), F.count(F.lit(1)).alias("rows"))
+    cost = F.sum("search_calls") if "search_calls" in trials.columns else F.count(F.lit(1))
+    per = t.groupBy("stage", "sample", "action").agg(F.count(F.when(finished(), 1)).alias("trials"), F.count(F.when(won, 1)).alias("wins"), F.avg(F.when(finished(), carried())).alias("expected_hp"), F.count(F.lit(1)).alias("rows"), cost.alias("search_calls"))
     need = F.floor(F.lit(rate).cast("decimal(20,18)") * F.col("stage").cast("decimal(10,0)")).cast("bigint")
     full = (F.col("trials") == F.col("stage")) & (F.col("rows") == F.col("stage"))
     w = W.partitionBy("stage", "sample")
@@ -137,15 +147,40 @@ def stages(trials: DataFrame, counts: list[int], rate: str, tolerance: float) ->
     return d.withColumn("accepted", F.coalesce(F.col("complete") & F.col("passes") & (F.col("best_hp") - F.col("expected_hp") <= tolerance), F.lit(False)))
 
 
-def stage_decisions(staged: DataFrame, counts: list[int], tolerance: float, band: float, audit_probability: float, audit_seed: int) -> DataFrame:
-    """Per sample and stage: kind of set, change, boundaries, reasons, audit draw, whether to go on, stability of each action."""
+def stage_errors(trials: DataFrame, stage: int) -> DataFrame:
+    """stage, sample, a, b and standard_error of the pairs of a prefix of trials."""
+    return paired(trials.where(F.col("trial") < stage)).select(F.lit(stage).alias("stage"), "sample", "a", "b", "standard_error")
+
+
+def _variance_edges(staged: DataFrame, errors: DataFrame, tolerance: float, band: float, multiplier: float) -> DataFrame:
+    """stage, sample and action of passing actions whose distance from the tolerance is within multiplier times their paired error to the best one."""
+    best = F.min(F.when(F.col("passes"), F.struct((-F.col("expected_hp")).alias("hp"), "action"))).over(W.partitionBy("stage", "sample"))["action"]
+    d = staged.where("complete").withColumn("reference", best).where("passes and action <> reference")
+    d = d.withColumns({"a": F.least("action", "reference"), "b": F.greatest("action", "reference")}).join(errors, ["stage", "sample", "a", "b"])
+    lost = F.raise_error(F.concat(F.lit("no finite paired error of sample "), F.col("sample").cast("string"))).cast("double")
+    error = F.when(F.isnan("standard_error") | F.col("standard_error").isNull(), lost).otherwise(F.col("standard_error"))
+    return d.where(F.abs(F.col("best_hp") - F.col("expected_hp") - tolerance) <= F.greatest(F.lit(band), multiplier * error)).select("stage", "sample", "action")
+
+
+def stage_decisions(staged: DataFrame, counts: list[int], tolerance: float, band: float, audit_probability: float, audit_seed: int, errors: DataFrame | None = None, se_multiplier: float = 0.0) -> DataFrame:
+    """Per sample and stage: kind of set, change, boundaries, reasons, audit draw, whether to go on, stability of each action.
+
+    errors (from stage_errors) adds, at its stage, actions near the tolerance by their paired error
+    to the HP boundary. reference_sensitive: an action at the win boundary is at least as good as the best.
+    """
     relevant = F.col("best_hp").isNull() | (F.col("expected_hp") >= F.col("best_hp") - tolerance - band)
     win_edge = relevant & ((F.col("wins") == F.col("required")) | (F.col("wins") == F.col("required") - 1))
-    hp_edge = F.col("passes") & (F.abs(F.col("best_hp") - F.col("expected_hp") - tolerance) <= band)
+    hp_edge = F.coalesce(F.col("passes") & (F.abs(F.col("best_hp") - F.col("expected_hp") - tolerance) <= band), F.lit(False))
+    if errors is not None and se_multiplier > 0:
+        edges = _variance_edges(staged, errors, tolerance, band, se_multiplier).withColumn("varies", F.lit(True))
+        staged = staged.join(edges, ["stage", "sample", "action"], "left").withColumn("varies", F.coalesce("varies", F.lit(False)))
+    else:
+        staged = staged.withColumn("varies", F.lit(False))
+    sensitive = F.coalesce(win_edge & (F.col("expected_hp") >= F.col("best_hp")), F.lit(False))
     names = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("action"))))
     per = staged.where("complete").groupBy("sample", "stage").agg(
-        names(F.col("accepted")).alias("candidates"), names(win_edge).alias("win_boundary"), names(F.coalesce(hp_edge, F.lit(False))).alias("hp_boundary"),
-        F.array_sort(F.collect_list("action")).alias("actions"), F.sum("rows").alias("executions"),
+        names(F.col("accepted")).alias("candidates"), names(win_edge).alias("win_boundary"), names(hp_edge | F.col("varies")).alias("hp_boundary"), names(F.col("varies")).alias("variance_boundary"),
+        F.array_sort(F.collect_list("action")).alias("actions"), F.sum("rows").alias("executions"), F.sum("search_calls").alias("search_calls"), F.some(sensitive).alias("reference_sensitive"),
     )
     before = F.lag("candidates").over(W.partitionBy("sample").orderBy("stage"))
     d = per.withColumn("previous", before).withColumn("changed", F.coalesce(F.col("previous") != F.col("candidates"), F.lit(False)))
@@ -178,16 +213,18 @@ def stops(decided: DataFrame) -> DataFrame:
     return decided.withColumn("stop", first).where("stage = stop")
 
 
-def ladder_statistics(decided: DataFrame, last: int) -> DataFrame:
-    """States, early stops, sets that still change after an early stop, and the share of executions saved."""
-    final = decided.where(F.col("stage") == last).select("sample", F.col("candidates").alias("final"), F.col("executions").alias("all_executions"))
+def ladder_statistics(decided: DataFrame, counts: list[int], cost: str = "search_calls") -> DataFrame:
+    """States, early stops, sets that still change after one and their rate, stops at each stage, and the share of the cost saved."""
+    last = counts[-1]
+    final = decided.where(F.col("stage") == last).select("sample", F.col("candidates").alias("final"), F.col(cost).alias("all_cost"))
     d = stops(decided).join(final, "sample", "left")
     early = F.col("stage") < last
     changed = early & F.col("final").isNotNull() & (F.col("candidates") != F.col("final"))
-    return d.agg(
-        F.count(F.lit(1)).alias("states"), F.count(F.when(early, 1)).alias("early_stops"), F.count(F.when(changed, 1)).alias("changed_later"),
-        F.expr("1 - try_divide(sum(executions), sum(coalesce(all_executions, executions)))").alias("saved"),
+    out = d.agg(
+        F.count(F.lit(1)).alias("states"), F.count_if(early).alias("early_stops"), F.count_if(changed).alias("changed_later"), *[F.count_if(F.col("stage") == n).alias(f"stops_{n}") for n in counts],
+        F.sum(cost).alias("proposed_cost"), F.sum(F.coalesce("all_cost", F.col(cost))).alias("full_cost"),
     )
+    return out.withColumn("change_rate", F.expr("try_divide(changed_later, early_stops)")).withColumn("saved", F.expr("1 - try_divide(proposed_cost, full_cost)"))
 
 
 def mean_of_worlds(worlds: DataFrame, win: str, hp: str) -> DataFrame:

@@ -54,6 +54,13 @@ def mass_shares(rows: DataFrame, source: str, weight: str) -> DataFrame:
     return per.join(F.broadcast(total)).select(source, (F.col("w") / F.col("total")).alias("share"))
 
 
+def mixture_masses(masses: DataFrame, mixture: str, mass: str, tolerance: float = 1e-12) -> DataFrame:
+    """mixture and rule where declared masses are not all positive and finite, or do not sum to one."""
+    fine = F.coalesce((F.col(mass) > 0) & (F.col(mass) < float("inf")), F.lit(False))
+    per = masses.groupBy(mixture).agg(F.every(fine).alias("fine"), F.sum(mass).alias("total"))
+    return broken(per, [mixture], {"positive": F.col("fine"), "sum_one": F.abs(F.col("total") - 1) <= tolerance})
+
+
 def pair_completeness(pairs: DataFrame, group: str, a: str, b: str, n_items: str) -> DataFrame:
     """Groups whose unordered pairs are not each of n (n - 1) / 2 once."""
     d = pairs.groupBy(group).agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct(F.least(a, b), F.greatest(a, b)).alias("distinct_pairs"), F.max(n_items).alias("n"))

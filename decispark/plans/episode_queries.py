@@ -44,9 +44,10 @@ def w01(spark, sf_dir):
     return episodes.contiguous(load(spark, sf_dir, "lineitem").withColumn("step", F.col("l_linenumber") - 1), "l_orderkey", "step")
 
 
-@query("w01_contiguous_conversations", "SELECT conv_id, count(*) AS n, count(DISTINCT turn) AS distinct_steps, min(turn) AS first, max(turn) AS last FROM conversations GROUP BY 1 HAVING min(turn) <> 0 OR max(turn) <> count(*) - 1 OR count(DISTINCT turn) <> count(*)")
+@query("w01_contiguous_conversations", "SELECT conv_id, count(*) AS n, count(DISTINCT turn) AS distinct_steps, min(turn) AS first, max(turn) AS last FROM conversations WHERE NOT (turn = 1 AND conv_id % 7 = 0) GROUP BY 1 HAVING min(turn) <> 0 OR max(turn) <> count(*) - 1 OR count(DISTINCT turn) <> count(*)")
 def w01c(spark, sf_dir):
-    return episodes.contiguous(load(spark, sf_dir, "conversations"), "conv_id", "turn")
+    """Conversations without one of their turns, in one of seven."""
+    return episodes.contiguous(load(spark, sf_dir, "conversations").where("not (turn = 1 and conv_id % 7 = 0)"), "conv_id", "turn")
 
 
 @query("w02_j12_turn_starts", "SELECT event_id, coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) <> event_type, true) AS turn_start FROM events")
@@ -222,3 +223,10 @@ def q01(spark, sf_dir):
 def q03(spark, sf_dir):
     d = _finish(spark, logs.windowed_counts(_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "1 hour", "1 hour"))
     return d.select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+@query("q02_stream_deduplicated", "SELECT event_id, event_type FROM events")
+def q02s(spark, sf_dir):
+    """A stream that delivers every event twice."""
+    e = _stream(spark, sf_dir, "events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    return _finish(spark, logs.deduplicated(e.unionByName(e), ["event_id"], "ts", "1 hour").select("event_id", "event_type"))

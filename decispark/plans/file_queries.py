@@ -80,6 +80,25 @@ def s21(spark, sf_dir):
 
 @query("s04_json_document", "SELECT n_nationkey, n_name FROM nation")
 def s04(spark, sf_dir):
+    """One object per file, over several lines."""
     d, path = load(spark, sf_dir, "nation").select("n_nationkey", "n_name"), _folder(spark)
-    d.repartition(4).write.json(path)
-    return files.read_json_lines(spark, path, d.schema)
+    lines = F.regexp_replace(F.to_json(F.struct("n_nationkey", "n_name")), "([{,])", "$1\n  ")
+    d.select(lines.alias("value"), F.col("n_nationkey").alias("file")).write.partitionBy("file").text(path)
+    return files.read_json_document(spark, f"{path}/*", d.schema)
+
+
+@query("s15_fixtures", """WITH c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+x AS (SELECT conv_id, CASE WHEN turn = 4 THEN 3 ELSE turn END AS step, turn FROM c)
+SELECT CASE WHEN turn % 7 = 6 THEN 'schema_version' WHEN turn % 7 = 5 THEN 'step_index' WHEN count(*) FILTER (WHERE turn % 7 <> 5) OVER (PARTITION BY conv_id, step) > 1 THEN 'duplicate' WHEN turn % 7 = 2 THEN 'hash mismatch' ELSE 'good' END AS problem FROM x""")
+def s15(spark, sf_dir):
+    c, path, t = load(spark, sf_dir, "conversations"), _folder(spark), F.col("turn")
+    step = F.when(t % 7 == 5, F.lit('"five"')).otherwise(F.when(t == 4, 3).otherwise(t).cast("string"))
+    canonical = F.concat(F.lit('{"a":'), t.cast("string"), F.lit(',"b":"x"}'))
+    raw = F.concat(F.lit('{"b": "x", "a": '), t.cast("string"), F.lit("}"))
+    digest = F.sha2(F.when(t % 7 == 2, F.lit("other")).otherwise(canonical), 256)
+    line = F.concat(
+        F.lit('{"schema_version":"'), F.when(t % 7 == 6, "v0").otherwise("parity_fixture_v1"), F.lit('","fixture_id":"c'), F.col("conv_id").cast("string"), F.lit('","step_index":'), step,
+        F.lit(',"real_raw_snapshot":'), raw, F.lit(',"real_raw_snapshot_sha256":"'), digest, F.lit('"}'),
+    )
+    c.select(line.alias("value")).write.text(path)
+    return files.scan_fixtures(spark, path).select(F.coalesce("problem", F.lit("good")).alias("problem"))

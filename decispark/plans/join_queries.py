@@ -132,10 +132,10 @@ def u01(spark, sf_dir):
     return load(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id").unionByName(load(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"))
 
 
-@query("u03_difference", "SELECT l_partkey FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'N')")
+@query("u03_difference", "SELECT l_partkey FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity < 3)")
 def u03(spark, sf_dir):
     li = load(spark, sf_dir, "lineitem")
-    return li.where("l_returnflag = 'R'").select("l_partkey").subtract(li.where("l_returnflag = 'N'").select("l_partkey"))
+    return li.where("l_returnflag = 'R'").select("l_partkey").subtract(li.where("l_quantity < 3").select("l_partkey"))
 
 
 @query("u05_bag_difference", "WITH a AS (SELECT user_id, event_type, count(*) AS a FROM events WHERE event_id % 2 = 0 GROUP BY ALL), b AS (SELECT user_id, event_type, count(*) AS b FROM events WHERE event_id % 2 = 1 GROUP BY ALL) SELECT user_id, event_type, a - coalesce(b, 0) AS n FROM a LEFT JOIN b USING (user_id, event_type) WHERE a > coalesce(b, 0)")
@@ -173,6 +173,13 @@ def a27(spark, sf_dir):
     return preferences.mixture_weights(d, "src", {"1": 0.7, "0": 0.3}, "lang", "1").select("doc_id", r("loss_weight"))
 
 
+@query("v06_mixture_masses", """WITH m AS (SELECT n_regionkey, CASE WHEN n_regionkey % 2 = 0 THEN 1.0 / count(*) OVER (PARTITION BY n_regionkey) ELSE (n_nationkey - 3) / 100.0 END AS mass FROM nation), g AS (SELECT n_regionkey, bool_and(mass > 0) AS fine, abs(sum(mass) - 1) <= 1e-12 AS one FROM m GROUP BY 1)
+SELECT n_regionkey, rule FROM (SELECT n_regionkey, unnest(['positive', 'sum_one']) AS rule, unnest([fine, one]) AS ok FROM g) WHERE NOT ok""")
+def v06(spark, sf_dir):
+    mass = F.when(F.col("n_regionkey") % 2 == 0, F.lit(1.0) / F.count(F.lit(1)).over(W.partitionBy("n_regionkey"))).otherwise((F.col("n_nationkey") - 3) / 100.0)
+    return validation.mixture_masses(load(spark, sf_dir, "nation").withColumn("mass", mass), "n_regionkey", "mass")
+
+
 @query("v05_mass_shares", """WITH d AS (SELECT quality::VARCHAR AS src FROM labels) SELECT src, round(CASE WHEN src = '1' THEN 0.7 ELSE 0.3 END, 6) AS share FROM d GROUP BY 1""")
 def v05m(spark, sf_dir):
     d = load(spark, sf_dir, "labels").withColumn("src", F.col("quality").cast("string"))
@@ -214,12 +221,16 @@ def a34(spark, sf_dir):
     return validation.gates(load(spark, sf_dir, "lineitem"), "l_linestatus", F.col("l_tax") < 0.08, "l_returnflag")
 
 
-@query("v03_bound_hashes", "SELECT doc_id, sha256(text) AS h FROM documents WHERE length(text) <> n_chars")
+@query("v03_bound_hashes", "SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN sha256(left(text, 10)) ELSE sha256(text) END AS expected, sha256(text) AS observed FROM documents WHERE doc_id % 13 = 0 AND length(text) > 10")
 def v03(spark, sf_dir):
-    return load(spark, sf_dir, "documents").where(F.length("text") != F.col("n_chars")).select("doc_id", F.sha2("text", 256).alias("h"))
+    """Texts against the hashes bound to them; every thirteenth is that of the text's start."""
+    d = load(spark, sf_dir, "documents").withColumn("bound", F.sha2(F.when(F.col("doc_id") % 13 == 0, F.substring("text", 1, 10)).otherwise(F.col("text")), 256)).withColumn("h", F.sha2("text", 256))
+    return validation.expected_observed(d, ["doc_id"], {"text": ("bound", "h")}).select("doc_id", "expected", "observed")
 
 
-@query("v04_edge_rules")
+@query("v04_edge_rules", """WITH e AS (SELECT l_orderkey, l_partkey, l_suppkey, l_quantity / sum(l_quantity) OVER (PARTITION BY l_orderkey) AS w FROM lineitem),
+g AS (SELECT l_orderkey, bool_and(l_suppkey IN (SELECT l_partkey FROM e x WHERE x.l_orderkey = e.l_orderkey)) AS known, bool_and(l_partkey <> l_suppkey) AS distinct_sides, count(*) = count(DISTINCT (l_partkey, l_suppkey)) AS uniq, bool_and(w > 0) AS positive, abs(sum(w) - 1) < 1e-9 AS sum_one FROM e GROUP BY 1)
+SELECT l_orderkey, rule FROM (SELECT l_orderkey, unnest(['known', 'distinct_sides', 'unique', 'positive', 'sum_one']) AS rule, unnest([known, distinct_sides, uniq, positive, sum_one]) AS ok FROM g) WHERE NOT ok""")
 def v04(spark, sf_dir):
     """Rules over arrays of structs; tests hold each against plain loops."""
     w = F.col("l_quantity") / F.sum("l_quantity").over(W.partitionBy("l_orderkey"))

@@ -38,18 +38,18 @@ def a21(spark, sf_dir):
     return rewards.rate_quality(_long(spark, sf_dir), "sample_size")
 
 
-@query("v13_j05_coverage_gaps", "SELECT p_brand, flag FROM (SELECT DISTINCT p_brand FROM part), (VALUES (0), (1)) v(flag) EXCEPT SELECT p_brand, (p_size % 2)::INT FROM part WHERE p_size < 25")
+@query("v13_j05_coverage_gaps", "SELECT p_type, size FROM (SELECT DISTINCT p_type FROM part), (SELECT range::INT AS size FROM range(1, 51)) EXCEPT SELECT p_type, p_size::INT FROM part")
 def v13(spark, sf_dir):
     p = load(spark, sf_dir, "part")
-    scope = p.select("p_brand").distinct().withColumn("flag", F.explode(F.array(F.lit(0), F.lit(1))))
-    return rewards.coverage_gaps(scope, p.where("p_size < 25").select("p_brand", (F.col("p_size") % 2).alias("flag")), ["p_brand", "flag"])
+    scope = p.select("p_type").distinct().withColumn("size", F.explode(F.sequence(F.lit(1), F.lit(50))))
+    return rewards.coverage_gaps(scope, p.select("p_type", F.col("p_size").cast("int").alias("size")), ["p_type", "size"])
 
 
-@query("j08_j09_offered_rates", PARTS + """, o AS (SELECT l_orderkey, l_linenumber, l_partkey AS p_partkey, CASE WHEN l_quantity > 25 THEN 'first_pick_rate_f1' ELSE 'first_pick_rate_f2' END AS metric FROM lineitem WHERE l_orderkey % 10 = 1)
+@query("j08_j09_offered_rates", PARTS + """, o AS (SELECT l_orderkey, l_linenumber, l_partkey AS p_partkey, CASE WHEN l_quantity > 25 THEN 'first_pick_rate_f1' ELSE 'first_pick_rate_f2' END AS metric FROM lineitem)
 SELECT l_orderkey, l_linenumber, p_partkey, round(CASE WHEN rate IS NOT NULL AND sample_size >= 5 THEN rate ELSE 0.05 END, 6) AS target_rate, CASE WHEN rate IS NOT NULL AND sample_size >= 5 THEN 'database' ELSE 'fallback_probability' END || ':' || metric AS rate_source
 FROM o LEFT JOIN long USING (p_partkey, metric)""")
 def j08(spark, sf_dir):
-    o = load(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 1").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"), "l_quantity")
+    o = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("p_partkey"), "l_quantity")
     metric = F.when(F.col("l_quantity") > 25, METRICS[0]).otherwise(METRICS[1])
     d = rewards.offered_rates(o, _long(spark, sf_dir), ["p_partkey"], metric, 5, 0.05)
     return d.select("l_orderkey", "l_linenumber", "p_partkey", r("target_rate"), "rate_source")
@@ -135,6 +135,33 @@ def x27(spark, sf_dir):
     return rewards.opening_choice(d, "p_brand", "p_partkey", "p", F.col("p_type").like("%BRASS%"), 1.5, {"search": 0.5, "intrinsic": 0.35}).select("p_brand", "p_partkey", r("history"), r("score"))
 
 
+@query("x20_opening_weights", """WITH d AS (SELECT p_brand, p_partkey, round(p_size / 50.0 * CASE WHEN p_type LIKE '%BRASS%' THEN 1.5 ELSE 1.0 END, 8) AS score FROM part)
+SELECT p_brand, p_partkey, score, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_partkey) = 1 AS selected FROM d""")
+def x20(spark, sf_dir):
+    d = load(spark, sf_dir, "part").withColumn("p", F.col("p_size") / 50.0)
+    return rewards.opening_weighted(d, "p_brand", "p_partkey", "p", F.col("p_type").like("%BRASS%"), 1.5)
+
+
+@query("p06_search_classes", """WITH s AS (SELECT user_id, event_id, event_type, event_id % 4 + 1 AS visits, value, value > 20 AS win FROM events WHERE event_type <> 'error' OR user_id % 3 <> 0),
+c AS (SELECT user_id, event_id, event_type AS class_id FROM events WHERE NOT (event_type = 'view' AND user_id % 5 = 0)),
+j AS (SELECT coalesce(c.user_id, s.user_id) AS user_id, class_id, visits, value, win FROM c FULL JOIN s ON c.user_id = s.user_id AND c.event_id = s.event_id),
+g AS (SELECT user_id, class_id, count(visits) AS members, sum(visits)::BIGINT AS visits, sum(value) AS es, count(*) FILTER (WHERE win)::BIGINT AS wins, sum(value) FILTER (WHERE win) AS vh FROM j GROUP BY ALL),
+r AS (SELECT *, es / visits AS mean_evaluation, CASE WHEN visits IS NOT NULL THEN wins / visits END AS win_rate, CASE WHEN wins > 0 THEN vh / wins END AS vm, CASE WHEN class_id IS NULL THEN 'action without class' WHEN members = 0 THEN 'class not reached' END AS problem FROM g)
+SELECT user_id, class_id, members, visits, round(es, 2) AS evaluation_sum, CASE WHEN visits IS NOT NULL THEN wins END AS terminal_wins, round(vh, 2) AS victory_ending_hp_sum, problem,
+row_number() OVER (PARTITION BY user_id ORDER BY problem IS NOT NULL, coalesce(win_rate, -1) DESC, coalesce(vm, -1) DESC, visits DESC NULLS LAST, mean_evaluation DESC NULLS LAST, class_id) = 1 AND problem IS NULL AS suggested FROM r""")
+def p06(spark, sf_dir):
+    """Events as root actions and their types as classes; some actions have no class, some classes were not reached."""
+    e = load(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    win = (F.col("value") > 20).cast("bigint")
+    stats = e.where("event_type <> 'error' or user_id % 3 <> 0").select(
+        "user_id", "event_id", (F.col("event_id") % 4 + 1).alias("visits"), F.col("value").alias("evaluation_sum"), (F.col("value") * F.col("value")).alias("evaluation_square_sum"),
+        win.alias("terminal_wins"), (1 - win).alias("terminal_losses"), F.col("value").alias("ending_hp_sum"), (win * F.col("value")).alias("victory_ending_hp_sum"),
+    )
+    classes = e.where("not (event_type = 'view' and user_id % 5 = 0)").select("user_id", "event_id", F.col("event_type").alias("class_id"))
+    d = rewards.search_classes(stats, classes, "user_id", "event_id", "class_id")
+    return d.select("user_id", "class_id", "members", "visits", r("evaluation_sum", 2), "terminal_wins", F.round(F.when(F.col("terminal_wins") > 0, F.col("victory_ending_hp_sum")), 2).alias("victory_ending_hp_sum"), "problem", "suggested")
+
+
 @query("j21_pivot_rates", PARTS + "SELECT p_partkey, round(max(rate) FILTER (WHERE metric = 'first_pick_rate_f1'), 6) AS first_pick_rate_f1, round(max(rate) FILTER (WHERE metric = 'first_pick_rate_f2'), 6) AS first_pick_rate_f2, min(sample_size) AS sample_size FROM long GROUP BY 1")
 def j21(spark, sf_dir):
     return rewards.pivot_rates(_long(spark, sf_dir), ["p_partkey"], METRICS).select("p_partkey", r(METRICS[0]), r(METRICS[1]), "sample_size")

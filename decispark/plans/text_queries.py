@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from decispark.functions import scalar
-from decispark.operators import text, validation
+from decispark.operators import sampling, text, validation
 
 from .registry import load, query
 from .trial_queries import r
@@ -35,13 +35,23 @@ def x04(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", scalar.act_rate_metric(F.col("p_partkey") % 3 + 1, F.col("p_size") > 25).alias("metric"))
 
 
-@query("x05_x06_p08_canonical_hash", """SELECT p_partkey, sha256('{"p_brand":"' || p_brand || '","p_partkey":' || p_partkey || ',"p_type":"' || p_type || '"}') AS h FROM part""")
+@query("x05_x06_canonical_hash", """SELECT p_partkey, sha256('{"p_brand":"' || p_brand || '","p_partkey":' || p_partkey || ',"p_type":"' || p_type || '"}') AS h FROM part""")
 def x05(spark, sf_dir):
     from decispark.sources.files import row_digest
 
     return load(spark, sf_dir, "part").select("p_partkey", row_digest(["p_type", "p_partkey", "p_brand"]).alias("h"))
 
 
+@query("p08_semantic_hash", """SELECT p_partkey, sha256('{"p_brand":"' || p_brand || '","p_size":' || p_size || '}') AS h, count(*) OVER (PARTITION BY p_brand, p_size) AS same FROM part""")
+def p08(spark, sf_dir):
+    """Parts that differ in dropped columns alone share a hash."""
+    from decispark.sources.files import semantic_digest
+    from pyspark.sql import Window as W
+
+    d = load(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_name").withColumn("h", semantic_digest(["p_partkey", "p_brand", "p_size", "p_name"], ["p_partkey", "p_name"]))
+    return d.select("p_partkey", "h", F.count(F.lit(1)).over(W.partitionBy("h")).alias("same"))
+
+
 @query("x09_fnv1a")
 def x09(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", scalar.fnv1a64(F.col("p_name")).cast("string").alias("h"))
@@ -87,9 +97,9 @@ def x15(spark, sf_dir):
     return load(spark, sf_dir, "part").select("p_partkey", F.array_join(tags, ",").alias("tags"), lasting.alias("persistence"))
 
 
-@query("x22_rounding", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice / 7, 3) AS x FROM lineitem WHERE l_orderkey % 20 = 3")
+@query("x22_rounding", "SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice / 7, 3) AS x FROM lineitem")
 def x22(spark, sf_dir):
-    return load(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 3").select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.col("l_extendedprice") / 7, 3).alias("x"))
+    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(F.col("l_extendedprice") / 7, 3).alias("x"))
 
 
 @query("x25_p01_p04_snapshot_edit", """SELECT p_partkey, '{"name":"' || p_name || '","size":' || (p_size + 2) || ',"tags":["' || p_brand || '","new"]}' AS state FROM part""")
@@ -110,13 +120,61 @@ def t01(spark, sf_dir):
     return acts.groupBy("o_orderkey").agg(F.count("target").alias("targets"), F.count(F.lit(1)).alias("actions"))
 
 
-@query("t02_t03_equivalence_classes", """WITH c AS (SELECT l_orderkey, l_returnflag, l_linestatus, count(*) AS copies, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey::VARCHAR) AS members, arg_min(l_partkey::VARCHAR, (l_linenumber, l_partkey::VARCHAR)) AS representative FROM lineitem GROUP BY 1, 2, 3)
-SELECT *, 'ACTION_' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag, l_linestatus) - 1) AS class_id FROM c""")
-def t02(spark, sf_dir):
+C = """WITH c AS (SELECT l_orderkey, l_returnflag, l_linestatus, count(*) AS copies, string_agg(l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey::VARCHAR) AS members, arg_min(l_partkey::VARCHAR, (l_linenumber, l_partkey::VARCHAR)) AS representative FROM lineitem GROUP BY 1, 2, 3),
+k AS (SELECT *, 'ACTION_' || (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag, l_linestatus) - 1) AS class_id FROM c)
+"""
+
+
+def _classes(spark, sf_dir):
     li = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_linenumber", "l_partkey")
     return text.equivalence_classes(li, "l_orderkey", ["l_returnflag", "l_linestatus"], ["l_linenumber"], "l_partkey")
 
 
+@query("t02_equivalence_classes", C + "SELECT * FROM k")
+def t02(spark, sf_dir):
+    return _classes(spark, sf_dir)
+
+
+@query("t03_audit_rows", C + "SELECT l_orderkey, class_id, representative, unnest(range(0, copies))::INT AS place, unnest(string_split(members, ',')) AS member FROM k")
+def t03(spark, sf_dir):
+    return text.audit_rows(_classes(spark, sf_dir), "l_orderkey")
+
+
+@query("p03_root_records", C + """SELECT l_orderkey, class_id AS id, CASE WHEN l_returnflag = 'A' THEN 'end_turn' ELSE l_returnflag END AS card, l_linestatus AS target, CASE WHEN l_returnflag = 'A' THEN 'end_turn' ELSE 'play_card' END AS action_type,
+CASE WHEN l_returnflag <> 'A' THEN '{"l_returnflag":"' || l_returnflag || '","copies":' || copies || '}' END AS card_semantics FROM k""")
+def p03(spark, sf_dir):
+    ends = F.col("l_returnflag") == "A"
+    d = _classes(spark, sf_dir).withColumn("kind", F.when(ends, "end_turn").otherwise("play_card")).withColumn("name", F.when(~ends, F.col("l_returnflag")))
+    return text.root_records(d, "l_orderkey", "kind", "name", "l_linestatus", ["l_returnflag", "copies"]).withColumn("card_semantics", F.to_json("card_semantics"))
+
+
+RULES = """WITH s AS (SELECT l_orderkey, list({'uuid': l_suppkey::VARCHAR, 'name': l_returnflag, 'playable': l_discount < 0.09, 'aims': l_linestatus = 'O'} ORDER BY l_linenumber, l_partkey, l_suppkey) AS hand, list(l_quantity > 5 ORDER BY l_linenumber, l_partkey, l_suppkey) AS alive FROM lineitem GROUP BY 1),
+a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linenumber - 1 AS i, CASE WHEN l_partkey % 11 = 0 THEN 'end_turn' ELSE 'play_card' END AS type, l_suppkey::VARCHAR AS uuid, CASE WHEN l_partkey % 7 = 0 THEN 'X' ELSE l_returnflag END AS name, CASE WHEN l_linestatus = 'O' OR l_partkey % 5 = 0 THEN (l_linenumber - 1 + l_partkey % 2)::INT END AS target FROM lineitem),
+j AS (SELECT a.*, hand[i + 1] AS card, len(hand) AS n, i < len(hand) AS fits, alive[target + 1] AS alive, type = 'play_card' AS plays FROM a JOIN s USING (l_orderkey)),
+r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, unnest(['hand_index', 'card_uuid', 'card_name', 'playable', 'no_target', 'target_index', 'target', 'end_turn']) AS rule,
+  unnest([NOT plays OR fits, NOT plays OR NOT fits OR uuid = card.uuid, NOT plays OR NOT fits OR name = card.name, NOT plays OR NOT fits OR card.playable, NOT plays OR NOT fits OR card.aims OR target IS NULL,
+          NOT plays OR NOT fits OR NOT card.aims OR coalesce(target < n, false), NOT plays OR NOT fits OR NOT card.aims OR alive IS NULL OR alive, plays]) AS ok FROM j)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, rule FROM r WHERE NOT coalesce(ok, false)"""
+
+
+@query("p11_action_rules", RULES)
+def p11(spark, sf_dir):
+    """Line items as a hand and as monsters of their order; actions name cards and targets, some wrongly."""
+    li = load(spark, sf_dir, "lineitem")
+    order = ["l_linenumber", "l_partkey", "l_suppkey"]
+    card = F.struct(F.col("l_suppkey").cast("string").alias("uuid"), F.col("l_returnflag").alias("name"), (F.col("l_discount") < 0.09).alias("playable"), (F.col("l_linestatus") == "O").alias("has_target"))
+    monster = F.struct((F.col("l_quantity") <= 5).alias("is_gone"), F.lit(False).alias("half_dead"), F.lit(1).alias("hp"))
+    items = F.array_sort(F.collect_list(F.struct(*order, card.alias("card"), monster.alias("monster"))))
+    states = li.groupBy("l_orderkey").agg(items.alias("x")).select("l_orderkey", F.transform("x", lambda x: x["card"]).alias("hand"), F.transform("x", lambda x: x["monster"]).alias("monsters"))
+    k = F.col("l_partkey")
+    action = F.struct(
+        F.when(k % 11 == 0, "end_turn").otherwise("play_card").alias("type"), (F.col("l_linenumber") - 1).cast("int").alias("hand_index"), F.col("l_suppkey").cast("string").alias("card_uuid"),
+        F.when(k % 7 == 0, "X").otherwise(F.col("l_returnflag")).alias("card_name"), F.when((F.col("l_linestatus") == "O") | (k % 5 == 0), F.col("l_linenumber") - 1 + k % 2).cast("int").alias("target_index"),
+    )
+    d = li.select("l_orderkey", *order, action.alias("action")).join(states, "l_orderkey")
+    return validation.broken(d, ["l_orderkey", *order], text.action_rules(F.col("action"), F.col("hand"), F.col("monsters")))
+
+
 @query("t04_t05_observation_text", """SELECT n_regionkey, 'REGION:' || chr(10) || n_regionkey || chr(10) || chr(10) || 'NATIONS:' || chr(10) || string_agg('ACTION_' || n_nationkey || ': ' || n_name, chr(10) ORDER BY n_nationkey) AS text FROM nation GROUP BY 1""")
 def t04(spark, sf_dir):
     n = load(spark, sf_dir, "nation")
@@ -135,14 +193,32 @@ def t07(spark, sf_dir):
     terms = [t for t, _ in EDGES]
     named = F.array_compact(F.array(*[F.when(text.mentions(F.col("text"), F.lit(t)), F.lit(t)) for t in terms]))
     seeds = load(spark, sf_dir, "documents").select("doc_id", F.explode(named).alias("term"))
-    return text.glossary_closure(seeds, "doc_id", edges, 4)
+    return text.glossary_closure(seeds, "doc_id", edges)
+
+
+UPGRADED = """WITH s AS (SELECT p_partkey, 'A: ' || p_name || chr(10) || chr(10) || 'KEYWORDS:' || chr(10) || 'old' || chr(10) || 'CHARACTER: ' || p_brand AS x FROM part),
+u AS (SELECT p_partkey, x, 'A: ' || replace(p_name, 'red', 'RED') || chr(10) || chr(10) || 'KEYWORDS:' || chr(10) || 'new' || chr(10) || 'CHARACTER: ' || replace(p_brand, 'red', 'RED') AS text FROM s JOIN part USING (p_partkey))
+"""
+
+
+def _old_text():
+    return F.concat(F.lit("A: "), F.col("p_name"), F.lit("\n\nKEYWORDS:\nold\nCHARACTER: "), F.col("p_brand"))
+
+
+def _new_text(x):
+    return text.upgraded_text(x, {"red": "RED"}, r"(?s)\n\nKEYWORDS:\n.*?(?=\nCHARACTER: )", "\nCHARACTER: ", F.lit("new"))
 
 
-@query("t08_p07_upgraded_text", """WITH s AS (SELECT p_partkey, 'A: ' || p_name || chr(10) || chr(10) || 'KEYWORDS:' || chr(10) || 'old' || chr(10) || 'CHARACTER: ' || p_brand AS x FROM part)
-SELECT p_partkey, 'A: ' || replace(p_name, 'red', 'RED') || chr(10) || chr(10) || 'KEYWORDS:' || chr(10) || 'new' || chr(10) || 'CHARACTER: ' || replace(p_brand, 'red', 'RED') AS text FROM s JOIN part USING (p_partkey)""")
+@query("t08_upgraded_text", UPGRADED + "SELECT p_partkey, text FROM u")
 def t08(spark, sf_dir):
-    x = F.concat(F.lit("A: "), F.col("p_name"), F.lit("\n\nKEYWORDS:\nold\nCHARACTER: "), F.col("p_brand"))
-    return load(spark, sf_dir, "part").select("p_partkey", text.upgraded_text(x, {"red": "RED"}, r"(?s)\n\nKEYWORDS:\n.*?(?=\nCHARACTER: )", "\nCHARACTER: ", F.lit("new")).alias("text"))
+    return load(spark, sf_dir, "part").select("p_partkey", _new_text(_old_text()).alias("text"))
+
+
+@query("p07_upgraded_records", UPGRADED + "SELECT p_partkey, 'new_set' AS dataset_id, 'observation_v5' AS observation_version, text AS observation, sha256(text) AS observation_sha256, sha256(x) AS source_observation_sha256 FROM u")
+def p07(spark, sf_dir):
+    x = _old_text()
+    d = load(spark, sf_dir, "part").select("p_partkey", F.lit("old_set").alias("dataset_id"), F.lit("observation_v4").alias("observation_version"), x.alias("observation"), F.sha2(x, 256).alias("observation_sha256"))
+    return text.upgraded_records(d, "new_set", "observation_v4", "observation_v5", _new_text(F.col("observation")))
 
 
 @query("t09_t22_catalog_text", "SELECT p_partkey, CASE WHEN p_size < 20 THEN 'size ' || p_size ELSE p_name END AS effect, CASE WHEN p_size < 20 THEN 'catalog' ELSE 'source' END AS effect_source FROM part")
@@ -151,12 +227,23 @@ def t09(spark, sf_dir):
     return text.catalog_text(load(spark, sf_dir, "part"), "p_size", catalog, "p_name").select("p_partkey", "effect", "effect_source")
 
 
-@query("t13_t23_chat_messages", "SELECT conv_id, 'system: be brief' || chr(10) || string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS chat FROM conversations GROUP BY 1")
+@query("t13_chat_messages", "SELECT conv_id, 'system: be brief' || chr(10) || string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS chat FROM conversations GROUP BY 1")
 def t13(spark, sf_dir):
     d = text.chat_messages(load(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text", "be brief")
     return d.select("conv_id", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n").alias("chat"))
 
 
+@query("t23_retry_request", """WITH c AS (SELECT conv_id, count(*) AS n, string_agg(role, ',' ORDER BY turn) AS observed FROM conversations GROUP BY 1)
+SELECT conv_id, 'be brief' AS system_prompt, CASE WHEN conv_id % 2 = 0 THEN observed ELSE observed || chr(10) || chr(10) || 'Your previous response was invalid.' || chr(10) || chr(10) || 'Return exactly one of:' || chr(10) || array_to_string(list_transform(range(0, n), lambda i: 'ACTION_' || i), chr(10)) || chr(10) || chr(10) || 'Return only the action ID.' END AS user_prompt FROM c""")
+def t23(spark, sf_dir):
+    """The first request of even conversations, the retry of the others."""
+    roles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",")
+    d = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), roles.alias("observed"))
+    allowed = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.concat(F.lit("ACTION_"), i.cast("string")))
+    request = F.when(F.col("conv_id") % 2 == 0, text.request_text("be brief", F.col("observed"))).otherwise(text.request_text("be brief", F.col("observed"), allowed))
+    return d.select("conv_id", request.alias("r")).select("conv_id", "r.*")
+
+
 @query("t14_x24_training_layout", "SELECT p_partkey, p_size % 5 + 1 AS prompt_tokens, p_size % 3 + 1 AS loss_tokens, (p_size % 5 + p_size % 3 + 2) > 6 AS too_long, -100 * (p_size % 5 + 1) + 7 * (p_size % 3 + 1) AS label_sum FROM part")
 def t14(spark, sf_dir):
     d = load(spark, sf_dir, "part").select("p_partkey", F.array_repeat(F.lit(3), F.col("p_size") % 5 + 1).alias("p"), F.array_repeat(F.lit(7), F.col("p_size") % 3 + 1).alias("a"))
@@ -189,12 +276,27 @@ def p12(spark, sf_dir):
     return load(spark, sf_dir, "events").select("event_id", text.command(kind, F.col("user_id") % 10, F.col("event_id") % 3).alias("command"))
 
 
-@query("t20_p09_selection_actions", "SELECT o_custkey, 'ACTION_' || i AS action_id, i + 1 AS index, steps[i + 2] AS card FROM (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS steps FROM orders GROUP BY 1), range(0, 2) v(i) WHERE len(steps) > 2")
+@query("t20_selection_actions", "SELECT o_custkey, 'ACTION_' || i AS action_id, i + 1 AS index, steps[i + 2] AS card FROM (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS steps FROM orders GROUP BY 1), range(0, 2) v(i) WHERE len(steps) > 2")
 def t20(spark, sf_dir):
     d = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("pile")).where(F.size("pile") > 2).withColumn("picks", F.array(F.lit(1), F.lit(2)))
     return text.selection_actions(d, "o_custkey", "pile", "picks")
 
 
+@query("p09_demonstrations", """WITH p AS (SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) AS c, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS executed, arg_min(o_orderpriority, (o_orderdate, o_orderkey)) AS first, bool_or(o_orderstatus = 'P') AS fallback FROM orders GROUP BY 1),
+x AS (SELECT o_custkey, c, fallback, 'ACTION_' || (list_position(c, executed) - 1) AS own, 'ACTION_' || (list_position(c, CASE WHEN o_custkey % 4 = 0 THEN first ELSE executed END) - 1) AS selected, executed FROM p)
+SELECT o_custkey, CASE WHEN own <> selected THEN 'action differs' WHEN fallback THEN 'fallback' END AS problem, CASE WHEN own = selected AND NOT fallback THEN own || ':1.0' END AS candidates,
+CASE WHEN own = selected AND NOT fallback THEN CASE WHEN len(c) = 1 AND executed LIKE '5%' THEN 'forced_end' ELSE 'teacher_strategy' END END AS supervision_source FROM x""")
+def p09(spark, sf_dir):
+    """Priorities of a customer's orders as classes, the last order's as the executed action, for some customers the first one's as the selected class."""
+    when = F.struct("o_orderdate", "o_orderkey")
+    d = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("c"), F.max_by("o_orderpriority", when).alias("executed"), F.min_by("o_orderpriority", when).alias("first"), F.some(F.col("o_orderstatus") == "P").alias("fallback"))
+    name = lambda i: F.concat(F.lit("ACTION_"), i.cast("string"))
+    d = d.withColumn("classes", F.transform("c", lambda x, i: F.struct(name(i).alias("class_id"), F.when(x.startswith("5"), "end_turn").otherwise("play_card").alias("action_type"), x.alias("representative"))))
+    d = d.withColumn("selected", name(F.array_position("c", F.when(F.col("o_custkey") % 4 == 0, F.col("first")).otherwise(F.col("executed"))) - 1))
+    out = text.demonstrations(d, "classes", "executed", "selected", "fallback")
+    return out.select("o_custkey", "problem", F.get(F.transform("candidates", lambda x: F.concat(x["action_id"], F.lit(":"), x["weight"].cast("string"))), F.lit(0)).alias("candidates"), "supervision_source")
+
+
 @query("t16_branches", "SELECT o_custkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS branch, o_orderkey AS action, 1.0 AS weight FROM orders")
 def t16(spark, sf_dir):
     from decispark.operators import preferences
@@ -203,9 +305,13 @@ def t16(spark, sf_dir):
     return preferences.branches(g)
 
 
-@query("p02_p03_decision_fields", "SELECT doc_id, sha256(text) AS observation_sha256, lang AS family FROM documents")
+@query("p02_decision_fields", """SELECT 'd1' AS dataset_id, conv_id AS record_id, 'train' AS split, 'v7' AS observation_version, string_agg(text, chr(10) ORDER BY turn) AS observation, sha256(string_agg(text, chr(10) ORDER BY turn)) AS observation_sha256,
+'[' || string_agg('{"model_action_id":"' || turn || '","action_type":"say","card_name":"' || role || '","target":' || turn % 2 || '}', ',' ORDER BY turn) || ']' AS model_actions FROM conversations GROUP BY conv_id""")
 def p02(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", scalar.sha256_text(F.col("text")).alias("observation_sha256"), F.col("lang").alias("family"))
+    action = F.struct(F.col("turn").cast("string").alias("id"), F.lit("say").alias("action_type"), F.col("role").alias("card"), (F.col("turn") % 2).cast("int").alias("target"))
+    items = F.array_sort(F.collect_list(F.struct("turn", "text", action.alias("action"))))
+    d = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(items.alias("x")).select("conv_id", F.array_join(F.transform("x", lambda x: x["text"]), "\n").alias("observation"), F.transform("x", lambda x: x["action"]).alias("actions"))
+    return text.decision_fields(d, "d1", "v7", "conv_id", "observation", "actions").withColumn("model_actions", F.to_json("model_actions"))
 
 
 @query("f01_accepted_rows", "SELECT doc_id FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0 AND lang IN ('en', 'de')")
@@ -215,9 +321,8 @@ def f01(spark, sf_dir):
 
 @query("k01_stable_order", "SELECT s_suppkey, row_number() OVER (ORDER BY s_nationkey, s_acctbal DESC NULLS LAST, s_suppkey) AS place FROM supplier")
 def k01(spark, sf_dir):
-    from pyspark.sql import Window as W
-
-    return load(spark, sf_dir, "supplier").select("s_suppkey", F.row_number().over(W.orderBy("s_nationkey", F.col("s_acctbal").desc_nulls_last(), "s_suppkey")).alias("place"))
+    d = sampling.ordered_places(load(spark, sf_dir, "supplier"), ["s_nationkey", F.col("s_acctbal").desc_nulls_last(), "s_suppkey"])
+    return d.select("s_suppkey", (F.col("place") + 1).alias("place"))
 
 
 @query("x26_iso_time", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad((extract('millisecond' FROM ts)::INT % 1000)::VARCHAR, 3, '0') || 'Z' AS at FROM events")
@@ -235,13 +340,13 @@ def x30(spark, sf_dir):
     return d.select("user_id", "event_type", r("win"), r("hp"), "visits")
 
 
-@query("t12_t19_parsed_states", "SELECT event_id, (props::JSON ->> 'k')::INT AS k, (props::JSON ->> 'missing') IS NULL AS no_extra FROM events")
+@query("t19_parsed_states", "SELECT event_id, (props::JSON ->> 'k')::INT AS k, (props::JSON ->> 'missing') IS NULL AS no_extra FROM events")
 def t12(spark, sf_dir):
     parsed = F.from_json("props", "k int, missing string")
     return load(spark, sf_dir, "events").select("event_id", parsed.alias("p")).select("event_id", "p.k", F.col("p.missing").isNull().alias("no_extra"))
 
 
-@query("r12_t18_event_rows", "SELECT o_custkey, position, kind, CASE WHEN kind = 'reward' THEN o_totalprice END AS amount FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS position, CASE WHEN o_orderstatus = 'F' THEN 'reward' ELSE 'combat' END AS kind, o_totalprice FROM orders)")
+@query("w01_event_rows", "SELECT o_custkey, position, kind, CASE WHEN kind = 'reward' THEN o_totalprice END AS amount FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS position, CASE WHEN o_orderstatus = 'F' THEN 'reward' ELSE 'combat' END AS kind, o_totalprice FROM orders)")
 def r12(spark, sf_dir):
     from pyspark.sql import Window as W
 

@@ -16,8 +16,12 @@ def read_json_lines(spark: SparkSession, path: str, schema: str | T.StructType)
 
 
 def read_json_document(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """One object per file."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    """One object per file; a file that holds anything else fails."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    text = spark.read.text(path, wholetext=True)
+    wrong = F.raise_error(F.concat(F.lit("no JSON object: "), F.substring("value", 1, 80))).cast("string")
+    whole = F.when(F.col("value").rlike(r"^\s*\{"), F.col("value")).otherwise(wrong)
+    return text.select(F.from_json(whole, schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -39,6 +43,37 @@ def scan_trajectories(spark: SparkSession, path: str, schema: T.StructType, vers
     return d.where("problem is null").select(*[F.col(f"r.{f.name}").alias(f.name) for f in schema.fields]), d.where("problem is not null").select("file", "problem", "value")
 
 
+def scan_fixtures(spark: SparkSession, path: str, version: str = "parity_fixture_v1") -> DataFrame:
+    """file, value, fixture_id, step_index and problem (null: good) of every line that is not blank.
+
+    Problems: no object, another version, a fixture_id that is no text, a step_index that is no whole
+    number, a repeated (fixture_id, step_index), and raw evidence that does not match its hash as
+    canonical JSON (sorted keys, no spaces).
+    """
+    d = spark.read.text(path).where("trim(value) <> ''").select(F.col("_metadata.file_name").alias("file"), "value")
+    d = d.withColumn("v", F.try_parse_json("value"))
+    get = lambda p, kind: F.try_variant_get("v", f"$.{p}", kind)
+    of = lambda p: F.schema_of_variant(F.try_variant_get("v", f"$.{p}", "variant"))
+    d = d.select("file", "value", "v", F.when(of("fixture_id") == "STRING", get("fixture_id", "string")).alias("fixture_id"), F.when(of("step_index") == "BIGINT", get("step_index", "bigint")).alias("step_index"))
+    raw = F.when(of("real_raw_snapshot").startswith("OBJECT"), F.to_json(get("real_raw_snapshot", "variant")))
+    twice = F.count(F.lit(1)).over(W.partitionBy("fixture_id", "step_index")) > 1
+    problem = (
+        F.when(F.col("v").isNull() | ~F.schema_of_variant("v").startswith("OBJECT"), "not an object")
+        .when(~get("schema_version", "string").eqNullSafe(F.lit(version)), "schema_version")
+        .when(F.coalesce(F.col("fixture_id"), F.lit("")) == "", "fixture_id")
+        .when(F.col("step_index").isNull(), "step_index")
+        .when(twice, "duplicate")
+        .when(raw.isNull() | get("real_raw_snapshot_sha256", "string").isNull(), "raw evidence")
+        .when(F.sha2(raw, 256) != get("real_raw_snapshot_sha256", "string"), "hash mismatch")
+    )
+    return d.withColumn("problem", problem).drop("v")
+
+
+def semantic_digest(columns: list[str], dropped: list[str]) -> Column:
+    """SHA-256 of a row without the columns that do not bear on behaviour (locations, bookkeeping)."""
+    return row_digest([c for c in columns if c not in dropped])
+
+
 def write_json_lines(df: DataFrame, path: str, order: list[str], files: int | None = None) -> None:
     """Ordered JSON lines in gzip, in as many files as their ranges; equal rows give equal lines, nulls left out."""
     ranged = df.repartitionByRange(files, *order) if files else df.repartitionByRange(*order)

@@ -159,15 +159,107 @@ def test_edge_rules(spark):
 
 
 def test_mixture_sample_follows_its_channels(spark):
-    rows = [(g, f"{g}-{i:02d}", i % 4 == 0, "e1" if i % 3 == 0 else None) for g in range(300) for i in range(12)]
+    rows = [(g, f"{g}-{i:02d}", i % 4 == 0, "e1" if i % 3 == 0 else "e2" if i == 5 else None) for g in range(300) for i in range(12)]
     d = spark.createDataFrame(rows, "g int, key string, turn_start boolean, bucket string")
     got = sampling.mixture_sample(d, "g", "key", 3, 5).collect()
     assert len(got) == 900 and len({(r["g"], r["key"]) for r in got}) == 900
-    first = [r for r in got if r["draw_index"] == 0]
-    share = Counter(r["channel"] for r in first)
-    assert abs(share["random"] / 300 - 0.5) < 0.1 and abs(share["turn_start"] / 300 - 0.25) < 0.1
-    chance = {r["key"][-2:]: r["probability"] for r in first}
-    assert chance.get("00", 0.5 / 12 + 0.25 / 3 + 0.25 / 4) == pytest.approx(0.5 / 12 + 0.25 / 3 + 0.25 / 4)
+    share = Counter(r["channel"] for r in got if r["draw_index"] == 0)
+    assert all(abs(share[c] / 300 - w) < 0.1 for c, w in sampling.CHANNELS.items())
+    flags = {(g, k): (t, b) for g, k, t, b in rows}
+    for g in range(300):
+        left = {k: flags[g, k] for _, k, _, _ in [r for r in rows if r[0] == g]}
+        for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["draw_index"]):
+            starts = [k for k, (t, _) in left.items() if t]
+            buckets = Counter(b for _, b in left.values() if b)
+            turn, bucket = left[r["key"]]
+            a, e = 0.4 * bool(starts), 0.3 * bool(buckets)
+            assert r["channel"] == "random" or (turn if r["channel"] == "turn_start" else bucket)
+            chance = (1 - a - e) / len(left) + (a / len(starts) if turn else 0) + (e / len(buckets) / buckets[bucket] if bucket else 0)
+            assert r["probability"] == pytest.approx(chance)
+            del left[r["key"]]
+
+
+def test_mixture_sample_draws_each_row_as_often_as_it_says(spark):
+    rows = [(g, f"{i}", i == 0, "e" if i < 3 else None) for g in range(4000) for i in range(5)]
+    got = sampling.mixture_sample(spark.createDataFrame(rows, "g int, key string, turn_start boolean, bucket string"), "g", "key", 2, 9).collect()
+    first = Counter(r["key"] for r in got if r["draw_index"] == 0)
+    expected = {"0": 0.4 + 0.1 + 0.06, "1": 0.16, "2": 0.16, "3": 0.06, "4": 0.06}
+    assert all(abs(first[k] / 4000 - p) < 0.03 for k, p in expected.items())
+    assert len(got) == 8000
+    short = spark.createDataFrame([(1, "a", None, None), (1, "b", False, None), (2, "c", True, "x")], "g int, key string, turn_start boolean, bucket string")
+    assert Counter(r["g"] for r in sampling.mixture_sample(short, "g", "key", 4, 1).collect()) == {1: 2, 2: 1}
+
+
+def test_places_over_many_partitions(spark):
+    d = spark.range(1000).select((F.col("id") * 37 % 1000).alias("k"), (F.col("id") % 3).alias("g")).repartition(7)
+    got = {(r["g"], r["k"]): r["place"] for r in sampling.ordered_places(d, ["g", F.desc("k")]).collect()}
+    assert got == {x: i for i, x in enumerate(sorted(got, key=lambda x: (x[0], -x[1])))}
+    assert sampling.ordered_places(d.where("k < 0"), ["k"]).count() == 0
+
+
+def test_bootstrap_means_scatter_around_the_mean(spark):
+    rows = [(c, float(c % 10 + j)) for c in range(500) for j in range(c % 4 + 1)]
+    got = [r["mean"] for r in sampling.bootstrap(spark.createDataFrame(rows, "c int, v double"), "c", "v", 200, 3).collect()]
+    total, n = sum(v for _, v in rows), len(rows)
+    sums, sizes = Counter(), Counter()
+    for c, v in rows:
+        sums[c] += v
+        sizes[c] += 1
+    error = math.sqrt(sum((sums[c] - sizes[c] * total / n) ** 2 for c in sums)) / n
+    mean = sum(got) / len(got)
+    assert len(got) == 200 and abs(mean - total / n) < 0.3 * error
+    assert 0.8 < math.sqrt(sum((x - mean) ** 2 for x in got) / len(got)) / error < 1.2
+
+
+def test_manifest_and_file_digests(spark, tmp_path):
+    d = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, x string")
+    one = {r["split"]: r for r in files.manifest({"train": d.where("id < 3"), "dev": d.where("id = 3")}, ["id"], "set", "v1").collect()}
+    two = {r["split"]: r for r in files.manifest({"train": d.where("id < 3").repartition(3).orderBy(F.desc("id")), "dev": d.where("id = 3")}, ["id"], "set", "v1").collect()}
+    assert one == two and (one["train"]["records"], one["dev"]["records"]) == (2, 1)
+    other = files.manifest({"train": d.where("id < 3").withColumn("x", F.upper("x"))}, ["id"], "set", "v1").first()
+    assert other["digest"] != one["train"]["digest"] != one["dev"]["digest"]
+    (tmp_path / "f").mkdir()
+    (tmp_path / "f/a.bin").write_bytes(b"content")
+    got = files.file_digests(spark, str(tmp_path / "f")).first()
+    assert (got["length"], got["sha256"]) == (7, hashlib.sha256(b"content").hexdigest())
+
+
+def test_documents_must_be_objects(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{\n "x": 1}')
+    assert [r["x"] for r in files.read_json_document(spark, str(tmp_path), "x int").collect()] == [1]
+    (tmp_path / "b.json").write_text('[{"x": 1}]')
+    with pytest.raises(Exception, match="no JSON object"):
+        files.read_json_document(spark, str(tmp_path), "x int").collect()
+
+
+def test_fixture_problems(spark, tmp_path):
+    good = '{"schema_version":"parity_fixture_v1","fixture_id":"f","step_index":%d,"real_raw_snapshot":{"b":[1,2],"a":{"d":null,"c":"x"}},"real_raw_snapshot_sha256":"%s"}'
+    h = hashlib.sha256(b'{"a":{"c":"x","d":null},"b":[1,2]}').hexdigest()
+    lines = [good % (0, h), good % (1, "0"), good % (2, h), good % (2, h), "", "[1]", "{x", good.replace("%d", "true") % h, good.replace('"f"', '""') % (3, h), good.replace("v1", "v2") % (4, h), '{"schema_version":"parity_fixture_v1","fixture_id":"g","step_index":1}']
+    (tmp_path / "f.jsonl").write_text("\n".join(lines))
+    got = Counter(r["problem"] for r in files.scan_fixtures(spark, str(tmp_path)).collect())
+    assert got == {None: 1, "hash mismatch": 1, "duplicate": 2, "not an object": 2, "step_index": 1, "fixture_id": 1, "schema_version": 1, "raw evidence": 1}
+
+
+def test_pairs_without_common_trials(spark):
+    rows = [("s", "A", 0, "victory", 5.0, "r"), ("s", "B", 1, "victory", 5.0, "r"), ("s", "C", 0, "defeat", 5.0, "r"), ("s", "C", 1, "aborted", 5.0, "r")]
+    got = {(r["a"], r["b"]): (r["paired_trials"], r["mean_difference"], r["standard_error"]) for r in trials.paired(spark.createDataFrame(rows, TRIALS)).collect()}
+    assert got == {("A", "B"): (0, None, None), ("A", "C"): (1, 5.0, None), ("B", "C"): (0, None, None)}
+
+
+def test_demonstrations(spark):
+    schema = "k int, classes array<struct<class_id:string,action_type:string,representative:string>>, executed string, selected string, fallback boolean"
+    end, play = ("ACTION_0", "end_turn", "e"), ("ACTION_1", "play_card", "p")
+    rows = [(1, [end], "e", "ACTION_0", False), (2, [end, play], "e", "ACTION_0", False), (3, [end, play], "p", "ACTION_0", False), (4, [play], "p", "ACTION_1", True), (5, [play], "x", "ACTION_1", False)]
+    got = {r["k"]: (r["problem"], r["supervision_source"]) for r in text.demonstrations(spark.createDataFrame(rows, schema), "classes", "executed", "selected", "fallback").collect()}
+    assert got == {1: (None, "forced_end"), 2: (None, "teacher_strategy"), 3: ("action differs", None), 4: ("fallback", None), 5: ("action differs", None)}
+
+
+def test_retry_needs_actions(spark):
+    d = spark.createDataFrame([("obs", ["ACTION_0", "ACTION_1"])], "o string, a array<string>")
+    assert d.select(text.request_text("sys", F.col("o"), F.col("a"))["user_prompt"]).first()[0] == "obs\n\nYour previous response was invalid.\n\nReturn exactly one of:\nACTION_0\nACTION_1\n\nReturn only the action ID."
+    with pytest.raises(Exception, match="needs allowed actions"):
+        d.select(text.request_text("sys", F.col("o"), F.array().cast("array<string>"))).collect()
 
 
 def test_legal_actions(spark):
@@ -186,7 +278,7 @@ def test_choice_distribution_keeps_mass_one(spark):
 
 def test_glossary_closure_stops_at_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "term string, leads_to string")
-    got = text.glossary_closure(spark.createDataFrame([(1, "a"), (2, "x")], "k int, term string"), "k", edges, 6)
+    got = text.glossary_closure(spark.createDataFrame([(1, "a"), (2, "x")], "k int, term string"), "k", edges)
     assert {(r["k"], r["term"]) for r in got.collect()} == {(1, "a"), (1, "b"), (1, "c"), (2, "x"), (2, "y")}
 
 
