@@ -1,20 +1,22 @@
 """Main text of web pages by tag-path ratios (op10).
 
 Every text node has a root-to-leaf path of tags, with their class and id. Per page and path, text
-length and punctuation are averaged over the nodes; both are smoothed with the mean of the path's
-root (the article or main element, else the nearest container that is no list or table), fused by
-a product, and paths above a share of the best root's score are content. So short blocks of an
-article stay, and containers of short, unpunctuated text go. A block most of which is links is
-scored by itself, its linked text at a tenth, and unsmoothed are paths most of whose text is
-links: so link lists, tag clouds and "read more" go from an article too, with the headings that
-stand over nothing else.
+length and punctuation are averaged over the nodes; both are smoothed with the mean of the
+container around the node (the article or main element, else the nearest container that is no list
+or table), fused by a product, and paths above a share of the best container's score are content.
+All blocks of a page compete: outside of an article or main element, where there is one, a tenth of
+the score counts. So short blocks of an article stay, and containers of short, unpunctuated text go
+whatever they are called. A block most of which is links is scored by itself, its linked text at a
+fifth, and unsmoothed are paths most of whose text is links: so link lists, tag clouds and "read
+more" go from an article too, with the headings that stand over nothing else.
 Elements that never hold an article's text (navigation, scripts, adverts and the like by tag) are
 left out before any ratio is taken. Forms, page headers and elements with a word of furniture in
 class, id or role are so too, unless they hold the article or most of the page's text.
 
-Edge cases: null or empty html and pages without text give an empty text; unclosed and
-truncated markup closes at the end of its container; repeated rows and empty tables work;
-further columns pass through.
+Work is linear in the page: no character of markup is looked at again, and open elements are found
+by their name's last place. Edge cases: null or empty html and pages without text give an empty
+text; unclosed and truncated markup closes at the end of its container, a tag that another one
+interrupts is dropped; repeated rows and empty tables work; further columns pass through.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +33,7 @@ from pyspark.sql import types as T
 
 from .common import small_batches
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<]*\Z", re.S | re.I)
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|title)\b[^<>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<]*(?=<|\Z)", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -49,8 +52,8 @@ PUNCTUATION = frozenset(".,;:!?…。，、；：！？")
 CLOSES_P = BLOCKS - {"body", "html", "head"}
 
 
-#: A block of which more than so much is linked counts a tenth of its linked characters only, without smoothing.
-MOSTLY, LINKED_WEIGHT = 0.5, 0.1
+#: A block of which more than so much is linked counts a fifth of its linked characters only, without smoothing.
+MOSTLY, LINKED_WEIGHT = 0.5, 0.2
 
 
 def is_suspect(tag: str, attributes: str, inside: bool) -> bool:
@@ -67,18 +70,23 @@ def is_suspect(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+#: What an element holds.
+ARTICLE, MAIN, H1 = 1, 2, 4
+HOLDS = {"article": ARTICLE, "main": MAIN, "h1": H1}
+
+
 class Tree:
     """Elements of a page in page order, each after its parent; element 0 is the page."""
 
     def __init__(self) -> None:
-        self.parent, self.suspect, self.chars, self.holds = [0], [False], [0], [set()]
+        self.parent, self.suspect, self.chars, self.holds = [0], [False], [0], [0]
         self.articles = 0
 
     def add(self, parent: int, tag: str, suspect: bool) -> int:
         self.parent.append(parent)
         self.suspect.append(suspect)
         self.chars.append(0)
-        self.holds.append({tag} if tag in ("article", "main", "h1") else set())
+        self.holds.append(HOLDS.get(tag, 0))
         self.articles += tag == "article"
         return len(self.parent) - 1
 
@@ -92,19 +100,47 @@ class Tree:
             wraps = False
             if self.suspect[i]:
                 share, held = self.chars[i] / (self.chars[0] or 1), self.holds[i]
-                wraps = "main" in held or "article" in held and ("h1" in held or self.articles == 1 or share > 0.5) or "h1" in held and share > 0.5 or share > 0.75
+                wraps = held & MAIN or held & ARTICLE and (held & H1 or self.articles == 1 or share > 0.5) or held & H1 and share > 0.5 or share > 0.75
             out.append(out[self.parent[i]] or self.suspect[i] and not wraps)
         return out
 
 
-def text_blocks(html: str) -> list[tuple[str, str, str, str, float]]:
-    """(path, path with class and id, root's path, text, share of it in links) of each block outside page furniture, in page order."""
-    found: list[tuple[tuple[str, str, str], list[tuple[str, int, bool]]]] = []
+class Open(NamedTuple):
+    """An open element, with what its descendants need to know about the elements around them."""
+
+    tag: str
+    furniture: bool  # for certain, by its tag or one around it
+    element: int
+    linked: bool
+    path: int  # number of its path of blocks with their names
+    block: str  # tag of the nearest block
+    root: int  # the outermost article or main element, else the nearest root
+    inside: bool  # an article or main element
+    container: int  # place of the nearest container among the open elements
+
+
+class Block(NamedTuple):
+    path: int
+    tag: str
+    root: int
+    inside: bool
+    text: str
+    linked: float  # share of its text in links
+
+
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+
+
+def text_blocks(html: str) -> list[Block]:
+    """Each block outside page furniture, in page order."""
+    found: list[tuple[Open, list[tuple[str, int, bool]]]] = []
     tree = Tree()
-    # tag, its attributes, whether it is furniture for certain, its element, whether it is in a link
-    stack: list[tuple[str, str, bool, int, bool]] = []
+    page = Open("", False, 0, False, 0, "", 0, False, -1)
+    stack: list[Open] = []
+    places: dict[str, list[int]] = {}  # of each tag among the open elements
+    paths: dict[tuple[int, str, str], int] = {}
     parts: list[tuple[str, int, bool]] = []
-    leaf: tuple[str, str, str] | None = None
+    leaf: Open | None = None
 
     def flush() -> None:
         nonlocal leaf, parts
@@ -114,30 +150,34 @@ def text_blocks(html: str) -> list[tuple[str, str, str, str, float]]:
             parts = []
         leaf = None
 
+    def close(at: int) -> bool:
+        """Close all from place at on; whether a block is among them."""
+        blocks = False
+        while len(stack) > at:
+            tag = stack.pop().tag
+            places[tag].pop()
+            blocks |= tag in BLOCKS
+        return blocks
+
+    def last(tag: str) -> int:
+        return places[tag][-1] if places.get(tag) else -1
+
     def end_head() -> None:
-        for i, x in enumerate(stack[:3]):
-            if x[0] == "head":
-                close(i)
-                break
+        if 0 <= last("head") < 3:
+            close(last("head"))
 
     def add(raw: str) -> None:
         nonlocal leaf
         space = raw.isspace()
-        if not space and stack and stack[-1][0] == "head":
+        if not space and stack and stack[-1].tag == "head":
             end_head()
-        if stack and stack[-1][2]:
+        top = stack[-1] if stack else page
+        if top.furniture:
             return
         if leaf is None and not space:
-            blocks = [x for x in stack if x[0] in BLOCKS]
-            tags = [x[0] for x in blocks]
-            root = next((i for i, t in enumerate(tags) if t in ("article", "main")), max((i for i, t in enumerate(tags) if t in ROOTS), default=-1))
-            leaf = "/".join(tags), "/".join(f"{x[0]} {x[1]}" for x in blocks), "/".join(tags[: root + 1])
-        at = stack[-1][3] if stack else 0
-        tree.chars[at] += 0 if space else len(raw)
-        parts.append((unescape(raw), at, bool(stack) and stack[-1][4]))
-
-    def close(at: int) -> None:
-        del stack[at:]
+            leaf = top
+        tree.chars[top.element] += 0 if space else len(raw)
+        parts.append((unescape(raw), top.element, top.linked))
 
     at = 0
     for m in MARKUP.finditer(html):
@@ -147,16 +187,10 @@ def text_blocks(html: str) -> list[tuple[str, str, str, str, float]]:
         tag = (m[3] or "").lower()
         if not tag:
             continue
+        top = stack[-1] if stack else page
         if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    if any(x[0] in BLOCKS for x in stack[i:]):
-                        flush()
-                    close(i)
-                    break
-                if tag not in BLOCKS and stack[i][0] in CONTAINERS:
-                    break
-            if tag in BLOCKS:
+            place = last(tag)
+            if place >= 0 and (tag in BLOCKS or place >= top.container) and close(place) or tag in BLOCKS:
                 flush()
             continue
         if tag not in HEAD_TAGS:
@@ -167,73 +201,92 @@ def text_blocks(html: str) -> list[tuple[str, str, str, str, float]]:
             continue
         if tag in BLOCKS:
             flush()
-            ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ())
-            for i in range(len(stack) - 1, -1, -1):
-                open_tag = stack[i][0]
-                if open_tag in ends or open_tag == "p" and tag in CLOSES_P:
-                    close(i)
-                    break
-                if open_tag in CONTAINERS:
-                    break
+            top = stack[-1] if stack else page
+            place = max([last(x) for x in ENDS.get(tag, ())] + [last("p") if tag in CLOSES_P else -1])
+            if place >= max(top.container, 0):
+                close(place)
         if tag in VOID or m[4].endswith("/"):
             continue
-        _, _, sure, parent, linked = stack[-1] if stack else ("", "", False, 0, False)
-        inside = any(x[0] in ("article", "main") for x in stack)
-        names = " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(m[4])) if "=" in m[4] and tag in BLOCKS else ""
-        stack.append((tag, names, sure or tag in FURNITURE_TAGS, tree.add(parent, tag, is_suspect(tag, m[4], inside)), linked or tag == "a"))
+        top = stack[-1] if stack else page
+        element = tree.add(top.element, tag, is_suspect(tag, m[4], top.inside))
+        block = tag in BLOCKS
+        names = " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(m[4])) if block and "=" in m[4] else ""
+        main = tag in ("article", "main")
+        places.setdefault(tag, []).append(len(stack))
+        stack.append(
+            Open(
+                tag, top.furniture or tag in FURNITURE_TAGS, element, top.linked or tag == "a", paths.setdefault((top.path, tag, names), len(paths) + 1) if block else top.path, tag if block else top.block,
+                top.root if top.inside else element if main or tag in ROOTS else top.root, top.inside or main, len(stack) if tag in CONTAINERS else top.container,
+            )
+        )
     if at < len(html):
         add(html[at:])
     flush()
     hidden, out = tree.hidden(), []
-    for leaf_, parts_ in found:
-        seen = [x for x in parts_ if not hidden[x[1]]]
+    for place, all_parts in found:
+        seen = [x for x in all_parts if not hidden[x[1]]]
         text = " ".join("".join(x[0] for x in seen).split())
         if text:
             chars = sum(len(x[0].strip()) for x in seen)
-            out.append((*leaf_, text, sum(len(x[0].strip()) for x in seen if x[2]) / (chars or 1)))
+            out.append(Block(place.path, place.block, place.root, place.inside, text, sum(len(x[0].strip()) for x in seen if x[2]) / (chars or 1)))
     return out
 
 
-def main_text(html: str, smoothing: float = 0.5, share: float = 0.1) -> str:
+#: What the score of a block outside of the article or main element counts, where a page has one.
+OUTSIDE = 0.1
+
+
+class Sums:
+    """Blocks, their length and punctuation as scored, their text and the linked part of it."""
+
+    def __init__(self) -> None:
+        self.n, self.chars, self.marks, self.text, self.linked = 0, 0.0, 0.0, 0, 0.0
+
+    def add(self, chars: float, marks: int, text: int, linked: float) -> None:
+        self.n += 1
+        self.chars += chars
+        self.marks += marks
+        self.text += text
+        self.linked += linked
+
+
+def main_text(html: str, smoothing: float = 0.5, share: float = 0.15) -> str:
     blocks = text_blocks(html)
-    if any("article" in b[0].split("/") or "main" in b[0].split("/") for b in blocks):
-        blocks = [b for b in blocks if "article" in b[0].split("/") or "main" in b[0].split("/")]
-    nodes: dict[str, list[float]] = {}
-    roots: dict[str, list[float]] = {}
+    paths: dict[int, Sums] = {}
+    roots: dict[int, Sums] = {}
     sizes = []
-    for _, path, root, text, linked in blocks:
-        size = len(text) * (1 - (1 - LINKED_WEIGHT) * linked if linked > MOSTLY else 1), sum(c in PUNCTUATION for c in text)
+    for b in blocks:
+        size = len(b.text) * (1 - (1 - LINKED_WEIGHT) * b.linked if b.linked > MOSTLY else 1), sum(c in PUNCTUATION for c in b.text)
         sizes.append(size)
-        for sums, key in ((nodes, path), (roots, root)):
-            x = sums.setdefault(key, [0.0, 0.0, 0.0, 0.0, 0.0])
-            for i, v in enumerate((1, *size, len(text), linked * len(text))):
-                x[i] += v
-    whole = {root: n and chars / n * (1 + marks / n) for root, (n, chars, marks, _, _) in roots.items()}
+        paths.setdefault(b.path, Sums()).add(*size, len(b.text), b.linked * len(b.text))
+        roots.setdefault(b.root, Sums()).add(*size, len(b.text), b.linked * len(b.text))
+    with_main = any(b.inside for b in blocks)
+    prior = lambda b: OUTSIDE if with_main and not b.inside else 1.0
+    whole = {b.root: prior(b) * roots[b.root].chars / roots[b.root].n * (1 + roots[b.root].marks / roots[b.root].n) for b in blocks}
     least = share * max(whole.values(), default=0.0)
 
-    def content(path: str, root: str, linked: float, size: tuple[float, int]) -> bool:
-        n, chars, marks, all_text, all_linked = nodes[path]
-        if linked > MOSTLY:
-            return size[0] * (1 + size[1]) >= least
-        weight = 0.0 if all_linked > MOSTLY * all_text else smoothing
-        m, root_chars, root_marks, _, _ = roots[root]
-        return ((1 - weight) * chars / n + weight * root_chars / m) * (1 + (1 - weight) * marks / n + weight * root_marks / m) >= least
+    def score(b: Block, size: tuple[float, int]) -> float:
+        if b.linked > MOSTLY:
+            return size[0] * (1 + size[1])
+        path, root = paths[b.path], roots[b.root]
+        weight = 0.0 if path.linked > MOSTLY * path.text else smoothing
+        smooth = lambda x, y: (1 - weight) * x / path.n + weight * y / root.n
+        return smooth(path.chars, root.chars) * (1 + smooth(path.marks, root.marks))
 
-    kept = [content(path, root, linked, size) for (_, path, root, _, linked), size in zip(blocks, sizes, strict=True)]
+    kept = [prior(b) * score(b, size) >= least for b, size in zip(blocks, sizes, strict=True)]
     # A heading goes with the blocks up to the next heading; a page's title, and one with no block after it, stays where its root does.
     section: list[bool] = []
     for i in range(len(blocks) - 1, -1, -1):
-        plain, _, root, _, _ = blocks[i]
-        tag = plain.rpartition("/")[2]
-        if tag not in HEADINGS:
+        b = blocks[i]
+        if b.tag not in HEADINGS:
             section.append(kept[i])
             continue
-        kept[i] = whole[root] >= least and (tag == "h1" or not section or any(section))
+        kept[i] = whole[b.root] >= least and (b.tag == "h1" or not section or any(section))
         section = []
-    return "\n".join(b[3] for b, keep in zip(blocks, kept, strict=True) if keep)
+    return "\n".join(b.text for b, keep in zip(blocks, kept, strict=True) if keep)
 
 
-def extract(pages: DataFrame, html: str = "html", into: str = "text", smoothing: float = 0.5, share: float = 0.1) -> DataFrame:
+def extract(pages: DataFrame, html: str = "html", into: str = "text", smoothing: float = 0.5, share: float = 0.15) -> DataFrame:
     """pages without their html column and with the main text."""
     rest = [c for c in pages.columns if c not in (html, into)]
 

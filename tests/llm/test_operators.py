@@ -505,6 +505,34 @@ def test_no_wrapper_hides_the_article(start, around):
     assert html.main_text(page).split("\n") == [x.strip() for x in PROSE]
 
 
+def test_ratios_choose_where_no_name_tells():
+    lines = "".join(f"<div>{x}</div>" for x in ("Home", "World news today", "All rights kept"))
+    page = f"<html><body><div>{lines}</div><div><h2>Title here</h2>{BODY}<p>Yes.</p><ul><li>One</li><li>Two</li></ul></div><div><div>Get our letter</div><div>Your mail</div></div>"
+    wanted = ["Title here", *(x.strip() for x in PROSE), "Yes.", "One", "Two"]
+    assert html.main_text(page).split("\n") == wanted
+    assert html.main_text(page, share=0).split("\n") == ["Home", "World news today", "All rights kept", *wanted, "Get our letter", "Your mail"]
+    with_article = page.replace("<div><h2>", "<article><h2>").replace("</ul></div>", "</ul></article>").replace("Get our letter", "Get our letter, every week, with all the news.")
+    assert html.main_text(with_article).split("\n") == wanted
+    teaser = f"<body><article><p>More.</p></article><div>{BODY * 3}</div>"
+    assert PROSE[0].strip() in html.main_text(teaser)
+
+
+def test_time_is_linear_in_the_page():
+    import time
+
+    def seconds(page):
+        best = 9.0
+        for _ in range(3):
+            start = time.process_time()
+            html.main_text(page)
+            best = min(best, time.process_time() - start)
+        return best
+
+    for piece in ("<a ", "<div>x ", "<a \"", "<script ", "<b>", "<p>x", "</i>", "<i><div><b><b></i>", "<li>", "<!-", "&lt", "<div class='a' id=b>y", "</section>"):
+        small, large = seconds(piece * 4_000), seconds(piece * 32_000)
+        assert large < 24 * small + 0.05, piece
+
+
 def test_articles_of_the_table(spark):
     from html import unescape
 
