@@ -5,13 +5,13 @@ length and punctuation are averaged over the nodes; both are smoothed with the m
 container around the node (the article or main element, else the nearest container that is no list
 or table), fused by a product, and paths above a share of the best container's score are content.
 All blocks of a page compete: outside of an article or main element, where there is one, a tenth of
-the score counts. So short blocks of an article stay, and containers of short, unpunctuated text go
+the score counts, and a fiftieth in furniture. So short blocks of an article stay, and containers of short, unpunctuated text go
 whatever they are called. A block most of which is links is scored by itself, its linked text at a
 fifth, and unsmoothed are paths most of whose text is links: so link lists, tag clouds and "read
 more" go from an article too, with the headings that stand over nothing else.
-Elements that never hold an article's text (navigation, scripts, adverts and the like by tag) are
-left out before any ratio is taken. Forms, page headers and elements with a word of furniture in
-class, id or role are so too, unless they hold the article or most of the page's text.
+Furniture is what HTML names so (navigation, footers, asides) and forms, page headers and elements
+with a word of furniture in class, id or role, unless they hold the article or most of the page's
+text. Scripts, styles, heads and controls hold no text at all.
 
 Work is linear in the page: no character of markup is looked at again, and open elements are found
 by their name's last place. Edge cases: null or empty html and pages without text give an empty
@@ -45,7 +45,8 @@ CONTAINERS = frozenset("article aside blockquote body div dl fieldset figure foo
 ROOTS = frozenset("article aside body div footer form header html main nav section".split())
 #: Elements that may stand in a head; any other one, or text, ends a head that is still open.
 HEAD_TAGS = frozenset("head html base basefont bgsound link meta noscript script style template title".split())
-FURNITURE_TAGS = frozenset("aside button dialog footer head menu nav select datalist input option".split())
+FURNITURE_TAGS = frozenset("aside dialog footer menu nav".split())
+TEXTLESS_TAGS = frozenset("button head select datalist input option".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 FURNITURE_NAMES = frozenset("ad ads advert adverts advertisement alert alerts banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies consent disqus footer form header masthead menu nav navbar navigation newsletter notice notices popup promo promoted related replies share sharing sidebar social sponsor sponsored subscribe toolbar widget".split())
 PUNCTUATION = frozenset(".,;:!?…。，、；：！？")
@@ -91,16 +92,16 @@ class Tree:
         return len(self.parent) - 1
 
     def hidden(self) -> list[bool]:
-        """Suspects and what is in them, but for those that hold the article or most of the page's text."""
+        """Suspects and what is in them, but for those that hold the article or, where no element is named so, most of the page's text."""
         for i in range(len(self.parent) - 1, 0, -1):
             self.chars[self.parent[i]] += self.chars[i]
             self.holds[self.parent[i]] |= self.holds[i]
-        out = [False]
+        out, named = [False], self.holds[0] & (ARTICLE | MAIN)
         for i in range(1, len(self.parent)):
             wraps = False
             if self.suspect[i]:
                 share, held = self.chars[i] / (self.chars[0] or 1), self.holds[i]
-                wraps = held & MAIN or held & ARTICLE and (held & H1 or self.articles == 1 or share > 0.5) or held & H1 and share > 0.5 or share > 0.75
+                wraps = held & MAIN or held & ARTICLE and (held & H1 or self.articles == 1 or share > 0.5) or not named and (held & H1 and share > 0.5 or share > 0.75)
             out.append(out[self.parent[i]] or self.suspect[i] and not wraps)
         return out
 
@@ -109,7 +110,8 @@ class Open(NamedTuple):
     """An open element, with what its descendants need to know about the elements around them."""
 
     tag: str
-    furniture: bool  # for certain, by its tag or one around it
+    textless: bool
+    furniture: bool  # by its tag or one around it
     element: int
     linked: bool
     path: int  # number of its path of blocks with their names
@@ -120,6 +122,7 @@ class Open(NamedTuple):
 
 
 class Block(NamedTuple):
+    furniture: bool
     path: int
     tag: str
     root: int
@@ -132,10 +135,10 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 
 
 def text_blocks(html: str) -> list[Block]:
-    """Each block outside page furniture, in page order."""
+    """Each block with text, in page order; what of it stands in furniture as a block of its own."""
     found: list[tuple[Open, list[tuple[str, int, bool]]]] = []
     tree = Tree()
-    page = Open("", False, 0, False, 0, "", 0, False, -1)
+    page = Open("", False, False, 0, False, 0, "", 0, False, -1)
     stack: list[Open] = []
     places: dict[str, list[int]] = {}  # of each tag among the open elements
     paths: dict[tuple[int, str, str], int] = {}
@@ -172,11 +175,11 @@ def text_blocks(html: str) -> list[Block]:
         if not space and stack and stack[-1].tag == "head":
             end_head()
         top = stack[-1] if stack else page
-        if top.furniture:
+        if top.textless:
             return
         if leaf is None and not space:
             leaf = top
-        tree.chars[top.element] += 0 if space else len(raw)
+        tree.chars[top.element] += 0 if space or top.furniture else len(raw)
         parts.append((unescape(raw), top.element, top.linked))
 
     at = 0
@@ -215,7 +218,7 @@ def text_blocks(html: str) -> list[Block]:
         places.setdefault(tag, []).append(len(stack))
         stack.append(
             Open(
-                tag, top.furniture or tag in FURNITURE_TAGS, element, top.linked or tag == "a", paths.setdefault((top.path, tag, names), len(paths) + 1) if block else top.path, tag if block else top.block,
+                tag, top.textless or tag in TEXTLESS_TAGS, top.furniture or tag in FURNITURE_TAGS, element, top.linked or tag == "a", paths.setdefault((top.path, tag, names), len(paths) + 1) if block else top.path, tag if block else top.block,
                 top.root if top.inside else element if main or tag in ROOTS else top.root, top.inside or main, len(stack) if tag in CONTAINERS else top.container,
             )
         )
@@ -224,16 +227,17 @@ def text_blocks(html: str) -> list[Block]:
     flush()
     hidden, out = tree.hidden(), []
     for place, all_parts in found:
-        seen = [x for x in all_parts if not hidden[x[1]]]
-        text = " ".join("".join(x[0] for x in seen).split())
-        if text:
-            chars = sum(len(x[0].strip()) for x in seen)
-            out.append(Block(place.path, place.block, place.root, place.inside, text, sum(len(x[0].strip()) for x in seen if x[2]) / (chars or 1)))
+        for furniture in (False, True):
+            own = [x for x in all_parts if (place.furniture or hidden[x[1]]) == furniture]
+            text = " ".join("".join(x[0] for x in own).split()) if own else ""
+            if text:
+                chars = sum(len(x[0].strip()) for x in own)
+                out.append(Block(furniture, place.path, place.block, place.root, place.inside, text, sum(len(x[0].strip()) for x in own if x[2]) / (chars or 1)))
     return out
 
 
-#: What the score of a block outside of the article or main element counts, where a page has one.
-OUTSIDE = 0.1
+#: What the score of a block outside of the article or main element counts, where a page has one, and that of one in furniture.
+OUTSIDE, FURNITURE = 0.1, 0.02
 
 
 class Sums:
@@ -252,23 +256,30 @@ class Sums:
 
 def main_text(html: str, smoothing: float = 0.5, share: float = 0.15) -> str:
     blocks = text_blocks(html)
-    paths: dict[int, Sums] = {}
-    roots: dict[int, Sums] = {}
+    paths: dict[tuple[int, bool], Sums] = {}
+    roots: dict[tuple[int, bool], Sums] = {}
     sizes = []
     for b in blocks:
         size = len(b.text) * (1 - (1 - LINKED_WEIGHT) * b.linked if b.linked > MOSTLY else 1), sum(c in PUNCTUATION for c in b.text)
         sizes.append(size)
-        paths.setdefault(b.path, Sums()).add(*size, len(b.text), b.linked * len(b.text))
-        roots.setdefault(b.root, Sums()).add(*size, len(b.text), b.linked * len(b.text))
-    with_main = any(b.inside for b in blocks)
-    prior = lambda b: OUTSIDE if with_main and not b.inside else 1.0
-    whole = {b.root: prior(b) * roots[b.root].chars / roots[b.root].n * (1 + roots[b.root].marks / roots[b.root].n) for b in blocks}
-    least = share * max(whole.values(), default=0.0)
+        paths.setdefault((b.path, b.furniture), Sums()).add(*size, len(b.text), b.linked * len(b.text))
+        roots.setdefault((b.root, b.furniture), Sums()).add(*size, len(b.text), b.linked * len(b.text))
+    with_main = any(b.inside and not b.furniture for b in blocks)
+    prior = lambda b: (OUTSIDE if with_main and not b.inside else 1.0) * (FURNITURE if b.furniture else 1.0)
+
+    def of_root(b: Block) -> float:
+        x = roots[b.root, b.furniture]
+        return prior(b) * x.chars / x.n * (1 + x.marks / x.n)
+
+    whole = {b.root: of_root(b) for b in blocks if not b.furniture}
+    if not whole:
+        return ""
+    least = share * max(whole.values())
 
     def score(b: Block, size: tuple[float, int]) -> float:
         if b.linked > MOSTLY:
             return size[0] * (1 + size[1])
-        path, root = paths[b.path], roots[b.root]
+        path, root = paths[b.path, b.furniture], roots[b.root, b.furniture]
         weight = 0.0 if path.linked > MOSTLY * path.text else smoothing
         smooth = lambda x, y: (1 - weight) * x / path.n + weight * y / root.n
         return smooth(path.chars, root.chars) * (1 + smooth(path.marks, root.marks))
@@ -278,7 +289,7 @@ def main_text(html: str, smoothing: float = 0.5, share: float = 0.15) -> str:
     section: list[bool] = []
     for i in range(len(blocks) - 1, -1, -1):
         b = blocks[i]
-        if b.tag not in HEADINGS:
+        if b.furniture or b.tag not in HEADINGS:
             section.append(kept[i])
             continue
         kept[i] = whole[b.root] >= least and (b.tag == "h1" or not section or any(section))
