@@ -1,15 +1,16 @@
 """Personal data by weak supervision: labelers vote, EM weighs them, a span classifier decides (op3).
 
 Patterns find candidate spans: emails, IP addresses, card and phone numbers, and looser forms
-of these. Five labelers vote for, against or not at all on each: the strict pattern, its
-checksum or ranges, a gazetteer of prefixes and domains, the words before it, and its
-neighbouring characters. Expectation-maximisation over the counts of vote patterns estimates
+of these. Six labelers vote for, against or not at all on each: the strict pattern, its
+checksum or ranges, a gazetteer of prefixes and domains, the words before it, its neighbouring
+characters, and the grouping of its digits. Expectation-maximisation over the counts of vote patterns estimates
 how reliable each labeler is; the posteriors train a naive Bayes classifier on votes and shape.
 Candidates that pass it and touch no strict span are added to the strict spans, which stay.
 
 Only the counts of distinct patterns reach the driver; their number is bounded by the number
-of votes and shapes, whatever the input. Everything else is DataFrame functions. All patterns
-use possessive loops, so a long run of any character costs linear time and no stack.
+of votes and shapes, whatever the input. Everything else is DataFrame functions. A pattern goes
+over a run of characters at most twice, so a long one costs linear time and no stack; texts
+without a character that all matches of a pattern hold are not searched for it.
 
 Edge cases: a null text counts as empty; empty texts and tables give no spans; repeated rows
 are treated alike; further columns are ignored. Positions are code points, end exclusive.
@@ -35,7 +36,7 @@ STRICT = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9-]{1,63}+\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z]{2,12}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(](?:at|AT)[\])]\x20?[A-Za-z0-9.-]{1,63}+\x20?[\[(](?:dot|DOT)[\])]\x20?[A-Za-z]{2,12}",
     "phone": r"(?<![0-9+.(-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
@@ -43,11 +44,17 @@ LOOSE = {
 CUES = r"(?i)(?:phone|tel|call|mobile|cell|fax|dial|contact|e-?mail|mail|write|reach|address|card|visa|mastercard|amex|credit|debit|ssn|social security|ip|host|server|login)[^A-Za-z0-9]{0,6}(?:(?:is|at|number|no|me|us|to)[^A-Za-z0-9]{1,4}){0,2}$"
 COUNTER_CUES = r"(?i)(?:order|invoice|isbn|issn|version|ver|figure|fig|table|chapter|section|page|ref|item|part|serial|build|release|year|vol|doi)[^A-Za-z0-9]{0,6}(?:(?:is|number|no)[^A-Za-z0-9]{1,4})?$"
 DOMAINS = r"(?i)\.(?:com|org|net|edu|gov|mil|int|info|io|co|uk|de|fr|es|it|nl|ch|at|be|eu|us|ca|au|jp|cn|in|br|mx|ru|pl|se|no|dk|fi)$"
-VOTES, SHAPES = 5, 3
+VOTES, SHAPES, CONTEXT, EDGE = 6, 3, 3, 4
+#: A telephone number in groups of three, three and four digits that go together.
+GROUPED = r"(?:\([0-9]{3}\)[\x20-]?[0-9]{3}-|(?<![0-9])[0-9]{3}([\x20.-])[0-9]{3}\1)[0-9]{4}$"
 PER_LABELER = ("for", "against", "none")
 
 
-def _found(text: Column, pattern: str, kind: str, strict: bool) -> Column:
+#: What every match of a pattern holds.
+NEEDS = {("email", True): "@", ("phone", True): "+"}
+
+
+def _found(text: Column, pattern: str, kind: str, strict: bool, has_digit: Column) -> Column:
     """All matches with code-point positions: lengths of the pieces between and of the matches before."""
     empty = F.from_json(F.lit("[]"), "array<struct<kind:string,strict:boolean,start:int,end:int,match:string,before:string,after:string>>")
 
@@ -63,8 +70,9 @@ def _found(text: Column, pattern: str, kind: str, strict: bool) -> Column:
 
         return F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
 
-    pieces = F.split(text, pattern, -1)
-    return F.get(F.transform(F.array(pieces), lambda p: F.when(F.size(p) > 1, walk(p)).otherwise(empty)), F.lit(0))
+    needed = F.contains(text, F.lit(NEEDS[kind, strict])) if (kind, strict) in NEEDS else text.rlike(r"[\[(](?:at|AT)[\])]") if kind == "email" else has_digit
+    found = F.get(F.transform(F.array(F.split(text, pattern, -1)), lambda p: F.when(F.size(p) > 1, walk(p)).otherwise(empty)), F.lit(0))
+    return F.when(needed, found).otherwise(empty)
 
 
 def _digits(match: Column) -> Column:
@@ -99,14 +107,25 @@ def _votes(c: Column) -> Column:
     kind, match = c["kind"], c["match"]
     digits = _digits(match)
     strict = F.when(c["strict"] & c["ok"], "for").when(c["strict"], "against").otherwise("none")
-    check = F.when(kind == "ssn", F.when(match.rlike("^(?:000|666|9)|-00-|-0000$"), "against").otherwise("for")).when((kind == "phone") & ~F.length(digits).between(9, 15), "against").when(c["strict"] & ~c["ok"], "against").when(kind.isin("card", "ip") & c["ok"], "for").otherwise("none")
-    prefix = F.when(kind == "card", F.when(digits.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6[045])"), "for").otherwise("against")).when((kind == "phone") & c["strict"], F.when(match.rlike(r"^\+0"), "against").otherwise("for")).when(kind == "phone", F.when(digits.rlike("^[2-9]"), "none").otherwise("against")).when((kind == "email") & c["strict"], F.when(match.rlike(DOMAINS), "for").otherwise("none")).when(kind == "ip", F.when(match.rlike("^0"), "against").otherwise("none")).otherwise("none")
+    plain = match.rlike(GROUPED)
+    check = F.when(kind == "ssn", F.when(match.rlike("^(?:000|666|9)|-00-|-0000$"), "against").otherwise("for")).when(c["strict"] & ~c["ok"], "against").when(kind.isin("card", "ip") & c["ok"], "for").when((kind == "phone") & ~c["strict"] & digits.rlike("^[2-9][0-9]{2}[2-9]"), "for").otherwise("none")
+    prefix = (
+        F.when(kind == "card", F.when(digits.rlike("^(?:4|5[1-5]|2[2-7]|3[47]|6[045])"), "for").otherwise("against"))
+        .when((kind == "phone") & c["strict"], F.when(match.rlike(r"^\+0"), "against").otherwise("for"))
+        .when(kind == "phone", F.when(digits.rlike("^[2-9]"), "for").otherwise("none"))
+        .when((kind == "email") & c["strict"], F.when(match.rlike(DOMAINS), "for").otherwise("none"))
+        .when(kind == "ip", F.when(match.rlike("^0"), "against").otherwise("none"))
+        .otherwise("none")
+    )
     context = F.when(c["before"].rlike(CUES), "for").when(c["before"].rlike(COUNTER_CUES), "against").otherwise("none")
-    edge = F.when(c["before"].rlike(r"[A-Za-z0-9_/=.-]$") | c["after"].rlike(r"[A-Za-z0-9_/=-]"), "against").otherwise("none")
+    glued = c["before"].rlike(r"[A-Za-z0-9_/=.-]$") | c["after"].rlike(r"[A-Za-z0-9_/=-]")
+    apart = c["before"].rlike(r"(?:^|[\s:,;(\[])$") & c["after"].rlike(r"^(?:$|[\s.,;:!?)\]])")
+    edge = F.when(glued, "against").when(apart, "for").otherwise("none")
+    shape = F.when((kind == "phone") & plain | kind.isin("ssn") | (kind == "email") & ~c["strict"], "for").when((kind == "card") & match.rlike(r"^(?:[0-9]{4}[\x20-]){3}[0-9]{4}$"), "for").otherwise("none")
     size = F.least(F.floor(F.length(match) / 4), F.lit(9)).cast("string")
     share = F.floor(4 * F.length(digits) / F.greatest(F.length(match), F.lit(1))).cast("string")
     breaks = F.least(F.length(F.regexp_replace(match, "[A-Za-z0-9]", "")), F.lit(5)).cast("string")
-    return F.concat_ws("|", kind, F.concat_ws(",", strict, check, prefix, context, edge), F.concat_ws(",", size, share, breaks))
+    return F.concat_ws("|", kind, F.concat_ws(",", strict, check, prefix, context, edge, shape), F.concat_ws(",", size, share, breaks))
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -115,8 +134,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     base also carries its patterns, for they take part in the estimate.
     """
     order = {k: i for i, k in enumerate((*KINDS, "ssn"))}
-    d = docs.select("doc_id", text_of().alias("text"))
-    all_found = [_checked(_found(F.col("text"), p, k, True), k, order[k]) for k, p in STRICT.items()] + [_checked(_found(F.col("text"), p, k, False), k, order[k]) for k, p in LOOSE.items()]
+    d = docs.select("doc_id", text_of().alias("text")).withColumn("digit", F.col("text").rlike("[0-9]"))
+    text, digit = F.col("text"), F.col("digit")
+    all_found = [_checked(_found(text, p, k, strict, digit), k, order[k]) for strict, patterns in ((True, STRICT), (False, LOOSE)) for k, p in patterns.items()]
     d = d.select("doc_id", F.array_sort(F.concat(*all_found)).alias("found"))
     return d.select("doc_id", F.filter("found", lambda c: c["base"]).alias("base"), F.filter("found", lambda c: ~c["base"]).alias("more"))
 
@@ -179,8 +199,9 @@ def find(docs: DataFrame, least: float = 0.9) -> DataFrame:
     counts = {r["votes"]: r["n"] for r in votes.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
     posterior, _ = expectation_maximisation(counts)
     probability = classifier(counts, posterior)
-    # without a vote for it there is no evidence of personal data, only of an unusual shape
-    good = sorted(p for p in counts if probability(p) >= least and posterior[p] >= least and "for" in p.split("|")[1])
+    # without a vote for it there is no evidence of personal data, only of an unusual shape; nothing is added that its surroundings speak against
+    fits = lambda votes: "for" in votes and "against" not in votes[CONTEXT:EDGE + 1]
+    good = sorted(p for p in counts if probability(p) >= least and posterior[p] >= least and fits(p.split("|")[1].split(",")))
     passed = lambda c: F.array_contains(F.array(*[F.lit(p) for p in good]), c["votes"]) if good else F.lit(False)
     apart = lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     return found.select("doc_id", "base", F.filter("more", lambda c: passed(c) & apart(c)).alias("added"))
@@ -191,11 +212,13 @@ def joined(spans: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, the number of base spans by kind, base_sha256 and all spans as text."""
+    """doc_id, the number of base spans by kind, base_sha256, all spans as text, their number and that of the added ones."""
     of_kind = lambda k: F.filter("base", lambda s: s["kind"] == k)
     return found.select(
         "doc_id",
         *[F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
         joined(F.array_sort(F.concat("base", "added"))).alias("spans"),
+        (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
+        F.size("added").cast("long").alias("n_added"),
     )

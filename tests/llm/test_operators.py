@@ -133,12 +133,26 @@ def test_strict_personal_data_is_kept(spark, documents, texts):
 
 
 def test_em_tells_good_labelers_from_bad():
-    counts = {"phone|for,none,for,for,none|4,3,3": 60, "phone|none,none,none,for,none|3,3,2": 30, "card|against,against,against,none,against|4,4,0": 80, "card|against,against,for,against,none|4,4,0": 20}
+    counts = {"phone|for,none,for,for,for,for|4,3,3": 60, "phone|none,none,none,for,none,for|3,3,2": 30, "card|against,against,against,none,against,none|4,4,0": 80, "card|against,against,for,against,none,none|4,4,0": 20}
     posterior, odds = pii.expectation_maximisation(counts)
     assert odds["0=for"] > 1 > -1 > odds["0=against"]
-    assert posterior["phone|for,none,for,for,none|4,3,3"] > 0.99 > 0.01 > posterior["card|against,against,against,none,against|4,4,0"]
+    assert posterior["phone|for,none,for,for,for,for|4,3,3"] > 0.99 > 0.01 > posterior["card|against,against,against,none,against,none|4,4,0"]
     probability = pii.classifier(counts, posterior)
-    assert probability("phone|none,none,none,for,none|3,3,2") > 0.9 > 0.1 > probability("card|against,against,for,against,none|4,4,0")
+    assert probability("phone|none,none,none,for,none,for|3,3,2") > 0.9 > 0.1 > probability("card|against,against,for,against,none,none|4,4,0")
+
+
+def test_added_spans_and_numbers_that_are_none(spark, documents, texts):
+    planted = ["(017) 555-7713", "(415) 555-2671", "415-555-2672", "212.555.0188", "ann.lee (at) mail.example (dot) org", "219-09-9999"]
+    plain = ["4736962573099581", "12-34-5678", "1234567", "3.1.4", "2024-11-28", "555-77", "v017-555-7713x", "10 000 000", "0.5-0.75", "978-3-16-148410-0", "order no 123-45-6789"]
+    own = {30_000 + k: f"ordinary words here {x} and more of them" for k, x in enumerate(planted)}
+    none = {31_000 + k: f"ordinary words here {x} and more of them" for k, x in enumerate(plain)}
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame(list((own | none).items()), "doc_id long, text string"))
+    got = rows(pii.digest(pii.find(docs)))
+    for i, x in zip(own, planted, strict=True):
+        assert got[i]["spans"].split(":")[1:] == ["20", str(20 + len(x))] and (got[i]["n_added"], got[i]["n_spans"]) == (1, 1), x
+    assert {x: got[i]["n_added"] for i, x in zip(none, plain, strict=True)} == dict.fromkeys(plain, 0)
+    assert all(got[i]["n_added"] == 0 for i in texts if i < 10_000)
+    assert got[10_015]["spans"].split(",") == ["phone:11:25", "phone:36:48", "ssn:82:93"]
 
 
 # near-duplicates
