@@ -33,6 +33,8 @@ SENTENCES = {
     "you may not use this file except in compliance with the license": "apache-compliance",
     "apache license version 2 0": "apache-title",
     "apache license": "apache-title",
+    "version 2 0 january 2004": "apache-version",
+    "terms and conditions for use reproduction and distribution": "apache-terms",
     "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache-warranty",
     "this work is licensed under the gnu general public license version 3": "gpl3-notice",
     "licensed under the gnu general public license version 3": "gpl3-notice",
@@ -43,6 +45,13 @@ SENTENCES = {
     "version 2 june 1991": "gpl-version-2",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-later",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-later",
+    "gnu lesser general public license": "lgpl-title",
+    "version 2 1 february 1999": "lgpl-version-21",
+    "gnu affero general public license": "agpl-title",
+    "version 3 19 november 2007": "agpl-version-3",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl21-later",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-later",
     "licensed under the gnu lesser general public license version 3": "lgpl3-notice",
     "licensed under the gnu lesser general public license version 2 1": "lgpl21-notice",
     "licensed under the gnu affero general public license version 3": "agpl3-notice",
@@ -100,10 +109,13 @@ SENTENCES = {
 #: Ordered rules: a licence where its pattern occurs in the identifiers, written with a space before and after each; with the licences that it then hides.
 RULES = (
     ("MIT", " (?:mit-notice|mit-grant(?: [a-z0-9-]+){0,2} mit-(?:condition|warranty)) ", ()),
-    ("Apache-2.0", " (?:apache-notice|apache-title(?: [a-z0-9-]+){0,3} apache-(?:compliance|warranty)) ", ()),
-    ("AGPL-3.0", " agpl3-notice ", ()),
-    ("LGPL-3.0", " lgpl3-notice ", ()),
-    ("LGPL-2.1", " lgpl21-notice ", ()),
+    ("Apache-2.0", " (?:apache-notice|apache-title(?: [a-z0-9-]+){0,3} apache-(?:version|compliance|warranty)) ", ()),
+    ("AGPL-3.0-or-later", " agpl3-later ", ("AGPL-3.0",)),
+    ("LGPL-3.0-or-later", " lgpl3-later ", ("LGPL-3.0",)),
+    ("LGPL-2.1-or-later", " lgpl21-later ", ("LGPL-2.1",)),
+    ("AGPL-3.0", " (?:agpl3-notice|agpl-title agpl-version-3) ", ()),
+    ("LGPL-3.0", " (?:lgpl3-notice|lgpl-title gpl-version-3) ", ()),
+    ("LGPL-2.1", " (?:lgpl21-notice|lgpl-title lgpl-version-21) ", ()),
     ("GPL-3.0-or-later", " gpl3-later ", ("GPL-3.0",)),
     ("GPL-2.0-or-later", " gpl2-later ", ("GPL-2.0",)),
     ("GPL-3.0", " (?:gpl3-notice|gpl-title gpl-version-3) ", ()),
@@ -124,7 +136,7 @@ RULES = (
     ("Public-domain", " public-domain ", ()),
 )
 #: Every known sentence holds one of these words, so a text without any needs no look-up.
-HINTS = ("licen", "public domain", "permi", "warrant", "redistribut", "compliance", "version", "apache", "rights", "neither the name", "free software", "notice")
+HINTS = ("licen", "public domain", "permi", "warrant", "redistribut", "compliance", "version", "apache", "rights", "neither the name", "free software", "notice", "terms and conditions")
 
 
 #: A known sentence from one boundary to another, longest first; its words may lie on both sides of a boundary ("v. 2.0", "software: you", a wrapped line).
