@@ -87,7 +87,7 @@ def shingle_hashes(word_hashes: Column, n: int = 5) -> Column:
     return F.when(size >= n, runs).when(size > 0, F.array(F.xxhash64(word_hashes))).otherwise(F.slice(word_hashes, 1, 0))
 
 
-def range_starts(df: DataFrame, key: str, rows: int = 256, most: int = 8192) -> tuple[list[int], int | None]:
+def range_starts(df: DataFrame, key: str, rows: int = 256, most: int = 65536) -> tuple[list[int], int | None]:
     """Ids that start ranges of about equally many rows, and the smallest id. At most `most` ids reach the driver."""
     k = F.coalesce(F.col(key), F.lit(LOWEST))
     n, low = df.agg(F.count(F.lit(1)), F.min(k)).first()
@@ -99,7 +99,7 @@ def range_starts(df: DataFrame, key: str, rows: int = 256, most: int = 8192) ->
 
 
 def range_of(key: Column, starts: list[int]) -> Column:
-    """Index of the last start that is at most key, by two levels of at most about 90 comparisons."""
+    """Index of the last start that is at most key, by two levels of at most 256 comparisons."""
     if len(starts) < 2:
         return F.lit(0)
     step = max(1, int(len(starts) ** 0.5))
