@@ -23,6 +23,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: At most so many ids are broadcast.
 BROADCAST_IDS = 500_000
+#: Shorter texts go; clean ones of fewer than ten words stay.
+LEAST_WORDS = 3
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -44,7 +46,7 @@ def _joined(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     keyed = _keyed(docs)
-    gone = cut(quality.quality_rules(keyed, carry=(KEY,)).where("not kept").select("doc_id", KEY).distinct(), "gone")
+    gone = cut(quality.quality_rules(keyed, carry=(KEY,), least_words=LEAST_WORDS).where("not kept").select("doc_id", KEY).distinct(), "gone")
     return _joined(keyed, gone, "left_anti").select(docs.columns)
 
 
