@@ -20,7 +20,7 @@ def test_stages_take_effect(spark, documents, tmp_path):
     assert [d.columns for d in seen[1:5]] == [docs.columns] * 4
     texts = [{r["doc_id"]: r["text"] for r in d.collect()} for d in seen[:5]]
 
-    kept = {r["doc_id"] for r in quality.quality_rules(docs).where("kept").collect()}
+    kept = {r["doc_id"] for r in quality.quality_rules(docs, least_words=3).where("kept").collect()}
     assert set(texts[1]) == kept and seen[1].count() == len(kept)
 
     groups = components_of({i: t or "" for i, t in texts[1].items()}, 80)
