@@ -101,6 +101,20 @@ def test_stage_labels(spark):
     assert d[3]["stability"] == ["A:stable_pass", "B:stable_pass", "C:stable_fail"]
 
 
+def test_uncertain_distances_are_boundaries_at_their_stage(spark):
+    rows = [("s", a, t, "victory", h, "r") for a, hs in (("A", (50.0, 50.0, 50.0)), ("B", (40.0, 46.0, 43.0))) for t, h in enumerate(hs)]
+    rows += [("t", "A", t, "victory", 50.0, "r") for t in range(3)] + [("t", "D", t, "victory" if t == 0 else "defeat", 120.0, "r") for t in range(3)]
+    t = spark.createDataFrame(rows, TRIALS)
+    staged = trials.stages(t, [1, 2, 3], "0.9", 5.0)
+    plain = {(r["sample"], r["stage"]): r for r in trials.stage_decisions(staged, [1, 2, 3], 5.0, 1.0, 0.0, 1).collect()}
+    wide = {(r["sample"], r["stage"]): r for r in trials.stage_decisions(staged, [1, 2, 3], 5.0, 1.0, 0.0, 1, trials.stage_errors(t, 2), 1.0).collect()}
+    assert plain["s", 2]["hp_boundary"] == [] and "hp_boundary" not in plain["s", 2]["reasons"]
+    assert wide["s", 2]["hp_boundary"] == wide["s", 2]["variance_boundary"] == ["B"] and "hp_boundary" in wide["s", 2]["reasons"]
+    assert wide["s", 1]["variance_boundary"] == wide["s", 3]["variance_boundary"] == []
+    assert wide["t", 2]["reference_sensitive"] and not wide["s", 2]["reference_sensitive"]
+    assert wide["s", 2]["stability"][1] == "B:borderline"
+
+
 def test_scalars(spark):
     words = ["abc", "", "é漢", "a" * 100]
     d = spark.createDataFrame([(w,) for w in words], "w string").select("w", scalar.fnv1a64(F.col("w")).alias("h"), scalar.seed_for(F.col("w")).alias("s"), scalar.hash_uniform(F.col("w")).alias("u"))
