@@ -1,6 +1,7 @@
 """Each operator against a plain brute-force version, with awkward rows and empty tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -271,6 +272,51 @@ def test_a_statistic_alone_reaches_the_cut(spark, name, value, share):
     assert got == {i: i < int(n * share) for i in range(n)}
 
 
+def plain_distances(x):
+    """The estimates of one group by numpy: three starts, three concentration steps, least determinant, rescaled."""
+    import numpy as np
+
+    floors = np.array(list(quality.FEATURES.values()))
+    rank = lambda v, p: np.sort(v)[max(math.ceil(p * len(v)), 1) - 1]
+    moments = lambda y: (y.mean(0), np.cov(y.T, bias=True) + np.diag(floors))
+    centre = np.array([rank(c, 0.5) for c in x.T])
+    spread = np.sqrt((1.4826 * np.array([rank(c, 0.5) for c in abs(x - centre).T])) ** 2 + floors)
+    estimates = [(centre, np.diag(spread**2)), moments(x), moments(centre + spread * np.tanh((x - centre) / spread))]
+    found = []
+    for m, c in estimates:
+        for _ in range(3):
+            d2 = ((x - m) * np.linalg.solve(c, (x - m).T).T).sum(1)
+            m, c = moments(x[d2 <= rank(d2, 0.5) * (1 + 1e-12)])
+        found.append((np.linalg.slogdet(c)[1], ((x - m) * np.linalg.solve(c, (x - m).T).T).sum(1)))
+    d2 = min(found, key=lambda f: f[0])[1]
+    return d2 / max(1.0, min(quality.CONSISTENCY, rank(d2, 0.5) / quality.CHI2_MEDIAN))
+
+
+def test_distances_equal_plain_estimates(spark):
+    import random
+
+    import numpy as np
+
+    r, docs = random.Random(12), {}
+    for k in range(400):
+        words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(r.randint(12, 120))]
+        if k % 9 == 0:
+            words = [w + "%%%$$$" for w in words]
+        lines = [" ".join(words[i : i + 10]) for i in range(0, len(words), 10)]
+        docs[k] = "\n".join(lines + lines[:1] * (k % 5 == 0))
+    rows_ = [(k, t, "en", f"s{k % 2}") for k, t in docs.items()]
+    got = rows(quality.quality_rules(spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string"), min_group=50))
+    for group in (0, 1):
+        own = [k for k in docs if k % 2 == group and not got[k]["base_failed"]]
+        n = lambda k: max(got[k]["n_words"], 1)
+        lines = {k: sum(bool(WORD.search(x)) for x in docs[k].split("\n")) for k in own}
+        x = np.array([[math.log1p(n(k)), math.log(got[k]["word_chars"] / n(k)), math.log1p(got[k]["n_symbols"] / n(k)), math.sqrt(got[k]["n_dup_lines"] / lines[k]), math.sqrt(got[k]["n_repeat_words"] / n(k))] for k in own])
+        expected = plain_distances(x)
+        assert [got[k]["distance"] for k in own] == pytest.approx(expected.tolist(), rel=1e-6, abs=1e-6)
+        assert [got[k]["kept"] for k in own] == (expected <= quality.CHI2_CUT).tolist()
+        assert not all(got[k]["kept"] for k in own)
+
+
 # licences
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from decispark.llm import bpe, quality, secrets
+from decispark.llm import bpe, mixing, quality, secrets
 
 from .test_operators import WORD, components_of
 
@@ -35,6 +35,7 @@ def test_stages_take_effect(spark, documents, tmp_path):
     copies = {r["doc_id"]: r["n"] for r in seen[4].groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert seen[4].select("size", "ids", "target", "copies", "copy", "kept").distinct().collect() == [("x", 1, "own", -1, "c", 2)]
     assert max(copies.values()) <= 3 and all(texts[4][i] == texts[3][i] for i in copies)
+    assert copies == {r["doc_id"]: r["copies"] for r in mixing.mix(seen[3].select("doc_id", "text", "source")).where("copies > 0").collect()}
     words = lambda d: sum(len(WORD.findall(r["text"] or "")) for r in d.collect())
     assert abs(words(seen[4]) / words(seen[3]) - 1) < 0.1
 
