@@ -73,7 +73,9 @@ def _threshold(rows: DataFrame, budgets: DataFrame, tables: Tables) -> DataFrame
         state = tables.cut(state.join(found, "k", "left").select("k", "budget", F.coalesce("upto", "taken_sum").alias("taken_sum"), F.coalesce(last, "cut_h").alias("cut_h"), "edge"), "state")
         if shift:
             edges = state.where("edge is not null").select("k", "edge")
-            rows = tables.cut(rows.join(edges, "k").where(F.shiftright("h", shift) == F.col("edge")).select("k", "h", "size"), "boundary")
+            rows = rows.join(edges, "k").where(F.shiftright("h", shift) == F.col("edge")).select("k", "h", "size")
+            if bits == LEVELS[0]:
+                rows = tables.cut(rows, "boundary")
         state = state.drop("edge")
     return state.where("cut_h >= 0").select("k", "cut_h", "taken_sum")
 
