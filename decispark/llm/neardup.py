@@ -33,9 +33,11 @@ from . import shingles
 from .common import Tables, small_batches
 
 #: At most so many rows are broadcast; beyond, the join shuffles both sides.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 #: Members of a bucket that are compared in one block, and the shingles that they may have together.
 BLOCK, BLOCK_SHINGLES = 2_000, 2_000_000
+#: Members of buckets, more or less, that a task compares.
+MEMBERS_PER_TASK = 4_000
 #: A class of more documents is joined to them by a broadcast of its own, for a third of all rows may be copies of one text.
 HOT_COPIES = 100_000
 
@@ -164,11 +166,12 @@ def alike(x: bytes, y: bytes, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _close_pairs(f: pd.DataFrame, rows: int, threshold: float, slack: float, label: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _close_pairs(f: pd.DataFrame, rows: int, threshold: float, slack: float, label: np.ndarray, seen: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """For each member of a bucket (or of two of its blocks) the later ones of other labels whose estimate is near the threshold, likeliest first.
 
     Members are in order of n_shingles. Every pair of classes is looked at in its first common
-    band only, so in one bucket. The caller may change labels between two members.
+    band only, so in one bucket. The caller may change labels between two members,
+    and mark members as seen, of which no two are compared.
     """
     registers, n, own = _registers(f["sketch"].tolist()), f["n_shingles"].to_numpy(float), f["own"].to_numpy()
     inner = f["lo"].iloc[0] == f["hi"].iloc[0]
@@ -176,6 +179,8 @@ def _close_pairs(f: pd.DataFrame, rows: int, threshold: float, slack: float, lab
     for i in range(len(f) - 1):
         j = np.arange(i + 1, int(np.searchsorted(n, n[i] / threshold, "right")))
         j = j[label[j] != label[i]]
+        if seen is not None and seen[i]:
+            j = j[~seen[j]]
         if not inner:
             j = j[own[j] != own[i]]
         if not len(j):
@@ -197,7 +202,7 @@ def _hopeful(f: pd.DataFrame, rows: int, threshold: float, slack: float) -> list
     """Ids of the members that have a close pair."""
     f = f.sort_values(["n_shingles", "id"])
     seen = np.zeros(len(f), bool)
-    for i, j in _close_pairs(f, rows, threshold, slack, pd.factorize(f["grp"])[0]):
+    for i, j in _close_pairs(f, rows, threshold, slack, pd.factorize(f["grp"])[0], seen):
         seen[i] = True
         seen[j] = True
     return f["id"].to_numpy()[seen].tolist()
@@ -258,7 +263,9 @@ def cross_links(docs: DataFrame, members: DataFrame, classes: DataFrame, known:
         for f in _by_bucket(frames, bucket):
             yield pd.DataFrame(_bucket_links(f, rows, percent, slack), columns=["a", "b"]).astype("int64")
 
-    dealt = lambda x: x.repartition(*bucket).sortWithinPartitions(*bucket)
+    # by the number of members, not by their bytes: sketches are small and their comparisons many
+    tasks = max(2 * d.sparkSession.sparkContext.defaultParallelism, -(-d.count() // MEMBERS_PER_TASK))
+    dealt = lambda x: x.repartition(tasks, *bucket).sortWithinPartitions(*bucket)
     close = tables.cut(dealt(d).mapInPandas(hopeful, "key bigint, lo int, hi int, id bigint"), "close")
     sets = shingle_sets(docs, close.select("id"), known, tables)
     full = d.join(_if_small(close), [*bucket, "id"], "left_semi").join(sets, "id")
