@@ -77,6 +77,15 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACES, -1), "")
 
 
+#: Lower-cases A-Z and makes a space of every ASCII character that is neither letter nor digit.
+PLAIN = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
+
+
+def plain_words(raw: bytes) -> list[bytes]:
+    """Lower-cased words of letters, digits and characters beyond ASCII of a text in UTF-8."""
+    return raw.translate(PLAIN).split()
+
+
 def shingle_hashes(word_hashes: Column, n: int = 5) -> Column:
     """Hash of each run of n words; of the whole sequence where there are 1 to n - 1 words; empty without words."""
     size = F.size(word_hashes)

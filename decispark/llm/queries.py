@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, html, licences, mixing, neardup, pii, quality, secrets, token_store
+from . import bpe, decontamination, fingerprints, html, importance, licences, mixing, neardup, pii, quality, secrets, token_store, whitening
 from .common import shared_path, table
 
 RANKS, VOCABULARY = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json"
@@ -71,6 +71,21 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.digest(decontamination.scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = importance.resample(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return d.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return d.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_mixing": op2_mixing,
@@ -82,11 +97,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_html_text": op10_html_text,
+    "op11_decontamination": op11_decontamination,
+    "op12_importance": op12_importance,
+    "op13_whitening": op13_whitening,
 }
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
+_PLAIN = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_decontamination": f"""
+WITH d AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
+i AS (SELECT item_id, {_PLAIN} AS w FROM benchmark),
+windows AS (
+  SELECT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS g
+  FROM (SELECT item_id, w, least(len(w), 10) AS k, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS p FROM i WHERE len(w) > 0)),
+runs AS (
+  SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS g
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)),
+hits AS (SELECT doc_id, item_id, k, p FROM runs JOIN windows USING (k, g)),
+words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM (SELECT DISTINCT doc_id, k, p FROM hits)) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op12_importance": f"""
+WITH steps AS (SELECT list(list_reduce([i] || range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+d AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
+dw AS (SELECT word, count(*) AS n FROM (SELECT unnest(w) AS word FROM d) GROUP BY 1),
+tw AS (SELECT word, count(*) AS n FROM (SELECT unnest({_PLAIN}) AS word FROM benchmark) GROUP BY 1),
+raw AS (SELECT word, hex(encode(word)) AS x FROM (SELECT word FROM dw UNION SELECT word FROM tw)),
+buckets AS (
+  SELECT word, xor(list_reduce([4294967295] || list_transform(range(0, len(x) // 2), lambda j: ('0x' || substr(x, (2 * j + 1)::INT, 2))::BIGINT), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])), 4294967295) % 10000 AS b
+  FROM raw, steps),
+own AS (SELECT b, sum(n)::BIGINT AS s FROM dw JOIN buckets USING (word) GROUP BY 1),
+target AS (SELECT b, sum(n)::BIGINT AS t FROM tw JOIN buckets USING (word) GROUP BY 1),
+totals AS (SELECT (SELECT coalesce(sum(s), 0)::BIGINT FROM own) AS ss, (SELECT coalesce(sum(t), 0)::BIGINT FROM target) AS tt),
+gains AS (SELECT b, floor(1000 * ln(((coalesce(t, 0) + 1) * (ss + 10000))::DOUBLE / ((s + 1) * (tt + 10000))::DOUBLE))::BIGINT AS g FROM own LEFT JOIN target USING (b), totals),
+weights AS (SELECT doc_id, sum(g)::BIGINT AS weight FROM (SELECT doc_id, unnest(w) AS word FROM d) JOIN buckets USING (word) JOIN gains USING (b) GROUP BY 1),
+scores AS (
+  SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN weights USING (doc_id)),
+places AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, (count(*) FILTER (WHERE n_features >= 20) OVER ()) * 10 // 100 AS draw FROM scores)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= draw THEN place END AS rank FROM places""",
     "op4_near_duplicates": rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),

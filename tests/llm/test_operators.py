@@ -268,7 +268,7 @@ def test_a_statistic_alone_reaches_the_cut(spark, name, value, share):
     plain = {"log_words": F.lit(5.0) + F.randn(1) * 0.8, "log_word_length": F.lit(1.6) + F.randn(2) * 0.08, "symbol_share": F.abs(F.randn(3)) * 0.02, "dup_line_share": F.lit(0.0), "repeat_share": F.lit(0.0)}
     bad = F.col("id") < int(n * share)
     stats = spark.range(n).select("id", F.lit("g").alias("g"), *[(F.when(bad, F.lit(value)).otherwise(c) if k == name else c).alias(k) for k, c in plain.items()])
-    got = {r["id"]: r["d2"] > quality.CHI2_CUT for r in quality.robust_outliers(stats).collect()}
+    got = {r["id"]: r["d2"] > quality.CHI2_CUT for r in quality.robust_outliers(stats, Tables(spark, "test")).collect()}
     assert got == {i: i < int(n * share) for i in range(n)}
 
 
