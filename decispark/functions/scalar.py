@@ -140,3 +140,22 @@ def utility(components: dict[str, float], penalty: Column) -> Column:
 def pick_tags(rules: dict[str, Column]) -> Column:
     """The names whose rule holds, in the order given: overlapping category tags of a row."""
     return F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
+
+
+def log_softmax(scores: Column, index: Column) -> Column:
+    """Log of the share of one score's exponential in their sum; the largest is taken out first, so scores of any size do."""
+    most = F.array_max(scores)
+    total = F.aggregate(F.transform(scores, lambda x: F.exp(x - most)), F.lit(0.0), lambda s, x: s + x)
+    return (F.get(scores, index) - most) - F.log(total)
+
+
+def response_log_prob(scores: Column, labels: Column, ignore: int = -100) -> Column:
+    """Struct of log_prob and tokens of a response: scores (an array per position, one score a token) predict the next position's label.
+
+    Positions whose label is `ignore` do not count. Null where nothing counts, where positions and labels
+    differ in number, or where a label lies outside its scores.
+    """
+    at = F.filter(F.transform(F.slice(labels, F.lit(2), F.greatest(F.size(labels) - 1, F.lit(0))), lambda y, i: F.struct(y.alias("y"), i.alias("i"))), lambda x: x["y"] != ignore)
+    terms = F.transform(at, lambda x: log_softmax(F.get(scores, x["i"]), x["y"]))
+    usable = (F.size(scores) == F.size(labels)) & (F.size(at) > 0) & ~F.exists(terms, lambda t: t.isNull()) & F.forall(at, lambda x: x["y"] >= 0)
+    return F.when(usable, F.struct(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t).alias("log_prob"), F.size(at).cast("long").alias("tokens")))

@@ -120,5 +120,21 @@ def advancing(snapshots: DataFrame, key: str, order: list[str], value: str) -> D
     return snapshots.withColumn("before", before).where(F.col("before").isNull() | (F.col(value) > F.col("before"))).drop("before")
 
 
+def correlated(events: DataFrame, key: str, order: str) -> DataFrame:
+    """Snapshots with status: advanced (the first that shows the last command's effect), stale, or unasked (no command waits).
+
+    events: key, order (total), kind (play_card, end_turn or snapshot), item (the card that is played),
+    turn and hand (array of cards, of a snapshot). A played card must have left the hand; the turn must have grown.
+    """
+    w = W.partitionBy(key).orderBy(order)
+    asks = F.col("kind") != "snapshot"
+    last = F.last(F.when(asks, F.struct(F.col(order).alias("at"), "kind", "item", "turn")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+    d = events.withColumn("__asked", last).where(~asks)
+    shows = F.when(F.col("__asked.kind") == "play_card", ~F.array_contains("hand", F.col("__asked.item"))).otherwise(F.col("turn") > F.col("__asked.turn"))
+    first = F.min(F.when(F.coalesce(shows, F.lit(False)), F.col(order))).over(W.partitionBy(key, "__asked.at"))
+    status = F.when(F.col("__asked").isNull() | (F.col(order) > first), "unasked").when(F.col(order) == first, "advanced").otherwise("stale")
+    return d.withColumn("status", status).drop("__asked")
+
+
 def range_summary(rows: DataFrame, stream: str, value: str) -> DataFrame:
     return rows.groupBy(stream).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.countDistinct(value).alias("distinct_values"))

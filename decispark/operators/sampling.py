@@ -174,3 +174,38 @@ def bootstrap(rows: DataFrame, cluster: str, value: str, replicates: int, seed:
     for s in steps[1:]:
         count = count + s
     return d.withColumn("k", count).groupBy("replicate").agg(F.expr("try_divide(sum(k * total), sum(k * n))").alias("mean"))
+
+
+def expanding_draw(pool: DataFrame, group: str, item: str, role: str, count: int, roles: int, seed: int, anchor: str | None = None, requires: str | None = None) -> DataFrame:
+    """count items of each group without replacement, drawn so that their roles spread: group, draw_index, item, role.
+
+    Anchors (a boolean column) come first, in the order of their names. Then, as long as fewer than `roles`
+    roles are there, only items of a new role are drawn, if there are any. An item that requires a role
+    (a column, null for none) joins the pool once an item of that role is drawn. Every draw takes the first
+    open item in the group's hash order, which is as good as a uniform draw. Repeated and null items count once
+    and never; groups of fewer open items give fewer draws; more anchors than count are an error.
+
+    Of items of one role and requirement only the first `count` in hash order can be drawn, so the
+    others go before a group meets.
+    """
+    need = F.col(requires).cast("string") if requires else F.lit(None).cast("string")
+    d = pool.where(F.col(item).isNotNull()).select(F.col(group).alias("g"), F.col(item).cast("string").alias("item"), F.col(role).cast("string").alias("role"), need.alias("need"), F.coalesce(F.col(anchor), F.lit(False)).alias("anchor") if anchor else F.lit(False).alias("anchor"))
+    d = d.groupBy("g", "item").agg(F.min(F.struct((~F.col("anchor")).alias("late"), "role", "need")).alias("x")).select("g", "item", "x.role", "x.need", (~F.col("x.late")).alias("anchor"))
+    d = d.withColumn("order", F.when(F.col("anchor"), F.col("item")).otherwise(F.sha2(keyed(seed, F.col("g"), F.col("item")), 256)))
+    near = d.withColumn("rank", F.row_number().over(W.partitionBy("g", "anchor", "role", "need").orderBy("order", "item"))).where((F.col("rank") <= count) | F.col("anchor"))
+    items = near.groupBy("g").agg(F.array_sort(F.collect_list(F.struct((~F.col("anchor")).alias("late"), "order", "item", "role", "need"))).alias("items"))
+    many = F.raise_error(F.concat(F.lit("more anchors than draws in "), F.coalesce(F.col("g").cast("string"), F.lit("null")))).cast("int")
+    fixed = F.filter("items", lambda x: ~x["late"])
+    taken = F.transform(fixed, lambda x: F.struct(x["item"].alias("item"), x["role"].alias("role")))
+
+    def draw(done: Column, _: Column) -> Column:
+        there = F.array_distinct(F.transform(done, lambda t: t["role"]))
+        free = F.filter("items", lambda x: ~F.exists(done, lambda t: t["item"] == x["item"]) & (x["need"].isNull() | F.array_contains(there, x["need"])))
+        new = F.filter(free, lambda x: ~F.exists(there, lambda t: t.eqNullSafe(x["role"])))
+        chosen = F.get(F.when((F.size(there) < roles) & (F.size(new) > 0), new).otherwise(free), F.lit(0))
+        return F.when(chosen.isNull(), done).otherwise(F.array_append(done, F.struct(chosen["item"].alias("item"), chosen["role"].alias("role"))))
+
+    left = F.when(F.size("taken") > count, many).otherwise(F.lit(count) - F.size("taken"))
+    d = items.withColumn("taken", taken).withColumn("steps", F.when(left > 0, F.sequence(F.lit(1), left)).otherwise(F.slice(F.array(F.lit(1)), 1, 0)))
+    drawn = d.select("g", F.aggregate("steps", F.col("taken"), draw).alias("drawn"))
+    return drawn.select(F.col("g").alias(group), F.posexplode("drawn").alias("draw_index", "x")).select(group, "draw_index", F.col("x.item").alias(item), F.col("x.role").alias(role))

@@ -135,9 +135,19 @@ def closed(edges: DataFrame) -> DataFrame:
     return found
 
 
+#: Rows of a counted table up to which it is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def small_side(rows: DataFrame) -> DataFrame:
+    """rows, to be broadcast if they are few; counted first, and joined by shuffle otherwise."""
+    few = rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return F.broadcast(rows) if few else rows
+
+
 def glossary_closure(seeds: DataFrame, key: str, edges: DataFrame) -> DataFrame:
     """key and term: the seeds' terms and all that their definitions lead to (edges: term, leads_to), to the fixed point."""
-    reached = seeds.select(key, "term").distinct().join(F.broadcast(closed(edges)), "term", "left")
+    reached = seeds.select(key, "term").distinct().join(small_side(closed(edges)), "term", "left")
     return reached.select(key, F.coalesce("leads_to", "term").alias("term")).distinct()
 
 
@@ -162,7 +172,7 @@ def upgraded_records(records: DataFrame, dataset: str, source_version: str, vers
 
 def catalog_text(rows: DataFrame, key: str, catalog: DataFrame, fallback: str | None = None) -> DataFrame:
     """rows with effect and effect_source: the catalog's text, else the row's own, else null (a violation)."""
-    d = rows.join(F.broadcast(catalog.select(key, F.col("effect").alias("__effect"))), key, "left")
+    d = rows.join(small_side(catalog.select(key, F.col("effect").alias("__effect"))), key, "left")
     own = F.col(fallback) if fallback else F.lit(None).cast("string")
     source = F.when(F.col("__effect").isNotNull(), "catalog").when(own.isNotNull(), "source").otherwise("missing")
     return d.withColumn("effect", F.coalesce("__effect", own)).withColumn("effect_source", source).drop("__effect")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from decispark.functions import scalar
+from decispark.functions import scalar, walks
 from decispark.operators import episodes, sampling
 from decispark.sources import shared
 from decispark.streaming import logs
@@ -13,6 +13,11 @@ from .registry import load, query
 from .trial_queries import r
 
 
+PILES = """WITH RECURSIVE s AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE event_type WHEN 'purchase' THEN 'shuffle' WHEN 'click' THEN 'draw' WHEN 'error' THEN 'draw' ELSE 'push' END AS kind FROM events),
+f(user_id, i, known) AS (SELECT DISTINCT user_id, 0::BIGINT, []::VARCHAR[] FROM s UNION ALL SELECT f.user_id, f.i + 1, CASE kind WHEN 'shuffle' THEN []::VARCHAR[] WHEN 'draw' THEN known[2:] ELSE list_prepend(event_id::VARCHAR, known) END FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1)
+"""
+
+
 @query("a17_w04_episode_summary", """SELECT conv_id, count(*) AS decisions, max(turn) AS last_step, arg_max(role, turn) AS last_role, count(*) FILTER (WHERE role = 'user') AS user_turns, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1""")
 def a17(spark, sf_dir):
     c = load(spark, sf_dir, "conversations").withColumn("n", F.length("text").cast("long"))
@@ -109,10 +114,14 @@ def q06(spark, sf_dir):
     return episodes.carry_over(e, "user_id", "event_id", "change", 80.0, 80.0).withColumn("ending_hp", F.round("ending_hp", 6))
 
 
-@query("q04_known_prefix")
-def q04(spark, sf_dir):
+def _piles(e):
     kind = F.when(F.col("event_type") == "purchase", "shuffle").when(F.col("event_type").isin("click", "error"), "draw").otherwise("push")
-    e = load(spark, sf_dir, "events").withColumn("kind", kind).withColumn("item", F.col("event_id").cast("string"))
+    return e.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), F.col("event_id").cast("string").alias("item"))
+
+
+@query("q04_known_prefix", PILES + "SELECT user_id, array_to_string(known, ',') AS known FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1")
+def q04(spark, sf_dir):
+    e = _piles(load(spark, sf_dir, "events"))
     return episodes.known_prefix(e, "user_id", "event_id", "kind", "item").select("user_id", F.array_join("known", ",").alias("known"))
 
 
@@ -121,6 +130,25 @@ def q02(spark, sf_dir):
     return episodes.advancing(load(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "value").select("event_id", "value")
 
 
+CORRELATED = """WITH e AS (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'play_card' WHEN 'signup' THEN 'end_turn' ELSE 'snapshot' END AS kind, 'c' || event_id % 4 AS item, event_id // 40 AS turn, ['c' || event_id % 3, 'c' || event_id % 7] AS hand FROM events),
+l AS (SELECT *, max(event_id) FILTER (WHERE kind <> 'snapshot') OVER (PARTITION BY user_id ORDER BY event_id) AS asked FROM e),
+s AS (SELECT l.*, CASE WHEN a.kind = 'play_card' THEN NOT list_contains(l.hand, a.item) ELSE l.turn > a.turn END AS shows FROM l LEFT JOIN e a ON a.user_id = l.user_id AND a.event_id = l.asked WHERE l.kind = 'snapshot'),
+g AS (SELECT *, min(event_id) FILTER (WHERE shows) OVER (PARTITION BY user_id, asked) AS first FROM s)
+SELECT user_id, event_id, CASE WHEN asked IS NULL OR event_id > first THEN 'unasked' WHEN event_id = first THEN 'advanced' ELSE 'stale' END AS status FROM g"""
+
+
+def _commands(e):
+    """Events as commands and snapshots of a game."""
+    i, name = F.col("event_id"), lambda n: F.concat(F.lit("c"), (F.col("event_id") % n).cast("string"))
+    kind = F.when(F.col("event_type") == "click", "play_card").when(F.col("event_type") == "signup", "end_turn").otherwise("snapshot")
+    return e.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), name(4).alias("item"), F.floor(i / 40).alias("turn"), F.array(name(3), name(7)).alias("hand"))
+
+
+@query("q02_correlated", CORRELATED)
+def q02c(spark, sf_dir):
+    return episodes.correlated(_commands(load(spark, sf_dir, "events")), "user_id", "event_id").select("user_id", "event_id", "status")
+
+
 @query("a33_range_summary", "SELECT event_type, min(value) AS least, max(value) AS most, count(DISTINCT value) AS distinct_values FROM events GROUP BY 1")
 def a33(spark, sf_dir):
     return episodes.range_summary(load(spark, sf_dir, "events"), "event_type", "value")
@@ -199,6 +227,38 @@ def r11(spark, sf_dir):
     return sampling.staged_steps(spark, [("start", {"combat": 2, "reward": 1}), ("end", {"combat": 1, "reward": 0})])
 
 
+@query("t18_expanding_draw", """WITH RECURSIVE p AS (SELECT o_custkey AS g, o_orderkey AS item, o_orderpriority AS role, CASE WHEN o_orderstatus = 'P' THEN '1-URGENT' END AS need, o_orderkey = min(o_orderkey) OVER (PARTITION BY o_custkey) AS anchor, sha256('12|' || o_custkey || '|' || o_orderkey) AS h FROM orders),
+f(g, i, items, roles, item, role) AS (
+  SELECT g, 0, [item], [role], item, role FROM p WHERE anchor
+  UNION ALL
+  SELECT g, i, items, roles, item, role FROM (
+    SELECT f.g, f.i + 1 AS i, list_append(f.items, p.item) AS items, list_distinct(list_append(f.roles, p.role)) AS roles, p.item, p.role,
+           row_number() OVER (PARTITION BY f.g ORDER BY CASE WHEN len(f.roles) < 3 AND NOT list_contains(f.roles, p.role) THEN 0 ELSE 1 END, p.h) AS place
+    FROM f JOIN p ON p.g = f.g WHERE f.i < 4 AND NOT list_contains(f.items, p.item) AND (p.need IS NULL OR list_contains(f.roles, p.need))) WHERE place = 1)
+SELECT g AS o_custkey, i AS draw_index, item::VARCHAR AS o_orderkey, role AS o_orderpriority FROM f""")
+def t18(spark, sf_dir):
+    """Five orders of each customer, the first of them fixed, of three priorities if there are; orders in process wait for an urgent one."""
+    from pyspark.sql import Window as W
+
+    o = load(spark, sf_dir, "orders").withColumn("anchor", F.col("o_orderkey") == F.min("o_orderkey").over(W.partitionBy("o_custkey"))).withColumn("need", F.when(F.col("o_orderstatus") == "P", "1-URGENT"))
+    return sampling.expanding_draw(o, "o_custkey", "o_orderkey", "o_orderpriority", 5, 3, 12, "anchor", "need")
+
+
+@query("udtf_walked_turns", """WITH w AS (SELECT conv_id, turn, role, length(text) AS n, count(*) FILTER (WHERE role = 'user') OVER o AS asked, sum(length(text)) OVER o AS chars, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, turn, asked, chars::BIGINT AS chars, 'answer' AS kind FROM w WHERE role = 'assistant' AND before = 'user' UNION ALL SELECT conv_id, max(turn) + 1, max(asked), sum(n)::BIGINT, 'end' FROM w GROUP BY 1""")
+def udtf_walk(spark, sf_dir):
+    """What a consumer sees that walks each conversation: every answer with what came before it, and the end."""
+
+    def step(s, row):
+        s = {"conv": row["conv_id"], "turn": row["turn"], "asked": s["asked"] + (row["role"] == "user"), "chars": s["chars"] + len(row["text"] or ""), "last": row["role"], "before": s["last"]}
+        seen = [(s["conv"], s["turn"], s["asked"], s["chars"], "answer")] if s["last"] == "assistant" and s["before"] == "user" else []
+        return s, seen
+
+    start = lambda: {"asked": 0, "chars": 0, "last": None}
+    finish = lambda s: [(s["conv"], s["turn"] + 1, s["asked"], s["chars"], "end")] if "conv" in s else []
+    return walks.walked(load(spark, sf_dir, "conversations"), "conv_id", "turn", start, step, finish, "conv_id long, turn long, asked long, chars long, kind string")
+
+
 # streams
 
 
@@ -214,9 +274,36 @@ def _finish(spark, stream, mode="append"):
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-@query("q01_stream_append", "SELECT conv_id, turn, 'accepted' AS status FROM conversations")
+@query("q01_stream_append", "SELECT conv_id, turn, 'accepted' AS status FROM conversations UNION ALL SELECT conv_id, turn, 'duplicate' FROM conversations")
 def q01(spark, sf_dir):
-    return _finish(spark, logs.next_steps(_stream(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", "turn"))
+    """A stream that delivers every turn twice; an episode is forgotten an hour after its last turn."""
+    c = _stream(spark, sf_dir, "conversations").select("conv_id", "turn", F.timestamp_seconds(F.lit(946_684_800) + F.col("turn") * 60).alias("at"))
+    return _finish(spark, logs.next_steps(c.unionByName(c), "conv_id", "turn", "at", "1 hour"))
+
+
+@query("q02_stream_advancing", "SELECT user_id, event_id, value FROM events QUALIFY coalesce(value > max(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)")
+def q02a(spark, sf_dir):
+    e = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return _finish(spark, logs.advancing(e, "user_id", "event_id", "value", "ts", "1 day"))
+
+
+@query("q02_stream_correlated", CORRELATED)
+def q02sc(spark, sf_dir):
+    return _finish(spark, logs.correlated(_commands(_stream(spark, sf_dir, "events")), "user_id", "event_id", "ts", "1 day"))
+
+
+@query("q04_stream_known_prefix", PILES + "SELECT user_id, max(event_id) AS event_id, array_to_string(known, ',') AS known FROM f JOIN events USING (user_id) GROUP BY user_id, i, known QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1")
+def q04s(spark, sf_dir):
+    """What the last batch says of each user."""
+    d = _finish(spark, logs.known_prefix(_piles(_stream(spark, sf_dir, "events")), "user_id", "event_id", "kind", "item", "ts", "1 day"))
+    return d.groupBy("user_id").agg(F.max_by(F.struct("event_id", "known"), "event_id").alias("x")).select("user_id", "x.*")
+
+
+@query("q05_stream_sequential_test", """WITH t AS (SELECT user_id, row_number() OVER w AS n, (count(*) FILTER (WHERE value > 20) OVER w) AS wins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING))
+SELECT user_id, n AS stage, wins, CASE WHEN wins / n >= 0.7 THEN 'accept' WHEN wins / n <= 0.5 THEN 'reject' ELSE 'undecided' END AS decision FROM t WHERE n IN (8, 16, 32) AND (wins / n >= 0.7 OR wins / n <= 0.5 OR n = 32) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n) = 1""")
+def q05(spark, sf_dir):
+    e = _stream(spark, sf_dir, "events").select("user_id", "event_id", (F.col("value") > 20).cast("int").alias("win"), F.col("ts").cast("timestamp").alias("ts"))
+    return _finish(spark, logs.sequential_test(e, "user_id", "event_id", "win", [8, 16, 32], 0.7, 0.5, "ts", "1 day"))
 
 
 @query("q03_stream_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL")

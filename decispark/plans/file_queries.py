@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from decispark.sources import files, shared
+from decispark.streaming import logs
 
 from .registry import load, query
 
@@ -28,15 +30,21 @@ def s05(spark, sf_dir):
     return files.read_csv(spark, path, d.schema)
 
 
-@query("s02_strict_scan", "SELECT CASE WHEN turn % 5 = 3 THEN 'schema_version' WHEN turn % 5 = 4 THEN 'not an object of the schema' ELSE 'good' END AS problem, count(*) AS n FROM conversations GROUP BY 1")
+@query("s02_strict_scan", """WITH l AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id % 16 ORDER BY conv_id, turn) AS line FROM conversations)
+SELECT conv_id % 16 AS part, line, CASE WHEN turn % 5 = 2 THEN 'blank line' WHEN turn % 5 = 3 THEN 'schema_version' WHEN turn % 5 = 4 THEN 'not an object of the schema' ELSE 'good' END AS problem FROM l WHERE turn % 5 > 1
+UNION ALL SELECT -1, count(*), 'good' FROM conversations WHERE turn % 5 <= 1""")
 def s02(spark, sf_dir):
-    c, path = load(spark, sf_dir, "conversations"), _folder(spark)
-    version = F.when(F.col("turn") % 5 == 3, "v0").otherwise("trajectory_v1")
+    """Conversations in sixteen files; the bad lines with file and line, and the number of good ones."""
+    c, path, t = load(spark, sf_dir, "conversations"), _folder(spark), F.col("turn")
+    version = F.when(t % 5 == 3, "v0").otherwise("trajectory_v1")
     line = F.to_json(F.struct(version.alias("schema_version"), F.lit("transition").alias("record_type"), "conv_id", "turn"))
-    c.select(F.when(F.col("turn") % 5 == 4, F.lit("{broken")).otherwise(line).alias("value")).write.text(path)
+    lines = F.when(t % 5 == 4, F.lit("{broken")).when(t % 5 == 2, F.lit(" ")).otherwise(line)
+    part = F.col("conv_id") % 16
+    c.select(lines.alias("value"), part.alias("part"), "conv_id", "turn").repartition(16, "part").sortWithinPartitions("part", "conv_id", "turn").select("value", "part").write.partitionBy("part").text(path)
     schema = T.StructType().add("schema_version", "string").add("record_type", "string").add("conv_id", "long").add("turn", "long")
     good, bad = files.scan_trajectories(spark, path, schema, "trajectory_v1", "transition")
-    return good.select(F.lit("good").alias("problem")).unionByName(bad.select("problem")).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
+    of_file = F.regexp_extract("file", r"part=(\d+)", 1).cast("long")
+    return bad.select(of_file.alias("part"), "line", "problem").unionByName(good.agg(F.count(F.lit(1)).alias("line")).select(F.lit(-1).cast("long").alias("part"), "line", F.lit("good").alias("problem")))
 
 
 @query("s07_s09_s10_write_once", "SELECT p_partkey, p_brand FROM part")
@@ -55,6 +63,33 @@ def s11(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@query("s06_s07_indexed_table", "SELECT o_orderkey, o_custkey, o_orderkey % 97 = 5 AS looked_up FROM orders")
+def s07(spark, sf_dir):
+    """Orders as a look-up table, published at once; some of its keys are looked up."""
+    d, path = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), _folder(spark)
+    files.publish_indexed(d, path, ["o_orderkey"], {"source": "orders"})
+    keys = spark.read.parquet(f"{path}/rows").where("o_orderkey % 97 = 5").select("o_orderkey")
+    found = files.look_up_all(spark, path, keys).select("o_orderkey", F.lit(True).alias("hit"))
+    return spark.read.parquet(f"{path}/rows").join(found, "o_orderkey", "left").select("o_orderkey", "o_custkey", F.coalesce("hit", F.lit(False)).alias("looked_up"))
+
+
+@query("s11_append_sink", "SELECT o_orderkey, o_custkey FROM orders")
+def s11_sink(spark, sf_dir):
+    """A stream of orders, each delivered twice, whose first run stops between writing and commit."""
+    o, folder = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), _folder(spark)
+    o.unionByName(o).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(o.schema).parquet(f"{folder}/in")
+
+    def stop(_: str) -> None:
+        raise InterruptedError("stopped before the commit")
+
+    try:
+        logs.append_sink(stream, f"{folder}/out", ["o_orderkey"], f"{folder}/state", stop)
+    except StreamingQueryException:
+        logs.append_sink(stream, f"{folder}/out", ["o_orderkey"], f"{folder}/state")
+    return logs.committed(spark, f"{folder}/out").select("o_orderkey", "o_custkey")
+
+
 @query("s12_compacted", "SELECT l_orderkey, count(*) AS n, count(*) = count(DISTINCT l_linenumber) AS unique_places FROM lineitem GROUP BY 1")
 def s12(spark, sf_dir):
     d = files.compacted(load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey", ["l_linenumber"])

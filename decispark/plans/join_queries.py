@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from decispark.operators import joins, preferences, sets, validation
+from decispark.operators import diffs, joins, preferences, sets, validation
 
 from .registry import load, query
 from .trial_queries import r
@@ -101,14 +101,14 @@ def j13(spark, sf_dir):
     return joins.picked(load(spark, sf_dir, "lineitem"), "l_orderkey", spark.range(1, 200).select((F.col("id") * 7).alias("l_orderkey")))
 
 
-@query("j20_v15_row_differences", "SELECT 'left only' AS side, o_orderstatus, o_custkey FROM (SELECT o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 2 = 0 EXCEPT ALL SELECT o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 2 = 1) UNION ALL SELECT 'right only', * FROM (SELECT o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 2 = 1 EXCEPT ALL SELECT o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 2 = 0)")
+@query("j20_row_differences", "SELECT 'left only' AS side, o_orderstatus, o_custkey FROM (SELECT o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 2 = 0 EXCEPT ALL SELECT o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 2 = 1) UNION ALL SELECT 'right only', * FROM (SELECT o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 2 = 1 EXCEPT ALL SELECT o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 2 = 0)")
 def j20(spark, sf_dir):
     o = load(spark, sf_dir, "orders")
     half = lambda k: o.where(F.col("o_orderkey") % 2 == k).select("o_orderstatus", "o_custkey")
     return joins.row_differences(half(0), half(1))
 
 
-@query("v10_structural_diff", """WITH e AS (SELECT p_partkey, unnest(['p_brand', 'p_type', 'p_size']) AS path, unnest([p_brand, p_type, p_size::VARCHAR]) AS expected FROM part),
+@query("v10_flat_diff", """WITH e AS (SELECT p_partkey, unnest(['p_brand', 'p_type', 'p_size']) AS path, unnest([p_brand, p_type, p_size::VARCHAR]) AS expected FROM part),
 o AS (SELECT p_partkey, unnest(['p_brand', 'p_type', 'p_size']) AS path, unnest([p_brand, CASE WHEN p_partkey % 11 <> 0 THEN p_type END, (p_size + (p_partkey % 13 = 0)::INT)::VARCHAR]) AS observed FROM part WHERE p_partkey % 17 <> 0)
 SELECT p_partkey, path, expected, observed FROM e FULL JOIN o USING (p_partkey, path) WHERE expected IS DISTINCT FROM observed""")
 def v10(spark, sf_dir):
@@ -254,3 +254,69 @@ SELECT o_custkey, rule FROM (SELECT o_custkey, unnest(['unique', 'paid', 'closed
 def f06(spark, sf_dir):
     r_ = load(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("o_orderkey").alias("d"), F.every(F.col("o_totalprice") > 0).alias("paid"), F.some(F.col("o_orderstatus") == "P").alias("open"))
     return validation.broken(r_, ["o_custkey"], {"unique": F.col("n") == F.col("d"), "paid": F.col("paid"), "closed": ~F.col("open"), "long": F.col("n") >= 3})
+
+
+@query("v10_nested_differences", """WITH RECURSIVE e AS (
+  SELECT o_orderkey AS k, json_object('status', o_orderstatus, 'lines', lines, 'meta', json_object('prio', o_orderpriority, 'who', json_object('cust', o_custkey))) AS j
+  FROM orders JOIN (SELECT l_orderkey, list(json_object('part', l_partkey, 'qty', l_quantity::BIGINT) ORDER BY l_linenumber, l_partkey, l_quantity) AS lines FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey),
+changed AS (SELECT l_orderkey, list(json_object('part', l_partkey, 'qty', l_quantity::BIGINT + (l_linenumber = 2 AND l_orderkey % 3 = 0)::INT) ORDER BY l_linenumber, l_partkey, l_quantity) AS lines FROM lineitem WHERE l_linenumber <> 4 OR l_orderkey % 2 = 0 GROUP BY 1),
+a AS (
+  SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN json_object('lines', lines, 'meta', 'none') WHEN o_orderkey % 5 = 0 THEN json_object('status', o_orderstatus, 'lines', lines, 'meta', json_object('prio', o_orderpriority, 'who', json_object('cust', o_custkey + 1, 'new', json_object('x', 1))))
+         ELSE json_object('status', o_orderstatus, 'lines', lines, 'meta', json_object('prio', o_orderpriority, 'who', json_object('cust', o_custkey))) END AS j
+  FROM orders JOIN changed ON l_orderkey = o_orderkey WHERE o_orderkey % 13 <> 0),
+w(k, path, e, a) AS (
+  SELECT k, '$', e.j, a.j FROM e FULL JOIN a USING (k)
+  UNION ALL
+  SELECT k, x.p, x.e, x.a FROM (SELECT k, unnest(
+    CASE WHEN json_type(e) = 'OBJECT' AND json_type(a) = 'OBJECT' THEN list_transform(list_distinct(json_keys(e) || json_keys(a)), lambda n: {'p': path || '.' || n, 'e': json_extract(e, '$.' || n), 'a': json_extract(a, '$.' || n)})
+         WHEN json_type(e) = 'ARRAY' AND json_type(a) = 'ARRAY' THEN list_transform(range(0, least(json_array_length(e), json_array_length(a))::BIGINT), lambda n: {'p': path || '[' || n || ']', 'e': json_extract(e, '$[' || n || ']'), 'a': json_extract(a, '$[' || n || ']')}) END) AS x FROM w))
+SELECT k, path, coalesce(CASE WHEN json_type(e) IN ('OBJECT', 'ARRAY') THEN 'container' ELSE e::VARCHAR END, '<absent>') AS expected, coalesce(CASE WHEN json_type(a) IN ('OBJECT', 'ARRAY') THEN 'container' ELSE a::VARCHAR END, '<absent>') AS observed FROM w
+WHERE e::VARCHAR IS DISTINCT FROM a::VARCHAR AND NOT coalesce(json_type(e) = json_type(a) AND json_type(e) IN ('OBJECT', 'ARRAY'), false)
+UNION ALL SELECT k, path || '.length', json_array_length(e)::VARCHAR, json_array_length(a)::VARCHAR FROM w WHERE json_type(e) = 'ARRAY' AND json_type(a) = 'ARRAY' AND json_array_length(e) <> json_array_length(a)""")
+def v10n(spark, sf_dir):
+    """Orders with their lines as nested documents, against changed ones: other values, lines, fields and kinds at several depths."""
+    o, l = load(spark, sf_dir, "orders"), load(spark, sf_dir, "lineitem")  # noqa: E741
+    k, qty = F.col("o_orderkey"), F.col("l_quantity").cast("bigint")
+
+    def documents(lines, quantity, build):
+        of = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").alias("part"), quantity.alias("qty")))), lambda x: F.struct(x["part"].alias("part"), x["qty"].alias("qty")))
+        d = o.join(lines.groupBy("l_orderkey").agg(of.alias("lines")), F.col("l_orderkey") == k)
+        return d.select(k.alias("k"), build.alias("j"))
+
+    meta = F.struct(F.col("o_orderpriority").alias("prio"), F.struct(F.col("o_custkey").alias("cust")).alias("who")).alias("meta")
+    other = F.struct(F.col("o_orderpriority").alias("prio"), F.struct((F.col("o_custkey") + 1).alias("cust"), F.struct(F.lit(1).alias("x")).alias("new")).alias("who")).alias("meta")
+    status = F.col("o_orderstatus").alias("status")
+    plain = F.to_json(F.struct(status, "lines", meta))
+    changed = F.when(k % 7 == 0, F.to_json(F.struct("lines", F.lit("none").alias("meta")))).when(k % 5 == 0, F.to_json(F.struct(status, "lines", other))).otherwise(plain)
+    more = ((F.col("l_linenumber") == 2) & (F.col("l_orderkey") % 3 == 0)).cast("int")
+    observed = documents(l.where("l_linenumber <> 4 or l_orderkey % 2 = 0"), qty + more, changed).where("k % 13 <> 0")
+    short = lambda c: F.when(F.col(c).startswith("{") | F.col(c).startswith("["), "container").otherwise(F.col(c)).alias(c)
+    return diffs.nested_differences(documents(l, qty, plain), observed, ["k"], "j").select("k", "path", short("expected"), short("observed"))
+
+
+@query("v15_first_divergence", """WITH a AS (SELECT conv_id, turn, role, text FROM conversations),
+b AS (SELECT conv_id, CASE WHEN conv_id % 3 = 0 AND turn IN (1, 2) THEN 3 - turn ELSE turn END AS turn, role, text FROM conversations WHERE NOT (conv_id % 5 = 1 AND turn >= 2) UNION ALL SELECT conv_id, 99, 'user', 'x' FROM conversations WHERE conv_id % 7 = 2 AND turn = 0),
+m AS (SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.turn, b.turn) AS turn, a.conv_id IS NOT NULL AS own,
+  CASE WHEN b.conv_id IS NULL THEN 'not replayed' WHEN a.conv_id IS NULL THEN 'not recorded' WHEN (a.role, a.text) IS DISTINCT FROM (b.role, b.text) THEN 'diverges' END AS status FROM a FULL JOIN b ON a.conv_id = b.conv_id AND a.turn = b.turn),
+f AS (SELECT conv_id, min(turn) FILTER (WHERE status IS NOT NULL) AS place FROM m GROUP BY 1)
+SELECT conv_id, count(*) FILTER (WHERE own AND (place IS NULL OR turn < place)) AS verified, coalesce(max(status) FILTER (WHERE turn = place), 'verified') AS status, max(place) AS turn FROM m JOIN f USING (conv_id) GROUP BY 1""")
+def v15(spark, sf_dir):
+    """Conversations against a replay in which two turns change places, the end is missing, or a turn is new."""
+    c = load(spark, sf_dir, "conversations")
+    i, t = F.col("conv_id"), F.col("turn")
+    replay = c.where(~((i % 5 == 1) & (t >= 2))).withColumn("turn", F.when((i % 3 == 0) & t.isin(1, 2), 3 - t).otherwise(t))
+    extra = c.where((i % 7 == 2) & (t == 0)).select("conv_id", F.lit(99).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit("x").alias("text"))
+    return diffs.first_divergence(c, replay.unionByName(extra), "conv_id", "turn", ["role", "text"]).select("conv_id", "verified", "status", "turn")
+
+
+@query("p05_bag_projection", """WITH l AS (SELECT l_orderkey, '{"part":' || l_partkey || ',"mode":"' || l_returnflag || '"}' AS j FROM lineitem)
+SELECT l_orderkey, sha256('{"lines":[' || string_agg(j, ',' ORDER BY sha256('{"v":' || j || '}'), j) || '],"first":{"key":' || l_orderkey || '}}') AS digest, true AS permuted, false AS repeated FROM l GROUP BY 1""")
+def p05(spark, sf_dir):
+    """An order's lines as a bag: the digest of what is public, of the same lines in another order, and with one of them twice."""
+    item = F.struct(F.col("l_partkey").alias("part"), F.col("l_returnflag").alias("mode"), F.col("l_linestatus").alias("private"))
+    items = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", item.alias("item")))), lambda x: x["item"])
+    d = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(items.alias("lines"))
+    spec = {"lines": diffs.Bag({"part": None, "mode": None}), "first": {"key": None}}
+    state = lambda lines: F.struct(lines.alias("lines"), F.struct(F.col("l_orderkey").alias("key"), F.lit("p").alias("private")).alias("first"))
+    d = d.select("l_orderkey", diffs.projection_digest(state(F.col("lines")), spec).alias("digest"), diffs.projection_digest(state(F.reverse("lines")), spec).alias("other"), diffs.projection_digest(state(F.concat("lines", F.slice("lines", 1, 1))), spec).alias("more"))
+    return d.select("l_orderkey", "digest", (F.col("digest") == F.col("other")).alias("permuted"), (F.col("digest") == F.col("more")).alias("repeated"))

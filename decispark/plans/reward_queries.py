@@ -55,15 +55,12 @@ def j08(spark, sf_dir):
     return d.select("l_orderkey", "l_linenumber", "p_partkey", r("target_rate"), "rate_source")
 
 
-@query("a26_choice_distribution", """WITH o AS (SELECT p_brand, p_type AS choice, max(p_size) / 50.0 AS rate FROM part GROUP BY p_brand, p_type QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_type) <= 4),
+@query("a26_choice_distribution", """WITH o AS (SELECT p_brand, p_type AS choice, max(p_size) / 50.0 AS rate FROM part GROUP BY p_brand, p_type),
 s AS (SELECT p_brand, sum(rate) AS total FROM o GROUP BY 1)
 SELECT p_brand, choice, round(CASE WHEN total <= 0.98 THEN rate ELSE 0.98 * rate / total END, 9) AS probability FROM o JOIN s USING (p_brand)
 UNION ALL SELECT p_brand, 'SKIP', round(CASE WHEN total <= 0.98 THEN 1 - total ELSE 0.02 END, 9) FROM s""")
 def a26(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     o = load(spark, sf_dir, "part").groupBy("p_brand", F.col("p_type").alias("choice")).agg((F.max("p_size") / 50.0).alias("rate"))
-    o = o.withColumn("n", F.row_number().over(W.partitionBy("p_brand").orderBy("choice"))).where("n <= 4")
     return rewards.choice_distribution(o, "p_brand", "choice", "rate", 0.02).select("p_brand", "choice", r("probability", 9))
 
 
@@ -86,13 +83,13 @@ def w06(spark, sf_dir):
 
 
 @query("a30_search_components", """WITH e AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS pair, value FROM events),
-x AS (SELECT a.user_id, a.event_type, count(*) FILTER (WHERE a.value > b.value) AS pair_wins, count(*) AS pairs, avg(a.value) AS m FROM e a JOIN e b ON a.user_id = b.user_id AND a.pair = b.pair AND b.event_type = 'view' AND a.pair <= 3 GROUP BY ALL),
+x AS (SELECT a.user_id, a.event_type, count(*) FILTER (WHERE a.value > b.value) AS pair_wins, count(*) AS pairs, avg(a.value) AS m FROM e a JOIN e b ON a.user_id = b.user_id AND a.pair = b.pair AND b.event_type = 'view' GROUP BY ALL),
 k AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY m, event_type) - 1) / greatest(1, count(*) OVER (PARTITION BY user_id) - 1) AS rank FROM x)
 SELECT user_id, event_type, pair_wins, pairs, round(0.6 * pair_wins / pairs + 0.4 * rank, 6) AS search_score FROM k""")
 def a30(spark, sf_dir):
     from pyspark.sql import Window as W
 
-    e = load(spark, sf_dir, "events").withColumn("pair", F.row_number().over(W.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))).where("pair <= 3")
+    e = load(spark, sf_dir, "events").withColumn("pair", F.row_number().over(W.partitionBy("user_id", "event_type").orderBy("ts", "event_id")))
     return rewards.search_components(e, "user_id", "event_type", "pair", "view", ["value"]).select("user_id", "event_type", "pair_wins", "pairs", r("search_score"))
 
 

@@ -244,12 +244,26 @@ def t23(spark, sf_dir):
     return d.select("conv_id", request.alias("r")).select("conv_id", "r.*")
 
 
-@query("t14_x24_training_layout", "SELECT p_partkey, p_size % 5 + 1 AS prompt_tokens, p_size % 3 + 1 AS loss_tokens, (p_size % 5 + p_size % 3 + 2) > 6 AS too_long, -100 * (p_size % 5 + 1) + 7 * (p_size % 3 + 1) AS label_sum FROM part")
+@query("t14_training_layout", "SELECT p_partkey, p_size % 5 + 1 AS prompt_tokens, p_size % 3 + 1 AS loss_tokens, (p_size % 5 + p_size % 3 + 2) > 6 AS too_long, -100 * (p_size % 5 + 1) + 7 * (p_size % 3 + 1) AS label_sum FROM part")
 def t14(spark, sf_dir):
     d = load(spark, sf_dir, "part").select("p_partkey", F.array_repeat(F.lit(3), F.col("p_size") % 5 + 1).alias("p"), F.array_repeat(F.lit(7), F.col("p_size") % 3 + 1).alias("a"))
     return text.training_layout(d, "p", "a", 6).select("p_partkey", "prompt_tokens", "loss_tokens", "too_long", F.aggregate("labels", F.lit(0), lambda s, x: s + x).alias("label_sum"))
 
 
+@query("x24_response_log_prob", """WITH s AS (SELECT p_partkey, p_size % 9 + 2 AS n, p_size % 3 AS prompt FROM part),
+p AS (SELECT p_partkey, n, prompt, i, list_transform(range(0, 6), lambda j: ((p_partkey * (i + 1) * 7 + j * 13) % 2001 - 1000) / CASE WHEN p_partkey % 2 = 0 THEN 1.0 ELSE 250.0 END) AS x, (p_partkey + i + 1) % 6 AS y FROM s, range(0, 10) v(i) WHERE i < n - 1 AND i + 1 > prompt),
+t AS (SELECT p_partkey, x[y + 1] - (list_max(x) + ln(list_sum(list_transform(x, lambda v: exp(v - list_max(x)))))) AS lp FROM p)
+SELECT p_partkey, round(sum(lp), 6) AS log_prob, count(lp) AS tokens FROM s LEFT JOIN t USING (p_partkey) GROUP BY 1""")
+def x24(spark, sf_dir):
+    """Scores of up to 1000 and small ones at 2 to 10 positions; the first labels are the prompt's and masked."""
+    k, n = F.col("p_partkey"), F.col("p_size") % 9 + 2
+    scale = F.when(k % 2 == 0, 1.0).otherwise(250.0)
+    scores = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(0), F.lit(5)), lambda j: ((k * (i + 1) * 7 + j * 13) % 2001 - 1000) / scale))
+    labels = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i <= F.col("p_size") % 3, -100).otherwise((k + i) % 6).cast("int"))
+    d = load(spark, sf_dir, "part").select("p_partkey", scalar.response_log_prob(scores, labels).alias("r"))
+    return d.select("p_partkey", r("r.log_prob").alias("log_prob"), F.coalesce("r.tokens", F.lit(0)).alias("tokens"))
+
+
 @query("t15_padded", "WITH s AS (SELECT p_partkey, p_brand, p_size % 6 + 1 AS n FROM part) SELECT p_partkey, max(n) OVER (PARTITION BY p_brand) AS width, n AS real FROM s")
 def t15(spark, sf_dir):
     d = load(spark, sf_dir, "part").select("p_partkey", "p_brand", F.array_repeat(F.lit(1), F.col("p_size") % 6 + 1).alias("ids"))

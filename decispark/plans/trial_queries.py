@@ -13,10 +13,10 @@ from .registry import load, query
 
 N, RATE, TOLERANCE = 3, "0.66", 5.0
 T = """
-WITH t AS (SELECT * FROM (
-  SELECT user_id AS sample, event_type AS action, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS trial,
+WITH t AS (
+  SELECT user_id * 1000000 + i // 3 AS sample, event_type AS action, i % 3 AS trial,
          CASE WHEN value > 20 THEN 'victory' ELSE 'defeat' END AS outcome, value AS hp, CASE WHEN value > 20 THEN value ELSE 0 END AS carried, (floor(value)::BIGINT % 5 + 1) AS search_calls
-  FROM events) WHERE trial < 3),
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS i FROM events)),
 stats AS (
   SELECT sample, action, count(*) AS trials, count(*) FILTER (WHERE outcome = 'victory') AS wins, avg(carried) AS expected_hp,
          avg(hp) FILTER (WHERE outcome = 'victory') AS victory_hp, count(*) FILTER (WHERE outcome = 'victory') / count(*) AS win_rate
@@ -51,8 +51,10 @@ arms AS (SELECT arm, sample, chosen, rejected, gap, factor / total AS weight, lo
 
 
 def _trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event is a trial: N in a row of a user and type belong to one sample, numbered by user and round."""
     d = trials.trials_of(load(spark, sf_dir, "events"), "user_id", "event_type", ["ts", "event_id"], F.col("value") > 20, "value")
-    return d.where(F.col("trial") < N).withColumns({"resources": F.floor(F.col("hp") / 50), "search_calls": F.floor("hp") % 5 + 1})
+    d = d.withColumn("sample", F.col("sample") * 1_000_000 + F.floor(F.col("trial") / N)).withColumn("trial", F.col("trial") % N)
+    return d.withColumns({"resources": F.floor(F.col("hp") / 50), "search_calls": F.floor("hp") % 5 + 1})
 
 
 def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import cut, remove
+
 CORRUPT = "_corrupt"
 
 
@@ -29,9 +33,24 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> Data
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
 
 
+def numbered_text(spark: SparkSession, path: str) -> DataFrame:
+    """value, file and line (from 1) of every line, however many tasks read a file.
+
+    Each split counts its own lines; running sums of those counts by place in the file are the
+    offsets. The text is read where it lies and only one row for each split is shuffled.
+    """
+    place = ["file", "split"]
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("__id"))
+    splits = raw.groupBy(*place).agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__lines"))
+    before = F.coalesce(F.sum("__lines").over(W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    splits = cut(splits.select("file", "split", "__first", before.alias("__before")), "splits")
+    few = F.broadcast(splits) if splits.count() <= 100_000 else splits
+    return raw.join(few, place).select("value", "file", (F.col("__before") + F.col("__id") - F.col("__first") + 1).alias("line"))
+
+
 def scan_trajectories(spark: SparkSession, path: str, schema: T.StructType, version: str, record_type: str) -> tuple[DataFrame, DataFrame]:
-    """Good records, and the bad lines with file and problem: blank, no JSON, another version or type."""
-    raw = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"))
+    """Good records, and the bad lines with file, line and problem: blank, no JSON, another version or type."""
+    raw = numbered_text(spark, path)
     parsed = raw.withColumn("r", F.from_json("value", T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]), {"columnNameOfCorruptRecord": CORRUPT}))
     problem = (
         F.when(F.trim("value") == "", "blank line")
@@ -40,7 +59,7 @@ def scan_trajectories(spark: SparkSession, path: str, schema: T.StructType, vers
         .when(~F.col("r.record_type").eqNullSafe(F.lit(record_type)), "record_type")
     )
     d = parsed.withColumn("problem", problem)
-    return d.where("problem is null").select(*[F.col(f"r.{f.name}").alias(f.name) for f in schema.fields]), d.where("problem is not null").select("file", "problem", "value")
+    return d.where("problem is null").select(*[F.col(f"r.{f.name}").alias(f.name) for f in schema.fields]), d.where("problem is not null").select("file", "line", "problem", "value")
 
 
 def scan_fixtures(spark: SparkSession, path: str, version: str = "parity_fixture_v1") -> DataFrame:
@@ -127,6 +146,77 @@ def write_once(tables: dict[str, DataFrame], keys: list[str]) -> list[str]:
     return new
 
 
+#: Rows in a row group of an indexed table, so that a look-up reads little.
+INDEX_ROWS = 20_000
+
+
+def publish_indexed(df: DataFrame, path: str, keys: list[str], metadata: dict[str, str] | None = None, group_bytes: int = 8 << 20) -> dict[str, str]:
+    """A look-up table at path: rows in key order, row groups with key ranges and Bloom filters, and its metadata.
+
+    Everything is written beside the path and moved there in one step when it is complete and
+    its keys are distinct and not null; a build that fails leaves nothing. The path must be free.
+    Returns the metadata: records and digest of the rows, and what is given. Look-ups that compare the keys
+    with constants read only the row groups that may hold them.
+    """
+    spark = df.sparkSession
+    if exists(spark, path):
+        raise FileExistsError(path)
+    staging = f"{path}.building-{uuid.uuid4().hex}"
+    rows = f"{staging}/rows"
+    try:
+        writer = df.repartitionByRange(*keys).sortWithinPartitions(*keys).write.option("parquet.block.size", group_bytes).option("parquet.page.row.count.limit", INDEX_ROWS)
+        for k in keys:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{k}", True)
+        writer.parquet(rows)
+        written = spark.read.parquet(rows)
+        null_key = F.lit(False)
+        for k in keys:
+            null_key = null_key | F.col(k).isNull()
+        wrong = written.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | null_key)
+        if (first := wrong.first()) is not None:
+            raise ValueError(f"key is null or repeated: {first.asDict()}")
+        found = table_digest(written, keys).first().asDict()
+        about = {**{k: str(v) for k, v in found.items()}, **(metadata or {})}
+        spark.createDataFrame(sorted(about.items()), "key string, value string").coalesce(1).write.json(f"{staging}/metadata")
+        move(spark, staging, path)
+    except BaseException:
+        remove(spark, staging)
+        raise
+    return about
+
+
+def move(spark: SparkSession, source: str, path: str) -> None:
+    """Rename within one file system; fails where the path is taken."""
+    jvm = spark._jvm.org.apache.hadoop.fs.Path
+    files = jvm(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(jvm(path)) or not files.rename(jvm(source), jvm(path)):
+        raise FileExistsError(path)
+
+
+def look_up(spark: SparkSession, path: str, **key: object) -> DataFrame:
+    """The rows of an indexed table with these keys; a list of values is a set of them."""
+    d = spark.read.parquet(f"{path}/rows")
+    for k, v in key.items():
+        d = d.where(F.col(k).isin(v) if isinstance(v, list) else F.col(k) == F.lit(v))
+    return d
+
+
+def look_up_all(spark: SparkSession, path: str, keys: DataFrame, most: int = 1000) -> DataFrame:
+    """The rows of an indexed table whose key is among keys (one column of its name).
+
+    Up to `most` keys are compared as constants, so that row groups without them are skipped; more keys are
+    joined, which is cheaper than a long list.
+    """
+    (name,) = keys.columns
+    wanted = keys.where(F.col(name).isNotNull()).distinct()
+    few = [r[0] for r in wanted.limit(most + 1).collect()]
+    return look_up(spark, path, **{name: few}) if len(few) <= most else spark.read.parquet(f"{path}/rows").join(wanted, name, "left_semi")
+
+
+def index_metadata(spark: SparkSession, path: str) -> dict[str, str]:
+    return {r["key"]: r["value"] for r in spark.read.schema("key string, value string").json(f"{path}/metadata").collect()}
+
+
 def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
     """Append the rows whose key the table lacks: a rerun appends nothing."""
     spark = df.sparkSession
