@@ -1,14 +1,16 @@
 """Main text of web pages by tag-path ratios (op10).
 
 Every text node has a root-to-leaf path of tags, with their class and id. Per page and path, text
-length and punctuation are averaged over the nodes; both are smoothed with the mean of the
-container around the node (the article or main element, else the nearest container that is no list
-or table), fused by a product, and paths above a share of the best container's score are content.
-All blocks of a page compete: outside of an article or main element, where there is one, a tenth of
-the score counts, and a fiftieth in furniture. So short blocks of an article stay, and containers of short, unpunctuated text go
-whatever they are called. A block most of which is links is scored by itself, its linked text at a
-fifth, and unsmoothed are paths most of whose text is links: so link lists, tag clouds and "read
-more" go from an article too, with the headings that stand over nothing else.
+length and punctuation are summed over the nodes; both are smoothed with those of the container
+around the node (the article or main element, else the nearest container that is no list or table),
+fused by a product, and paths above a share of the best score are content.
+All blocks of a page compete. A paragraph also stays where the mean block of its path and
+container comes near that of the best, so that a short part beside a long one does. Names are
+weights: outside of an article or main element, where there is one, a tenth of the score counts, and a
+twentieth in furniture; they decide where an article is hardly longer than what stands around it.
+A block most of which is links is scored by itself, its linked text at a fifth, and unsmoothed are
+paths most of whose text is links: so link lists, tag clouds and "read more" go from an article too,
+with the headings that stand over nothing else.
 Furniture is what HTML names so (navigation, footers, asides) and forms, page headers and elements
 with a word of furniture in class, id or role, unless they hold the article or most of the page's
 text. Scripts, styles, heads and controls hold no text at all.
@@ -237,7 +239,9 @@ def text_blocks(html: str) -> list[Block]:
 
 
 #: What the score of a block outside of the article or main element counts, where a page has one, and that of one in furniture.
-OUTSIDE, FURNITURE = 0.1, 0.02
+OUTSIDE, FURNITURE = 0.1, 0.05
+#: Share of the best mean score from which a paragraph stays by itself.
+ALONE = 0.5
 
 
 class Sums:
@@ -254,8 +258,10 @@ class Sums:
         self.linked += linked
 
 
-def main_text(html: str, smoothing: float = 0.5, share: float = 0.15) -> str:
+def main_text(html: str, smoothing: float = 0.7, share: float = 0.15) -> str:
     blocks = text_blocks(html)
+    if not blocks:
+        return ""
     paths: dict[tuple[int, bool], Sums] = {}
     roots: dict[tuple[int, bool], Sums] = {}
     sizes = []
@@ -264,40 +270,45 @@ def main_text(html: str, smoothing: float = 0.5, share: float = 0.15) -> str:
         sizes.append(size)
         paths.setdefault((b.path, b.furniture), Sums()).add(*size, len(b.text), b.linked * len(b.text))
         roots.setdefault((b.root, b.furniture), Sums()).add(*size, len(b.text), b.linked * len(b.text))
+    if all(b.furniture for b in blocks):
+        return ""
     with_main = any(b.inside and not b.furniture for b in blocks)
     prior = lambda b: (OUTSIDE if with_main and not b.inside else 1.0) * (FURNITURE if b.furniture else 1.0)
 
-    def of_root(b: Block) -> float:
-        x = roots[b.root, b.furniture]
-        return prior(b) * x.chars / x.n * (1 + x.marks / x.n)
-
-    whole = {b.root: of_root(b) for b in blocks if not b.furniture}
-    if not whole:
-        return ""
-    least = share * max(whole.values())
-
-    def score(b: Block, size: tuple[float, int]) -> float:
+    def scores(b: Block, size: tuple[float, int]) -> tuple[float, float]:
+        """By the whole text of the block's path and container, and by their mean block."""
         if b.linked > MOSTLY:
-            return size[0] * (1 + size[1])
+            return (prior(b) * size[0] * (1 + size[1]),) * 2
         path, root = paths[b.path, b.furniture], roots[b.root, b.furniture]
         weight = 0.0 if path.linked > MOSTLY * path.text else smoothing
-        smooth = lambda x, y: (1 - weight) * x / path.n + weight * y / root.n
-        return smooth(path.chars, root.chars) * (1 + smooth(path.marks, root.marks))
+        smooth = lambda x, y: (1 - weight) * x + weight * y
+        whole = smooth(path.chars, root.chars) * (1 + smooth(path.marks, root.marks))
+        return prior(b) * whole, prior(b) * smooth(path.chars / path.n, root.chars / root.n) * (1 + smooth(path.marks / path.n, root.marks / root.n))
+
+    scored = [scores(b, size) for b, size in zip(blocks, sizes, strict=True)]
+    best, best_mean = max(scored)
+
+    def content(b: Block, whole: float, mean: float) -> bool:
+        if b.linked > MOSTLY:
+            return mean >= share * best_mean
+        by_itself = b.tag not in ROOTS or roots[b.root, b.furniture].n > 2
+        return whole >= share * best or (by_itself and mean >= ALONE * best_mean)
 
-    kept = [prior(b) * score(b, size) >= least for b, size in zip(blocks, sizes, strict=True)]
-    # A heading goes with the blocks up to the next heading; a page's title, and one with no block after it, stays where its root does.
+    kept = [content(b, *s) for b, s in zip(blocks, scored, strict=True)]
+    # A heading goes with the blocks up to the next heading; a page's title, and one with no block after it, stays where its container does.
     section: list[bool] = []
     for i in range(len(blocks) - 1, -1, -1):
         b = blocks[i]
         if b.furniture or b.tag not in HEADINGS:
             section.append(kept[i])
             continue
-        kept[i] = whole[b.root] >= least and (b.tag == "h1" or not section or any(section))
+        root = roots[b.root, b.furniture]
+        kept[i] = prior(b) * root.chars * (1 + root.marks) >= share * best if b.tag == "h1" or not section else any(section)
         section = []
     return "\n".join(b.text for b, keep in zip(blocks, kept, strict=True) if keep)
 
 
-def extract(pages: DataFrame, html: str = "html", into: str = "text", smoothing: float = 0.5, share: float = 0.15) -> DataFrame:
+def extract(pages: DataFrame, html: str = "html", into: str = "text", smoothing: float = 0.7, share: float = 0.15) -> DataFrame:
     """pages without their html column and with the main text."""
     rest = [c for c in pages.columns if c not in (html, into)]
 

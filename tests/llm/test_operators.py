@@ -637,6 +637,24 @@ def test_ratios_choose_where_no_name_tells():
     assert PROSE[0].strip() in html.main_text(teaser)
 
 
+def test_short_parts_stay_beside_long_ones():
+    parts = [f"<div class='{name}'><p>{PROSE[k % 2]}</p></div>" for k, name in enumerate(("lead", "intro", "end"))]
+    page = f"<body><div><a href='/'>Home</a></div>{parts[0]}{parts[1]}<div class='text'>{BODY * 12}</div>{parts[2]}<div>Buy now.</div></body>"
+    assert len(html.main_text(page).split("\n")) == 3 + 24
+
+
+def test_nine_in_ten_pages_come_right_without_names(spark):
+    """Class names gone and furniture as plain containers; then the article as well."""
+    from .conftest import SF
+
+    pages = [r["html"] for r in spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet").collect()]
+    expected = [html.main_text(p) for p in pages]
+    plain = [re.sub(r"<(/?)(?:nav|footer|aside|header)\b", r"<\1div", re.sub(r" (?:class|id|role)=\"[^\"]*\"", "", p)) for p in pages]
+    bare = [re.sub(r"<(/?)(?:article|main|section)\b", r"<\1div", p) for p in plain]
+    right = lambda ps: sum(html.main_text(p) == e for p, e in zip(ps, expected, strict=True)) / len(pages)
+    assert right(plain) > 0.97 and right(bare) >= 0.9
+
+
 def test_time_is_linear_in_the_page():
     import time
 
