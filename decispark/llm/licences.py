@@ -105,42 +105,96 @@ SENTENCES = {
     "spdx license identifier cc by nc sa 4 0": "ccbyncsa-notice",
     "spdx license identifier cc by nc nd 4 0": "ccbyncnd-notice",
     "spdx license identifier isc": "isc-grant",
+    "spdx license identifier zlib": "zlib-grant",
+    "spdx license identifier bsl 1 0": "boost-notice",
+    "spdx license identifier epl 2 0": "epl2-title",
+    "spdx license identifier lgpl 2 1 or later": "lgpl21-later",
+    "spdx license identifier lgpl 3 0 or later": "lgpl3-later",
+    "spdx license identifier agpl 3 0 or later": "agpl3-later",
+    "the artistic license": "artistic-title",
+    "cc0 1 0 universal": "cc0-title",
+    "gnu free documentation license version 1 2 november 2002": "gfdl12-title",
+    "gnu free documentation license version 1 3 3 november 2008": "gfdl13-title",
+    "version 1 february 1989": "gpl-version-1",
+    "gnu library general public license": "library-title",
+    "mozilla public license version 1 1": "mpl11-title",
+    "mozilla public license version 2 0": "mpl-title",
+    "eclipse public license v 2 0": "epl2-title",
+    "boost software license version 1 0 august 17th 2003": "boost-title",
+    "distributed under the boost software license version 1 0": "boost-notice",
+    "how to apply these terms to your new programs": "gpl-appendix",
+    "how to apply these terms to your new libraries": "gpl-appendix",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 1 or at your option any later version": "gpl1-later",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu library general public license as published by the free software foundation either version 2 of the license or at your option any later version": "lgpl2-later",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd-advert",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "bsd0-grant",
 }
+#: Sentences in which a star stands for the name of a holder, of 1 to HOLDER_WORDS words.
+TEMPLATES = {
+    "neither the name of * nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-name",
+    "neither the name of * nor the names of any contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-name",
+    "the name of * may not be used to endorse or promote products derived from this software without specific prior written permission": "bsd-name",
+    "the names of * may not be used to endorse or promote products derived from this software without specific prior written permission": "bsd-name",
+    "this product includes software developed by *": "bsd-acknowledgement",
+    "in no event will * be held liable for any damages arising from the use of this software": "zlib-liability",
+}
+HOLDER_WORDS = 12
 #: Ordered rules: a licence where its pattern occurs in the identifiers, written with a space before and after each; with the licences that it then hides.
+#: The notice in the appendix of a full text shows how to apply it and is none of the text's own.
+OWN_NOTICE = " (?<! gpl-appendix )"
 RULES = (
     ("MIT", " (?:mit-notice|mit-grant(?: [a-z0-9-]+){0,2} mit-(?:condition|warranty)) ", ()),
     ("Apache-2.0", " (?:apache-notice|apache-title(?: [a-z0-9-]+){0,3} apache-(?:version|compliance|warranty)) ", ()),
-    ("AGPL-3.0-or-later", " agpl3-later ", ("AGPL-3.0",)),
-    ("LGPL-3.0-or-later", " lgpl3-later ", ("LGPL-3.0",)),
-    ("LGPL-2.1-or-later", " lgpl21-later ", ("LGPL-2.1",)),
+    ("AGPL-3.0-or-later", OWN_NOTICE + "agpl3-later ", ("AGPL-3.0",)),
+    ("LGPL-3.0-or-later", OWN_NOTICE + "lgpl3-later ", ("LGPL-3.0",)),
+    ("LGPL-2.1-or-later", OWN_NOTICE + "lgpl21-later ", ("LGPL-2.1",)),
     ("AGPL-3.0", " (?:agpl3-notice|agpl-title agpl-version-3) ", ()),
     ("LGPL-3.0", " (?:lgpl3-notice|lgpl-title gpl-version-3) ", ()),
     ("LGPL-2.1", " (?:lgpl21-notice|lgpl-title lgpl-version-21) ", ()),
-    ("GPL-3.0-or-later", " gpl3-later ", ("GPL-3.0",)),
-    ("GPL-2.0-or-later", " gpl2-later ", ("GPL-2.0",)),
+    ("GPL-3.0-or-later", OWN_NOTICE + "gpl3-later ", ("GPL-3.0",)),
+    ("GPL-2.0-or-later", OWN_NOTICE + "gpl2-later ", ("GPL-2.0",)),
     ("GPL-3.0", " (?:gpl3-notice|gpl-title gpl-version-3) ", ()),
     ("GPL-2.0", " (?:gpl2-notice|gpl-title gpl-version-2) ", ()),
+    ("GPL-1.0-or-later", OWN_NOTICE + "gpl1-later ", ("GPL-1.0",)),
+    ("LGPL-2.0-or-later", OWN_NOTICE + "lgpl2-later ", ("LGPL-2.0",)),
+    ("GPL-1.0", " gpl-title gpl-version-1 ", ()),
+    ("LGPL-2.0", " library-title gpl-version-2 ", ()),
+    ("GFDL-1.3", " gfdl13-title ", ()),
+    ("GFDL-1.2", " gfdl12-title ", ()),
+    ("BSD-4-Clause", " bsd-grant bsd-source bsd-binary bsd-advert ", ("BSD-3-Clause", "BSD-2-Clause", "BSD")),
     ("BSD-3-Clause", " (?:bsd3-notice|bsd-grant bsd-source bsd-binary bsd-name) ", ("BSD-2-Clause", "BSD")),
     ("BSD-2-Clause", " (?:bsd2-notice|bsd-grant bsd-source bsd-binary) ", ("BSD",)),
     ("BSD", " (?:bsd-notice|bsd-grant) ", ()),
-    ("MPL-2.0", " mpl-notice ", ()),
+    ("MPL-2.0", " mpl-(?:notice|title) ", ()),
+    ("MPL-1.1", " mpl11-title ", ()),
+    ("EPL-2.0", " epl2-title ", ()),
+    ("BSL-1.0", " boost-(?:title|notice) ", ()),
+    ("Artistic-1.0", " artistic-title ", ()),
+    ("Zlib", " zlib-grant ", ()),
     ("CC-BY-NC-ND-4.0", " ccbyncnd-notice ", ()),
     ("CC-BY-NC-SA-4.0", " ccbyncsa-notice ", ()),
     ("CC-BY-ND-4.0", " ccbynd-notice ", ()),
     ("CC-BY-NC-4.0", " ccbync-notice ", ()),
     ("CC-BY-SA-4.0", " ccbysa-notice ", ()),
     ("CC-BY-4.0", " ccby-notice ", ()),
-    ("CC0-1.0", " cc0-notice ", ()),
+    ("CC0-1.0", " cc0-(?:notice|title) ", ()),
     ("ISC", " isc-grant ", ()),
+    ("0BSD", " bsd0-grant ", ()),
     ("Unlicense", " unlicense-grant ", ()),
     ("Public-domain", " public-domain ", ()),
 )
 #: Every known sentence holds one of these words, so a text without any needs no look-up.
-HINTS = ("licen", "public domain", "permi", "warrant", "redistribut", "compliance", "version", "apache", "rights", "neither the name", "free software", "notice", "terms and conditions")
+HINTS = ("licen", "public domain", "permi", "warrant", "redistribut", "compliance", "version", "apache", "rights", "neither the name", "free software", "notice", "terms", "the name", "universal", "advertising", "this product includes", "in no event")
+
+
+def _pattern(sentence: str) -> str:
+    """Words that may lie on both sides of a boundary ("v. 2.0", "software: you", a wrapped line), and a holder's for a star."""
+    return sentence.replace(" ", "[ |]").replace("*", "[a-z0-9]+(?:[ |][a-z0-9]+){0,%d}?" % (HOLDER_WORDS - 1))
 
 
-#: A known sentence from one boundary to another, longest first; its words may lie on both sides of a boundary ("v. 2.0", "software: you", a wrapped line).
-KNOWN = r"(?<=\|)(?:" + "|".join(x.replace(" ", "[ |]") for x in sorted(SENTENCES, key=len, reverse=True)) + r")(?=\|)"
+#: A known sentence from one boundary to another, longest first.
+KNOWN = r"(?<=\|)(?:" + "|".join(_pattern(x) for x in sorted([*SENTENCES, *TEMPLATES], key=len, reverse=True)) + r")(?=\|)"
 
 
 def bounded(text: Column) -> Column:
@@ -163,7 +217,14 @@ def bounded(text: Column) -> Column:
 def identifiers(text: Column) -> Column:
     """Identifiers of the known sentences of a text in lower case, in text order."""
     known = F.create_map(*[F.lit(x) for kv in SENTENCES.items() for x in kv])
-    return F.transform(F.regexp_extract_all(bounded(text), F.lit(KNOWN), F.lit(0)), lambda x: F.try_element_at(known, F.translate(x, "|", " ")))
+
+    def name(found: Column) -> Column:
+        out = F.try_element_at(known, found)
+        for template, identifier in TEMPLATES.items():
+            out = F.coalesce(out, F.when(found.rlike(f"^(?:{_pattern(template)})$"), F.lit(identifier)))
+        return out
+
+    return F.transform(F.regexp_extract_all(bounded(text), F.lit(KNOWN), F.lit(0)), lambda x: name(F.translate(x, "|", " ")))
 
 
 def licences_of(ids: Column) -> Column:

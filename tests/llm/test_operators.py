@@ -427,6 +427,48 @@ def test_every_known_sentence_wrapped_in_a_comment(spark):
     assert {k: r["sentence_ids"] for k, r in got.items()} == {k: [i] for k, i in enumerate(licences.SENTENCES.values())}
 
 
+BSD_TERMS = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+"""
+GPL_NOTICE = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version {0}\nof the License, or (at your option) any later version.\n"
+
+
+def test_holders_and_full_texts(spark):
+    named = "3. Neither the name of {0} nor the names of its contributors\n   may be used to endorse or promote products derived from this software\n   without specific prior written permission.\n"
+    head = "                GNU GENERAL PUBLIC LICENSE\n                  Version {0}\n\nSome terms follow here.\n"
+    appendix = "END OF TERMS AND CONDITIONS\n\n     How to Apply These Terms to Your New Programs\n\n<one line to give its name>\n"
+    cases = {
+        1: (BSD_TERMS + named.format("the University"), "BSD-3-Clause"), 2: (BSD_TERMS + named.format("Some Long Company Name, Inc."), "BSD-3-Clause"), 3: (BSD_TERMS, "BSD-2-Clause"),
+        4: (BSD_TERMS + "3. The name of the author may not be used to endorse or promote products\n derived from this software without specific prior written permission.", "BSD-3-Clause"),
+        5: (BSD_TERMS + "3. All advertising materials mentioning features or use of this software\n must display the following acknowledgement:\n This product includes software developed by the University.\n" + named.format("it"), "BSD-4-Clause"),
+        6: (BSD_TERMS + named.format(" ".join(f"w{i}" for i in range(40))), "BSD-2-Clause"),
+        10: (head.format("3, 29 June 2007") + appendix + GPL_NOTICE.format(3), "GPL-3.0"), 11: (head.format("2, June 1991") + appendix + GPL_NOTICE.format(2), "GPL-2.0"),
+        12: (GPL_NOTICE.format(2), "GPL-2.0-or-later"), 13: (GPL_NOTICE.format(3) + "\n" + head.format("3, 29 June 2007") + appendix + GPL_NOTICE.format(3), "GPL-3.0-or-later"),
+        20: ("Mozilla Public License Version 2.0\n=======\n\n1. Definitions", "MPL-2.0"), 21: ("   MOZILLA PUBLIC LICENSE\n      Version 1.1\n  -----\n", "MPL-1.1"), 22: ("Creative Commons Legal Code\n\nCC0 1.0 Universal\n", "CC0-1.0"),
+        23: ("  GNU LIBRARY GENERAL PUBLIC LICENSE\n  Version 2, June 1991\n", "LGPL-2.0"), 24: ('The "Artistic License"\n\n Preamble', "Artistic-1.0"), 25: ("GNU Free Documentation License\n  Version 1.3, 3 November 2008\n", "GFDL-1.3"),
+        30: ("Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:", "Zlib"), 31: ("Version 1.1\nUniversal terms of the name", ""),
+    }
+    got = rows(licences.scan(spark.createDataFrame([(k, t) for k, (t, _) in cases.items()], "doc_id long, text string")))
+    assert {k: ",".join(r["licences"]) for k, r in got.items()} == {k: v for k, (_, v) in cases.items()}
+
+
+def test_licence_texts_of_the_system(spark):
+    from pathlib import Path
+
+    names = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    texts = [(k, p.read_text(errors="replace")) for k, n in enumerate(names) if (p := Path("/usr/share/common-licenses", n)).exists()]
+    if not texts:
+        pytest.skip("no licence texts here")
+    got = rows(licences.scan(spark.createDataFrame(texts, "doc_id long, text string")))
+    assert {list(names)[k]: ",".join(r["licences"]) for k, r in got.items()} == {list(names)[k]: list(names.values())[k] for k, _ in texts}
+
+
 def test_licence_notices_in_their_original_text(spark):
     gpl = "{c}This program is free software{p} you can redistribute it and/or modify\n{c}it under the terms of the GNU General Public License as published by\n{c}the Free Software Foundation{q} either version {v} of the License, or\n{c}(at your option) any later version.\n{c}\n{c}This program is distributed in the hope that it will be useful."
     mpl = "This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at http://mozilla.org/MPL/2.0/. */"
