@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +20,11 @@ def keyed(seed: int, *parts: Column) -> Column:
     return F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), value being computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hash_bernoulli(rows: DataFrame, key: Column, seed: int, p: float) -> DataFrame:
     """rows with draw in [0, 1) and selected: draw below p."""
     return rows.withColumn("draw", hash_uniform(keyed(seed, key))).withColumn("selected", F.col("draw") < p)
@@ -131,19 +138,26 @@ def mixture_sample(rows: DataFrame, group: str, key: str, count: int, seed: int,
         starts = left(F.col("starts"), lambda t: t["turn_start"])
         open_buckets = F.filter(F.transform("buckets", lambda b: F.struct(b["bucket"].alias("bucket"), left(b["n"], lambda t: F.coalesce(t["bucket"] == b["bucket"], F.lit(False))).alias("n"))), lambda b: b["n"] > 0)
         fields = F.struct(rest.alias("rest"), starts.alias("starts"), open_buckets.alias("buckets"))
-        return F.get(F.transform(F.array(fields), lambda s: _one_draw(taken, i, s)), F.lit(0))
+        return bound(fields, lambda s: _one_draw(taken, i, s))
 
     def _one_draw(taken: Column, i: Column, s: Column) -> Column:
         p_start = F.when(s["starts"] > 0, w["turn_start"]).otherwise(0.0)
         p_event = F.when(F.size(s["buckets"]) > 0, w["event"]).otherwise(0.0)
         at = lambda what: hash_uniform(keyed(seed, F.col(group), i, F.lit(what)))
-        channel = F.when(at("channel") < p_start, "turn_start").when(at("channel") < p_start + p_event, "event").otherwise("random")
+        name = lambda u: F.when(u < p_start, "turn_start").when(u < p_start + p_event, "event").otherwise("random")
         named = F.get(s["buckets"], F.floor(at("bucket") * F.size(s["buckets"])).cast("int"))["bucket"]
-        pool = F.filter("firsts", lambda f: (f["channel"] == channel) & ((channel != "event") | (f["of"] == named)) & ~F.exists(taken, lambda t: t["key"] == f["key"]))
-        chosen = F.get(pool, F.lit(0))
-        of_bucket = F.get(F.filter(s["buckets"], lambda b: b["bucket"] == chosen["bucket"]), F.lit(0))["n"]
-        chance = (1 - p_start - p_event) / s["rest"] + F.when(chosen["turn_start"], F.try_divide(p_start, s["starts"])).otherwise(0.0) + F.coalesce(F.try_divide(F.try_divide(p_event, F.size(s["buckets"])), of_bucket), F.lit(0.0))
-        return F.array_append(taken, F.struct(chosen["key"].alias("key"), chosen["turn_start"].alias("turn_start"), chosen["bucket"].alias("bucket"), channel.alias("channel"), chance.alias("probability")))
+
+        def first(c: Column) -> Column:
+            fits = lambda f: (f["channel"] == c["channel"]) & ((c["channel"] != "event") | (f["of"] == c["of"])) & ~F.exists(taken, lambda t: t["key"] == f["key"])
+            return F.get(F.filter("firsts", fits), F.lit(0))
+
+        def appended(c: Column, chosen: Column) -> Column:
+            of_bucket = F.get(F.filter(s["buckets"], lambda b: b["bucket"] == chosen["bucket"]), F.lit(0))["n"]
+            chance = (1 - p_start - p_event) / s["rest"] + F.when(chosen["turn_start"], F.try_divide(p_start, s["starts"])).otherwise(0.0) + F.coalesce(F.try_divide(F.try_divide(p_event, F.size(s["buckets"])), of_bucket), F.lit(0.0))
+            return F.array_append(taken, F.struct(chosen["key"].alias("key"), chosen["turn_start"].alias("turn_start"), chosen["bucket"].alias("bucket"), c["channel"].alias("channel"), chance.alias("probability")))
+
+        choice = F.struct(bound(at("channel"), name).alias("channel"), named.alias("of"))
+        return bound(choice, lambda c: bound(first(c), lambda chosen: appended(c, chosen)))
 
     steps = F.sequence(F.lit(0), (F.least(F.col("n"), F.lit(count)) - 1).cast("int"))
     drawn = sizes.join(firsts, group).withColumn("drawn", F.aggregate(steps, F.array().cast(state), draw))
@@ -199,11 +213,11 @@ def expanding_draw(pool: DataFrame, group: str, item: str, role: str, count: int
     taken = F.transform(fixed, lambda x: F.struct(x["item"].alias("item"), x["role"].alias("role")))
 
     def draw(done: Column, _: Column) -> Column:
-        there = F.array_distinct(F.transform(done, lambda t: t["role"]))
-        free = F.filter("items", lambda x: ~F.exists(done, lambda t: t["item"] == x["item"]) & (x["need"].isNull() | F.array_contains(there, x["need"])))
-        new = F.filter(free, lambda x: ~F.exists(there, lambda t: t.eqNullSafe(x["role"])))
-        chosen = F.get(F.when((F.size(there) < roles) & (F.size(new) > 0), new).otherwise(free), F.lit(0))
-        return F.when(chosen.isNull(), done).otherwise(F.array_append(done, F.struct(chosen["item"].alias("item"), chosen["role"].alias("role"))))
+        open_items = lambda there: F.filter("items", lambda x: ~F.exists(done, lambda t: t["item"] == x["item"]) & (x["need"].isNull() | F.array_contains(there, x["need"])))
+        new = lambda there, free: F.get(F.filter(free, lambda x: (F.size(there) < roles) & ~F.exists(there, lambda t: t.eqNullSafe(x["role"]))), F.lit(0))
+        first = lambda there: bound(open_items(there), lambda free: F.coalesce(new(there, free), F.get(free, F.lit(0))))
+        append = lambda x: F.when(x.isNull(), done).otherwise(F.array_append(done, F.struct(x["item"].alias("item"), x["role"].alias("role"))))
+        return bound(bound(F.array_distinct(F.transform(done, lambda t: t["role"])), first), append)
 
     left = F.when(F.size("taken") > count, many).otherwise(F.lit(count) - F.size("taken"))
     d = items.withColumn("taken", taken).withColumn("steps", F.when(left > 0, F.sequence(F.lit(1), left)).otherwise(F.slice(F.array(F.lit(1)), 1, 0)))
