@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,15 +99,28 @@ def wilson(wins: Column, n: Column, z: float = 1.959963984540054) -> Column:
 
 
 def exact_two_sided(k: Column, n: Column) -> Column:
-    """Exact two-sided p-value of k against n - k at even odds (McNemar and sign tests)."""
-    least = F.least(k, n - k).cast("int")
-    log_n = _log_factorial(n.cast("int"))
-    tail = F.aggregate(F.sequence(F.lit(0), least), F.lit(0.0), lambda s, i: s + F.exp(log_n - _log_factorial(i) - _log_factorial(n.cast("int") - i) - n * F.log(F.lit(2.0))))
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
+    """Two-sided p-value of k against n - k at even odds (McNemar and sign tests), summed term by term.
+
+    From the term at k downwards each is the one above times a ratio; after 8 root n of them nothing counts any more.
+    """
+    least = F.least(k, n - k).cast("bigint")
+    steps = F.sequence(F.lit(0).cast("bigint"), F.least(least, F.ceil(8 * F.sqrt(n)) + 50) - 1)
+    first = F.exp(log_factorial(n) - log_factorial(least) - log_factorial(n - least) - n * F.log(F.lit(2.0)))
+
+    def add(s: Column, j: Column) -> Column:
+        term = s["term"] * (least - j) / (n - (least - j) + 1)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    one = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    total = F.when(least > 0, F.aggregate(steps, one, add, lambda s: s["sum"])).otherwise(1.0)
+    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * first * total))
 
 
-def _log_factorial(n: Column) -> Column:
-    return F.when(n < 2, F.lit(0.0)).otherwise(F.aggregate(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), F.lit(0.0), lambda s, i: s + F.log(i.cast("double"))))
+def log_factorial(n: Column) -> Column:
+    """Logarithm of n!, by the product up to 20 and Stirling's series beyond."""
+    x = F.greatest(n, F.lit(1)).cast("double")
+    series = x * F.log(x) - x + 0.5 * F.log(2 * math.pi * x) + 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5))
+    return F.when(n <= 20, F.log(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
 
 
 def persistence(kind: Column, exhausts: Column, ethereal: Column) -> Column:

@@ -173,21 +173,18 @@ def staged_steps(spark, stages: list[tuple[str, dict[str, int]]]) -> DataFrame:
 
 
 def bootstrap(rows: DataFrame, cluster: str, value: str, replicates: int, seed: int) -> DataFrame:
-    """Per replicate the mean over clusters drawn with replacement, as Poisson(1) counts of each cluster's hash.
+    """replicate and mean: the mean over as many clusters as there are, drawn with replacement.
 
-    The counts come from the inverse of the Poisson distribution, so clusters need not meet.
+    Clusters are placed in one order by ranges; each draw is a hash of its replicate and number and names
+    a place. The draws of a replicate are spread over all tasks, counted by place and joined to the clusters' sums.
     """
-    per = rows.groupBy(cluster).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
-    d = per.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("u", hash_uniform(keyed(seed, F.col("replicate"), F.col(cluster))))
-    steps, total, term = [], 0.0, 2.718281828459045**-1
-    for k in range(1, 9):
-        total += term
-        steps.append(F.when(F.col("u") >= total, 1).otherwise(0))
-        term /= k
-    count = steps[0]
-    for s in steps[1:]:
-        count = count + s
-    return d.withColumn("k", count).groupBy("replicate").agg(F.expr("try_divide(sum(k * total), sum(k * n))").alias("mean"))
+    per = rows.groupBy(F.col(cluster).alias("cluster")).agg(F.sum(value).alias("total"), F.count(value).alias("n"))
+    placed = cut(ordered_places(per, ["cluster"]), "clusters")
+    n = placed.count()
+    draws = rows.sparkSession.range(replicates * n).select(F.floor(F.col("id") / n).cast("int").alias("replicate"), (F.col("id") % n).alias("i"))
+    draws = draws.select("replicate", F.floor(hash_uniform(keyed(seed, F.col("replicate"), F.col("i"))) * n).alias("place"))
+    counts = draws.groupBy("replicate", "place").agg(F.count(F.lit(1)).alias("k"))
+    return counts.join(placed, "place").groupBy("replicate").agg(F.expr("try_divide(sum(k * total), sum(k * n))").alias("mean"))
 
 
 def expanding_draw(pool: DataFrame, group: str, item: str, role: str, count: int, roles: int, seed: int, anchor: str | None = None, requires: str | None = None) -> DataFrame:

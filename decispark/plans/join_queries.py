@@ -117,7 +117,10 @@ def v10(spark, sf_dir):
     return joins.structural_diff(p, o, ["p_partkey"], ["p_brand", "p_type", "p_size"])
 
 
-@query("w03_u05_adjacent_difference")
+@query("w03_u05_adjacent_difference", """WITH g AS (SELECT user_id, ts::DATE AS day, list(event_type) AS items FROM events GROUP BY ALL),
+l AS (SELECT *, coalesce(lag(items) OVER (PARTITION BY user_id ORDER BY day), []) AS before FROM g),
+t AS (SELECT user_id, day, v, len(list_filter(items, lambda x: x = v)) - len(list_filter(before, lambda x: x = v)) AS n FROM (SELECT *, unnest(list_distinct(items || before)) AS v FROM l))
+SELECT user_id, day, coalesce(string_agg(rtrim(repeat(v || ',', n::INT), ','), ',' ORDER BY v) FILTER (WHERE n > 0), '') AS gained, coalesce(string_agg(rtrim(repeat(v || ',', -n::INT), ','), ',' ORDER BY v) FILTER (WHERE n < 0), '') AS lost FROM t GROUP BY ALL""")
 def w03(spark, sf_dir):
     """Multisets of neighbouring rows; tests hold it against plain counters."""
     d = load(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.collect_list("event_type").alias("items"))

@@ -340,14 +340,17 @@ def a37(spark, sf_dir):
     return d.select("sample", "action", F.round("w.low", 6).alias("low"), F.round("w.high", 6).alias("high"))
 
 
-@query("a37_exact_sign_test")
+@query("a37_exact_sign_test", T + """, m AS (SELECT a, b, count(*) FILTER (WHERE mean_difference > 0) AS better, count(*) FILTER (WHERE mean_difference <> 0) AS n FROM pairs GROUP BY ALL)
+SELECT a, b, better, n, round(CASE WHEN n = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(better, n - better) + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0))))) END, 9) AS p FROM m""")
 def a37_sign(spark, sf_dir):
     t = trials.paired(_trials(spark, sf_dir)).groupBy("a", "b").agg(F.count(F.when(F.col("mean_difference") > 0, 1)).alias("better"), F.count(F.when(F.col("mean_difference") != 0, 1)).alias("n"))
     return t.select("a", "b", "better", "n", F.round(scalar.exact_two_sided(F.col("better"), F.col("n")), 9).alias("p"))
 
 
-@query("a37_cluster_bootstrap")
+@query("a37_cluster_bootstrap", """WITH per AS (SELECT user_id, sum(value) AS total, count(value) AS n, row_number() OVER (ORDER BY user_id) - 1 AS place FROM events GROUP BY 1), c AS (SELECT count(*) AS c FROM per),
+draws AS (SELECT r AS replicate, floor(('0x' || substr(sha256('11|' || r || '|' || i), 1, 16))::UBIGINT::DOUBLE / pow(2.0, 64) * c)::BIGINT AS place FROM range(50) x(r), c, range(c) y(i))
+SELECT replicate, round(sum(total) / sum(n), 6) AS mean FROM draws JOIN per USING (place) GROUP BY 1""")
 def a37_bootstrap(spark, sf_dir):
     from decispark.operators import sampling
 
-    return sampling.bootstrap(load(spark, sf_dir, "events"), "user_id", "value", 50, 11)
+    return sampling.bootstrap(load(spark, sf_dir, "events"), "user_id", "value", 50, 11).select("replicate", r("mean"))

@@ -210,6 +210,15 @@ def test_places_over_many_partitions(spark):
     assert sampling.ordered_places(d.where("k < 0"), ["k"]).count() == 0
 
 
+def test_sign_test_of_any_size(spark):
+    exact = lambda k, n: min(1.0, 2 * sum(math.comb(n, i) for i in range(min(k, n - k) + 1)) / 2**n)
+    cases = [(0, 1), (1, 1), (4, 9), (20, 41), (0, 60), (230, 500), (500, 1000), (4800, 10_000), (10_000, 4000 + 10_000)]
+    d = spark.createDataFrame([*cases, (499_000, 1_000_000)], "k long, n long")
+    got = {(r["k"], r["n"]): r["p"] for r in d.select("k", "n", scalar.exact_two_sided(F.col("k"), F.col("n")).alias("p")).collect()}
+    assert got.pop((499_000, 1_000_000)) == pytest.approx(math.erfc((1000 - 0.5) / math.sqrt(250_000) / math.sqrt(2)), rel=1e-3)
+    assert got == {c: pytest.approx(exact(*c), rel=1e-9, abs=1e-300) for c in cases}
+
+
 def test_bootstrap_means_scatter_around_the_mean(spark):
     rows = [(c, float(c % 10 + j)) for c in range(500) for j in range(c % 4 + 1)]
     got = [r["mean"] for r in sampling.bootstrap(spark.createDataFrame(rows, "c int, v double"), "c", "v", 200, 3).collect()]
