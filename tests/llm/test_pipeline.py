@@ -1,5 +1,6 @@
 """The pipeline's stages against plain versions of what each must do to its own input."""
 
+import hashlib
 import re
 
 import public_tokenizers
@@ -45,6 +46,46 @@ def test_stages_take_effect(spark, documents, tmp_path):
     assert seen[5].count() == seen[4].count()
 
 
+def plain_copies(docs):
+    """How often the mix takes each document: targets filled level by level, then hashes up to each of three nested thresholds, row by row."""
+    size = {i: len(WORD.findall(t or "")) for i, t, _ in docs}
+    h = {i: int(hashlib.sha256(str("null" if i is None else i).encode()).hexdigest()[:12], 16) for i, _, _ in docs}
+    sources = sorted({s for _, _, s in docs}, key=lambda s: (s is None, s))
+    weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(sources)}
+    own = {s: [i for i, _, x in docs if x == s] for s in sources}
+    total = {s: sum(size[i] for i in own[s]) for s in sources}
+    target, open_, left = {}, set(sources), float(sum(size.values()))
+    while full := [s for s in open_ if left * weight[s] / sum(weight[x] for x in open_) > 3 * total[s]]:
+        target |= {s: 3.0 * total[s] for s in full}
+        open_ -= set(full)
+        left -= sum(target[s] for s in full)
+        if not open_:
+            break
+    target |= {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+    copies = {}
+    for s in sources:
+        whole = int(target[s] // total[s]) if total[s] else 0
+        rest = int(target[s] - whole * total[s])
+        copies |= {i: whole for i in own[s]}
+        passed = set()
+        for _ in range(3):
+            fits = sorted((i for i in own[s] if i not in passed and size[i] <= rest), key=h.get)
+            for i in fits:
+                if size[i] > rest:
+                    break
+                rest -= size[i]
+                passed.add(i)
+        for i in passed:
+            copies[i] = min(whole + 1, 3)
+    return {i: n for i, n in copies.items() if n}
+
+
+def test_mixing_stage_against_a_plain_mix(spark, documents):
+    docs = [(r["doc_id"], r["text"], r["source"]) for r in documents.collect()]
+    got = corpus_pipeline.mixing_stage(spark, documents, "").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in got} == plain_copies(docs)
+
+
 def test_rows_without_id_and_rows_of_one_id(spark):
     words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
     rows = [(None, "too short"), (None, words("n", 80)), (1, words("a", 80)), (1, "short too"), (1, words("b", 80)), (2, words("a", 80) + " end"), (3, words("c", 80)), (3, words("c", 80)), (None, words("c", 80))]
