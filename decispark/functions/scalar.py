@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -157,11 +158,15 @@ def pick_tags(rules: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), value being computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def log_softmax(scores: Column, index: Column) -> Column:
     """Log of the share of one score's exponential in their sum; the largest is taken out first, so scores of any size do."""
-    most = F.array_max(scores)
-    total = F.aggregate(F.transform(scores, lambda x: F.exp(x - most)), F.lit(0.0), lambda s, x: s + x)
-    return (F.get(scores, index) - most) - F.log(total)
+    total = lambda most: F.aggregate(F.transform(scores, lambda x: F.exp(x - most)), F.lit(0.0), lambda s, x: s + x)
+    return bound(F.array_max(scores), lambda most: (F.get(scores, index) - most) - F.log(total(most)))
 
 
 def response_log_prob(scores: Column, labels: Column, ignore: int = -100) -> Column:
@@ -170,7 +175,11 @@ def response_log_prob(scores: Column, labels: Column, ignore: int = -100) -> Col
     Positions whose label is `ignore` do not count. Null where nothing counts, where positions and labels
     differ in number, or where a label lies outside its scores.
     """
-    at = F.filter(F.transform(F.slice(labels, F.lit(2), F.greatest(F.size(labels) - 1, F.lit(0))), lambda y, i: F.struct(y.alias("y"), i.alias("i"))), lambda x: x["y"] != ignore)
-    terms = F.transform(at, lambda x: log_softmax(F.get(scores, x["i"]), x["y"]))
-    usable = (F.size(scores) == F.size(labels)) & (F.size(at) > 0) & ~F.exists(terms, lambda t: t.isNull()) & F.forall(at, lambda x: x["y"] >= 0)
-    return F.when(usable, F.struct(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t).alias("log_prob"), F.size(at).cast("long").alias("tokens")))
+
+    def of(x: Column) -> Column:
+        placed = F.transform(F.slice(x["y"], F.lit(2), F.greatest(F.size(x["y"]) - 1, F.lit(0))), lambda y, i: F.struct(y.alias("y"), i.alias("i")))
+        terms = F.transform(F.filter(placed, lambda p: p["y"] != ignore), lambda p: bound(F.get(x["s"], p["i"]), lambda own: log_softmax(own, p["y"])))
+        whole = lambda t: F.struct(F.aggregate(t, F.lit(0.0), lambda s, v: s + v).alias("log_prob"), F.size(t).cast("long").alias("tokens"))
+        return bound(terms, lambda t: F.when((F.size(x["s"]) == F.size(x["y"])) & (F.size(t) > 0) & ~F.exists(t, lambda v: v.isNull()), whole(t)))
+
+    return bound(F.struct(scores.alias("s"), labels.alias("y")), of)

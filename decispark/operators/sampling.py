@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from decispark.functions.scalar import hash_uniform
+from decispark.functions.scalar import bound, hash_uniform
 from decispark.sources.shared import cut
 
 # Channel weights of the mixture sampler.
@@ -20,11 +18,6 @@ def keyed(seed: int, *parts: Column) -> Column:
     return F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
 
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), value being computed once however often body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def hash_bernoulli(rows: DataFrame, key: Column, seed: int, p: float) -> DataFrame:
     """rows with draw in [0, 1) and selected: draw below p."""
     return rows.withColumn("draw", hash_uniform(keyed(seed, key))).withColumn("selected", F.col("draw") < p)
