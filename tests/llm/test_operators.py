@@ -226,7 +226,7 @@ def test_hot_classes_are_joined_apart(spark, monkeypatch):
 
 
 def test_counts_of_quality_rules(documents, texts):
-    got = rows(quality.quality_rules(documents, min_group=50))
+    got = rows(quality.quality_rules(documents))
     for name, text in texts.items():
         w = WORD.findall(text)
         lines = [x for x in text.split("\n") if WORD.search(x)]
@@ -272,24 +272,74 @@ def test_a_statistic_alone_reaches_the_cut(spark, name, value, share):
     assert got == {i: i < int(n * share) for i in range(n)}
 
 
-def plain_distances(x):
-    """The estimates of one group by numpy: three starts, three concentration steps, least determinant, rescaled."""
+def plain_rank(v, p):
+    import numpy as np
+
+    return np.sort(v)[max(math.ceil(p * len(v)), 1) - 1]
+
+
+def plain_d2(x, m, c):
+    import numpy as np
+
+    return ((x - m) * np.linalg.solve(c, (x - m).T).T).sum(1)
+
+
+def plain_estimate(x):
+    """Centre and covariance of one group by numpy: three starts, three concentration steps, least determinant."""
     import numpy as np
 
     floors = np.array(list(quality.FEATURES.values()))
-    rank = lambda v, p: np.sort(v)[max(math.ceil(p * len(v)), 1) - 1]
     moments = lambda y: (y.mean(0), np.cov(y.T, bias=True) + np.diag(floors))
-    centre = np.array([rank(c, 0.5) for c in x.T])
-    spread = np.sqrt((1.4826 * np.array([rank(c, 0.5) for c in abs(x - centre).T])) ** 2 + floors)
-    estimates = [(centre, np.diag(spread**2)), moments(x), moments(centre + spread * np.tanh((x - centre) / spread))]
+    centre = np.array([plain_rank(c, 0.5) for c in x.T])
+    spread = np.sqrt((1.4826 * np.array([plain_rank(c, 0.5) for c in abs(x - centre).T])) ** 2 + floors)
     found = []
-    for m, c in estimates:
+    for m, c in [(centre, np.diag(spread**2)), moments(x), moments(centre + spread * np.tanh((x - centre) / spread))]:
         for _ in range(3):
-            d2 = ((x - m) * np.linalg.solve(c, (x - m).T).T).sum(1)
-            m, c = moments(x[d2 <= rank(d2, 0.5) * (1 + 1e-12)])
-        found.append((np.linalg.slogdet(c)[1], ((x - m) * np.linalg.solve(c, (x - m).T).T).sum(1)))
-    d2 = min(found, key=lambda f: f[0])[1]
-    return d2 / max(1.0, min(quality.CONSISTENCY, rank(d2, 0.5) / quality.CHI2_MEDIAN))
+            d2 = plain_d2(x, m, c)
+            m, c = moments(x[d2 <= plain_rank(d2, 0.5) * (1 + 1e-12)])
+        found.append((m, c))
+    return min(found, key=lambda f: np.linalg.slogdet(f[1])[1])
+
+
+def plain_scale(ratio):
+    return max(1.0, min(quality.CONSISTENCY, ratio))
+
+
+def plain_distances(x):
+    """Distances from the estimate of the rows' one group, rescaled."""
+    d2 = plain_d2(x, *plain_estimate(x))
+    return d2 / plain_scale(plain_rank(d2, 0.5) / quality.CHI2_MEDIAN)
+
+
+@pytest.mark.parametrize("bound", [10_000, 3])
+def test_groups_lean_on_their_language_and_the_table(spark, monkeypatch, bound):
+    """By numpy, for groups of 1 to 400 rows; also where groups are too many for one broadcast."""
+    import numpy as np
+
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", bound)
+    r, sizes = np.random.default_rng(5), {("en", "a"): 400, ("en", "b"): 60, ("en", "c"): 1, ("de", "a"): 90, ("de", "b"): 110, ("fr", "c"): 2}
+    keys = [k for k, n in sizes.items() for _ in range(n)]
+    x = r.normal(0, 1, (len(keys), 5)) * [0.8, 0.1, 0.05, 0.1, 0.1] + [[len(s) + ord(s) % 3, 1.6, 0, 0, 0] for _, s in keys]
+    x[::17] += 1.0
+    data = [(i, lang, lang + s, "", *map(float, v)) for i, ((lang, s), v) in enumerate(zip(keys, x, strict=True))]
+    stats = spark.createDataFrame(data, "id long, lang string, own string, every string, " + ", ".join(f"{k} double" for k in quality.FEATURES))
+    got = {v["id"]: v["d2"] for v in quality.robust_outliers(stats, Tables(spark, "test"), levels=("own", "lang", "every"), prior=40).collect()}
+
+    names = np.array([lang + s for lang, s in keys])
+    langs = np.array([lang for lang, _ in keys])
+    every = np.ones(len(keys), bool)
+    mixed = lambda n, own, above: [(n * a + 40 * b) / (n + 40) for a, b in zip(own, above, strict=True)]
+    d2 = np.zeros(len(keys))
+    for name in sorted(set(names)):
+        own, lang = names == name, langs == name[:2]
+        of_lang = mixed(lang.sum(), plain_estimate(x[lang]), plain_estimate(x[every]))
+        d2[own] = plain_d2(x[own], *mixed(own.sum(), plain_estimate(x[own]), of_lang))
+    ratio = lambda at: [plain_rank(d2[at], 0.5) / quality.CHI2_MEDIAN]
+    for name in sorted(set(names)):
+        own, lang = names == name, langs == name[:2]
+        scale = plain_scale(mixed(own.sum(), ratio(own), mixed(lang.sum(), ratio(lang), ratio(every)))[0])
+        assert [got[i] for i in np.flatnonzero(own).tolist()] == pytest.approx((d2[own] / scale).tolist(), rel=1e-6, abs=1e-6)
+    assert len(got) == len(keys)
 
 
 def test_distances_equal_plain_estimates(spark):
@@ -305,7 +355,7 @@ def test_distances_equal_plain_estimates(spark):
         lines = [" ".join(words[i : i + 10]) for i in range(0, len(words), 10)]
         docs[k] = "\n".join(lines + lines[:1] * (k % 5 == 0))
     rows_ = [(k, t, "en", f"s{k % 2}") for k, t in docs.items()]
-    got = rows(quality.quality_rules(spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string"), min_group=50))
+    got = rows(quality.quality_rules(spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string"), prior=0))
     for group in (0, 1):
         own = [k for k in docs if k % 2 == group and not got[k]["base_failed"]]
         n = lambda k: max(got[k]["n_words"], 1)
