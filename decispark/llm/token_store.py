@@ -5,7 +5,9 @@ key: their digest, data: the ids as little-endian unsigned integers of ``WIDTH``
 documents' lists of chunks (kind recipe); ``recipes``, in ascending doc_id order (doc_id, start,
 n_tokens, digests, lengths, root); ``manifest``, the Merkle tree over the recipes (level, node,
 start, n_docs, n_tokens, root). A rolling hash over the last 16 ids ends a chunk, so equal passages
-give equal chunks wherever they stand. A document's root is the SHA-256 of its chunk digests; a
+give equal chunks wherever they stand. A document of at most INLINE ids, which take less room than a
+digest, has these themselves in its recipe in the digest's place, so the many null and empty texts of a
+table meet in no chunk. A document's root is the SHA-256 of its chunk digests; a
 range's comes from its documents' roots, FANOUT at a time and level by level, and the store's
 likewise from those of the ranges.
 
@@ -45,6 +47,9 @@ WINDOW_STEPS, MASK_BITS, LEAST, MOST = 4, 7, 32, 1024
 SEGMENTS = 800_000
 #: Id that ends each document; bytes of a stored id.
 END_ID, WIDTH = 2, 2
+#: Bytes of a digest; documents of at most so many ids are kept in their recipes.
+DIGEST = 16
+INLINE = (DIGEST - 1) // WIDTH
 
 
 @cache
@@ -119,7 +124,7 @@ SENT = 200_000
 
 
 def digest_of(data: bytes) -> bytes:
-    return hashlib.blake2b(data, digest_size=16).digest()
+    return hashlib.blake2b(data, digest_size=DIGEST).digest()
 
 
 def parts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -139,10 +144,11 @@ def parts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             for ends in cut_points(ids, counts):
                 own, sizes = [], []
                 for p in ends:
-                    data = raw[last * WIDTH : p * WIDTH]
-                    d = digest_of(data)
-                    if d not in sent:
-                        chunks[d] = data
+                    d = data = raw[last * WIDTH : p * WIDTH]
+                    if len(ends) > 1 or p - last > INLINE:
+                        d = digest_of(data)
+                        if d not in sent:
+                            chunks[d] = data
                     own.append(d)
                     sizes.append(p - last)
                     last = p
@@ -266,8 +272,9 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     chunks = spark.read.schema(OBJECTS).parquet(f"{folder}/objects").where("kind = 'chunk'").select(F.col("key").alias("digest"), "data").mapInArrow(check, "digest binary, crc bigint, length int")
     recipes = spark.read.schema(RECIPES).parquet(f"{folder}/recipes")
-    wrong = F.raise_error(F.concat(F.lit("recipe does not match its root: "), F.col("doc_id").cast("string")))
-    recipes = recipes.withColumn("n_tokens", F.when(root_of(F.col("digests")) == F.col("root"), F.col("n_tokens")).otherwise(wrong.cast("bigint")))
+    wrong = F.raise_error(F.concat(F.lit("recipe does not match its root: "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    right = F.when(root_of(F.col("digests")) == F.col("root"), F.col("n_tokens")).otherwise(wrong.cast("bigint"))
+    chunked, recipes = recipes.where(F.col("n_tokens") > INLINE).withColumn("n_tokens", right), recipes.withColumn("n_tokens", right)
 
     def after(state: Column, x: Column) -> Column:
         rest = state["rest"] - x["length"]
@@ -275,9 +282,12 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     none = F.array().cast("array<bigint>")
     steps = F.aggregate(F.transform("lengths", lambda x: F.struct(x.alias("length"))), F.struct(F.col("n_tokens").alias("rest"), none.alias("out")), after, lambda s: s["out"])
-    used = recipes.withColumn("after", steps).select("start", F.explode(F.arrays_zip("digests", "after")).alias("x")).select("start", F.col("x.digests").alias("digest"), F.col("x.after").alias("after"))
+    used = chunked.withColumn("after", steps).select("start", F.explode(F.arrays_zip("digests", "after")).alias("x")).select("start", F.col("x.digests").alias("digest"), F.col("x.after").alias("after"))
     moved = used.join(chunks, "digest").select("start", "crc", "after", "length").mapInArrow(shift, "start bigint, moved bigint, length int")
     sums = moved.groupBy("start").agg(F.bit_xor("moved").alias("ids_crc32"), F.sum("length").alias("found"))
-    lost = F.raise_error(F.concat(F.lit("chunks are missing of document "), F.col("doc_id").cast("string")))
-    whole = recipes.select("doc_id", "start", "n_tokens").join(sums, "start", "left")
-    return whole.select("doc_id", "start", F.when(F.col("found") == F.col("n_tokens"), F.col("n_tokens")).otherwise(lost.cast("bigint")).alias("n_tokens"), "ids_crc32")
+    lost = F.raise_error(F.concat(F.lit("chunks are missing of document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    own, inline = F.get("digests", F.lit(0)), F.col("n_tokens") <= INLINE
+    wide = F.unhex(F.regexp_replace(F.hex(own), f"(?<id>.{{{2 * WIDTH}}})", "${id}" + "00" * (4 - WIDTH)))
+    whole = recipes.join(sums, "start", "left").withColumn("found", F.when(inline, (F.octet_length(own) / WIDTH).cast("bigint")).otherwise(F.col("found")))
+    n = F.when(F.col("found") == F.col("n_tokens"), F.col("n_tokens")).otherwise(lost.cast("bigint"))
+    return whole.select("doc_id", "start", n.alias("n_tokens"), F.when(inline, F.crc32(wide)).otherwise(F.col("ids_crc32")).alias("ids_crc32"))

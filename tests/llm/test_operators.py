@@ -635,6 +635,31 @@ def test_shared_passages_share_chunks(spark, tmp_path):
     assert stored < 2 * n / 8
 
 
+def test_short_documents_share_no_chunk(spark, tmp_path):
+    """Half of the texts empty: no chunk has more than one reader; ids up to and beyond the bound, equal to the library's."""
+    from tokenizers import Tokenizer
+
+    tokenizer, folder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), str(tmp_path / "s")
+    texts = [None, "", *["" for _ in range(40)], *[" ".join(["word"] * n) for n in range(1, 20)], *[" ".join(f"{k}x{n}" for k in range(n)) for n in range(1, 20)]]
+    docs = spark.createDataFrame([(None, ""), (None, "a"), *enumerate(texts)], "doc_id long, text string")
+    token_store.write(docs, folder, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    ids = lambda t: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+    crc = lambda t: zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids(t)))
+    got = token_store.read(spark, folder).collect()
+    assert {(r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got if r["doc_id"] is not None} == {(i, len(ids(t)), crc(t)) for i, t in enumerate(texts)}
+    assert sorted(r["ids_crc32"] for r in got if r["doc_id"] is None) == sorted([crc(""), crc("a")])
+    assert {len(ids(t)) > token_store.INLINE for t in texts} == {True, False}
+    chunks = spark.read.parquet(f"{folder}/objects").where("kind = 'chunk'")
+    assert chunks.where(F.length("data") <= token_store.INLINE * token_store.WIDTH).count() == 0
+    recipes = spark.read.parquet(f"{folder}/recipes")
+    assert recipes.where("n_tokens = 1").count() == 43 and recipes.where("n_tokens = 1 and octet_length(digests[0]) <> 2").count() == 0
+    damaged = str(tmp_path / "d")
+    recipes.withColumn("digests", F.when(F.col("n_tokens") == 1, F.array(F.lit(b"\x03\x00"))).otherwise(F.col("digests"))).write.parquet(f"{damaged}/recipes")
+    spark.read.parquet(f"{folder}/objects").write.parquet(f"{damaged}/objects")
+    with pytest.raises(Exception, match="does not match its root"):
+        token_store.read(spark, damaged).collect()
+
+
 def test_damage_is_found(spark, documents, tmp_path):
     folder = str(tmp_path / "d")
     token_store.write(documents.where("doc_id > 10000"), folder, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
