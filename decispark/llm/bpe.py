@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import small_batches
-from .pieces import Encoder, encode_batches, list_array, pre_tokens
+from .pieces import Encoder, each, encode_batches, list_array, pre_tokens
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -92,7 +92,7 @@ def encoder(path: str, pattern: str) -> Encoder:
         rank = ranks.get(raw)
         return [rank] if rank is not None else [by_piece[i] for i in to_ids("".join([chars[b] for b in raw]))]
 
-    return Encoder(encode, pattern, word=word)
+    return Encoder(encode, pattern, words=each(word))
 
 
 @cache

@@ -9,7 +9,7 @@ ones. Texts in which white space meets white space are split by the whole patter
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ import regex
 SLICE = 4_000_000
 #: Characters that are neither letters, digits nor white space and start no contraction: a run of them that ends a segment is a piece of its own.
 MARKS = ".,;:!?*$%&#|()[]{}<>=+-/\\\"_~^@"
+#: Stands for a segment that is not known yet; -1 for one where white space meets white space.
+UNSEEN = -2
 
 
 def pre_tokens(segment: str, findall: Callable[[str], list[str]]) -> list[str]:
@@ -27,19 +29,30 @@ def pre_tokens(segment: str, findall: Callable[[str], list[str]]) -> list[str]:
     return [segment] if segment[0] == " " and segment[1:].isalpha() else findall(segment)
 
 
+def each(word: Callable[[str], list[int]]) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """word for many words: all ids in one array, and the number of ids of each."""
+
+    def words(letters: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = list(map(word, letters))
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
+
+    return words
+
+
 class Encoder:
     """Encodes texts by a function from a piece of text to its ids.
 
-    word does the same for letters alone that follow a space, and whole for a text that holds one of
-    the special strings, which the split pattern does not cover. Beyond ``most`` segments only those
-    of the last texts stay, which changes no result.
+    words gives the ids of many runs of letters that each follow a space, all in one array, and the number of ids
+    of each; whole encodes a text that holds one of the special strings, which the split pattern does not cover.
+    Beyond ``most`` segments only those stay that were met again, half of ``most`` at most; this changes no result.
     """
 
     def __init__(
-        self, encode: Callable[[str], list[int]], pattern: str, most: int = 120_000, word: Callable[[str], list[int]] | None = None, special: tuple[str, ...] = (), whole: Callable[[str], list[int]] | None = None
+        self, encode: Callable[[str], list[int]], pattern: str, most: int = 120_000, words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]] | None = None, special: tuple[str, ...] = (), whole: Callable[[str], list[int]] | None = None
     ):
         self.encode_piece, self.pattern, self.most = encode, regex.compile(pattern), most
-        self.encode_word, self.special, self.encode_whole = word or (lambda w: encode(" " + w)), special, whole
+        self.encode_words, self.special, self.encode_whole = words or each(lambda w: encode(" " + w)), special, whole
         self._clear()
 
     def _clear(self) -> None:
@@ -49,50 +62,67 @@ class Encoder:
         self.fresh: list[list[int]] = []
         self.n, self.used = 1, 0  # entry 0 is empty
         self.ids = np.zeros(1 << 20, np.uint32)
-        self.start, self.length = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
+        self.start, self.length, self.seen = (np.zeros(1 << 18, np.int32) for _ in range(3))
 
     def _add(self, ids: list[int]) -> int:
         self.fresh.append(ids)
         return self.n + len(self.fresh) - 1
 
-    def _flush(self) -> None:
-        """Move the new entries into the arrays."""
-        sizes = np.fromiter(map(len, self.fresh), np.int32, len(self.fresh))
-        total = int(sizes.sum())
+    def _append(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Entries of sizes[i] ids each."""
+        total = len(ids)
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.n + len(sizes) > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(self.fresh), np.uint32, total)
+            self.start, self.length, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length, self.seen))
+        self.ids[self.used : self.used + total] = ids
         new = slice(self.n, self.n + len(sizes))
-        self.length[new], self.start[new] = sizes, self.used + np.cumsum(sizes) - sizes
-        self.n, self.used, self.fresh = self.n + len(sizes), self.used + total, []
+        self.length[new], self.start[new], self.seen[new] = sizes, self.used + np.cumsum(sizes) - sizes, 0
+        self.n, self.used = self.n + len(sizes), self.used + total
 
-    def _keep(self, names: list[str], table: np.ndarray) -> None:
-        """Drop all entries but those of the names."""
-        entries = np.maximum(table, 0)
+    def _flush(self) -> None:
+        """Move the new entries into the arrays."""
+        if self.fresh:
+            sizes = np.fromiter(map(len, self.fresh), np.int32, len(self.fresh))
+            self._append(np.fromiter(chain.from_iterable(self.fresh), np.uint32, int(sizes.sum())), sizes)
+            self.fresh = []
+
+    def _keep(self) -> None:
+        """Drop all entries but those of segments that two slices of texts held since the last time."""
+        names, entries = list(self.known), np.fromiter(self.known.values(), np.int32, len(self.known))
+        seen = np.where(entries > 0, self.seen[entries], 0)
+        least = 2
+        while np.count_nonzero(seen >= least) > self.most // 2:
+            least += 1
+        kept = seen >= least
+        entries = entries[kept]
         sizes = self.length[entries]
         ends = np.cumsum(sizes, dtype=np.int32)
-        kept = self.ids[np.repeat(self.start[entries] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
-        self.ids[: len(kept)], self.used = kept, len(kept)
-        self.start[1 : len(ends) + 1], self.length[1 : len(ends) + 1], self.n = ends - sizes, sizes, len(ends) + 1
-        self.marks = {}
-        self.known = {s: i if old >= 0 else -1 for i, (s, old) in enumerate(zip(names, table.tolist(), strict=True), 1)}
-
-    def _entry(self, segment: str) -> int:
-        """Entry of what follows a space; -1 where white space meets white space."""
-        if segment.isalpha():
-            found = self._add(self.encode_word(segment))
-        elif not segment or segment[-1].isspace():
-            found = -1
-        elif segment[0] == "\n":
-            found = -1 if segment[1].isspace() else self._add(self.encode_piece(segment))
-        elif segment[0].isspace():
-            found = -1
-        else:
-            found = self._add(self.encode_piece(" " + segment))
-        self.known[segment] = found
-        return found
+        ids = self.ids[np.repeat(self.start[entries] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
+        self.n, self.used = 1, 0
+        self._append(ids, sizes)
+        self.seen[1 : self.n] = 1
+        self.marks, self.known = {}, dict(zip(compress(names, kept.tolist()), range(1, self.n)))
+
+    def _learn(self, segments: list[str]) -> None:
+        """Entries of segments that follow a space and are not known yet; those of letters alone are encoded together."""
+        letters = list(filter(str.isalpha, segments))
+        if len(letters) < len(segments):
+            for segment in segments:
+                if not segment.isalpha():
+                    self.known[segment] = self._other(segment)
+        if letters:
+            self._flush()
+            self.known.update(zip(letters, range(self.n, self.n + len(letters))))
+            self._append(*self.encode_words(letters))
+
+    def _other(self, segment: str) -> int:
+        """Entry of what follows a space and is not of letters alone; -1 where white space meets white space."""
+        if not segment or segment[-1].isspace():
+            return -1
+        if segment[0] == "\n":
+            return -1 if segment[1].isspace() else self._add(self.encode_piece(segment))
+        return -1 if segment[0].isspace() else self._add(self.encode_piece(" " + segment))
 
     def _marks(self, run: str) -> int:
         entry = self.marks.get(run)
@@ -100,14 +130,17 @@ class Encoder:
             entry = self.marks[run] = self._add(self.encode_piece(run))
         return entry
 
-    def _without_marks(self, names: list[str], array: pa.Array) -> tuple[list[str], list[int]]:
+    def _without_marks(self, names: list[str], array: pa.Array) -> tuple[list[str], np.ndarray]:
         """The names, those of letters and a run of MARKS without it, and the entries of these runs (0: none)."""
         bare = pc.utf8_rtrim(array, MARKS)
         shorter = np.flatnonzero(pc.binary_length(array).to_numpy(zero_copy_only=False) > pc.binary_length(bare).to_numpy(zero_copy_only=False))
-        words, runs = names.copy(), [0] * len(names)
-        for i, word in zip(shorter.tolist(), bare.take(pa.array(shorter)).to_pylist(), strict=True):
-            if word.isalpha():
-                words[i], runs[i] = word, self._marks(names[i][len(word) :])
+        stems = bare.take(pa.array(shorter)).to_numpy(zero_copy_only=False).tolist()
+        letters = np.fromiter(map(str.isalpha, stems), bool, len(stems))
+        at, stems = shorter[letters], list(compress(stems, letters.tolist()))
+        words, runs = names.copy(), np.zeros(len(names), np.int32)
+        for i, stem in zip(at.tolist(), stems, strict=True):
+            words[i] = stem
+        runs[at] = [self._marks(names[i][len(stem) :]) for i, stem in zip(at.tolist(), stems, strict=True)]
         return words, runs
 
     def _head(self, segment: str) -> int:
@@ -143,11 +176,13 @@ class Encoder:
         codes = distinct.indices.to_numpy()
         names = distinct.dictionary.to_numpy(zero_copy_only=False).tolist()
         words, runs = self._without_marks(names, distinct.dictionary)
-        entries = list(map(self.known.get, words))
-        for i in [i for i, x in enumerate(entries) if x is None]:
-            entries[i] = self.known[words[i]] if words[i] in self.known else self._entry(words[i])
-        table = np.array(entries, np.int32)
-        at, run = table[codes], np.array(runs, np.int32)[codes]
+        entries = np.fromiter(map(self.known.get, words, repeat(UNSEEN)), np.int32, len(words))
+        unseen = np.flatnonzero(entries == UNSEEN).tolist()
+        if unseen:
+            new = [words[i] for i in unseen]
+            self._learn(list(dict.fromkeys(new)))
+            entries[unseen] = [self.known[w] for w in new]
+        at, run = entries[codes], runs[codes]
         at[firsts] = [self._head(names[c]) for c in codes[firsts].tolist()]
         run[firsts] = 0
         special = self._with_special(texts)
@@ -167,9 +202,9 @@ class Encoder:
         place += np.arange(len(place), dtype=np.int32)
         counts = np.add.reduceat(sizes, firsts, dtype=np.int64) if len(firsts) else np.zeros(0, np.int64)
         out = self.ids[place]
+        self.seen[np.maximum(entries, 0)] += 1
         if self.n > self.most:
-            kept = dict(zip(words, entries, strict=True))
-            self._keep(list(kept), np.array(list(kept.values()), np.int32))
+            self._keep()
         return out, counts
 
     def encode(self, text: str) -> list[int]:

@@ -707,6 +707,64 @@ def test_store_encoder_equals_the_library_at_every_kind_of_text():
         assert own.encode(text) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_new_words_are_encoded_together_and_those_met_again_stay():
+    import numpy as np
+    import pyarrow as pa
+
+    from decispark.llm.pieces import Encoder
+
+    calls = []
+
+    def words(letters):
+        calls.append(letters)
+        return np.array([len(w) for w in letters], np.uint32), np.ones(len(letters), np.int32)
+
+    own = Encoder(lambda piece: [0], public_tokenizers.PATTERN, 100, words)
+    name = lambda *at: "w" + "".join(chr(97 + i) for i in at)
+    often, texts = [name(i) for i in range(20)], []
+    for k in range(12):
+        rare = [name(k, i, i, i) for i in range(24)]
+        texts = ["x " + " ".join([*often, *rare]) for _ in range(3)] if k % 2 == 0 else ["x " + " ".join(rare) + ", " + rare[0]]
+        ids, counts = own.encode_column(pa.array(texts))
+        expected = [[0, *[2] * 20, *[5] * 24]] * 3 if k % 2 == 0 else [[0, *[5] * 24, 0, 5]]
+        assert ids.tolist() == sum(expected, []) and counts.tolist() == [len(x) for x in expected]
+    assert len(calls) == 12 and sum(calls, []).count(often[0]) == 1
+
+
+def test_store_encoder_of_columns_beyond_its_memory():
+    import random
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, r = Tokenizer.from_file(path), random.Random(5)
+    own = token_store.encoder(path, public_tokenizers.PATTERN, 300)
+    word = lambda: "".join(r.choice("aeinorst" if r.random() < 0.8 else "éßжд漢字") for _ in range(r.randint(1, 9))) + r.choice(["", "", ",", "...", "'s", "7", "\0"])
+    common = [word() for _ in range(50)]
+    for _ in range(60):
+        texts = [None, "", *["".join(r.choice([" ", " ", " ", "\n", "  "]) + (r.choice(common) if r.random() < 0.5 else word()) for _ in range(r.randint(0, 40))) for _ in range(8)], "a <|endoftext|> b"]
+        ids, counts = own.encode_column(pa.array(texts))
+        expected = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == sum(expected, []) and counts.tolist() == [len(x) for x in expected]
+
+
+def test_store_encoder_of_a_vocabulary_that_joins_the_divider(tmp_path):
+    """The byte that parts words of a call is in a merge here: words are encoded one by one."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    letters = bpe.byte_characters()
+    zero, space = letters[0], letters[32]
+    tokens = [*letters, "a" + zero, zero + space]
+    made = Tokenizer(models.BPE({t: i for i, t in enumerate(tokens)}, [("a", zero), (zero, space)]))
+    made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    path = str(tmp_path / "made.json")
+    made.save(path)
+    own = token_store.encoder(path, public_tokenizers.PATTERN, 1000)
+    for text in ("b a a", "ba ca da ea", "a\0 b \0\0 c"):
+        assert own.encode(text) == made.encode(text, add_special_tokens=False).ids
+
+
 # pages
 
 
